@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from mailsieve.functions.regexes import any_of
-from mailsieve.rules import INJECTION_PATTERNS
+from mailsieve.functions.regexes import any_of, opening_letters
+from mailsieve.rules import INJECTION_OPENINGS, INJECTION_PATTERNS
 
 
 def scanned_text(subject: Column, body: Column) -> Column:
@@ -15,10 +15,12 @@ def scanned_text(subject: Column, body: Column) -> Column:
 
 def injection_labels(text: Column) -> Column:
     """Labels of the detectors that hit, each once, in detector order. One
-    alternation keeps clean rows from running all of them."""
+    alternation, tried only where three letters could open a detector, keeps
+    clean rows from running all of them."""
     each = [F.when(text.rlike("(?i)" + pattern), F.lit(label)) for pattern, label in INJECTION_PATTERNS]
     found = F.array_distinct(F.array_compact(F.array(*each)))
-    some = text.rlike(any_of([p for p, _ in INJECTION_PATTERNS]))
+    openings = opening_letters(INJECTION_OPENINGS)
+    some = text.rlike(openings + "(?:" + any_of([p for p, _ in INJECTION_PATTERNS]) + ")")
     return F.when(some, found).otherwise(F.array().cast("array<string>"))
 
 

@@ -58,7 +58,9 @@ _LAYOUT = [(r" *\n *", "\n"), (r"\n{3,}", "\n\n"), (r"^[ \n]+|[ \n]+\z", ""), (r
 
 
 def strip_invisible(text: Column) -> Column:
-    return F.regexp_replace(text, INVISIBLE, "")
+    # All of them lie outside ASCII, where bytes and characters are as many.
+    ascii_only = F.octet_length(text) == F.length(text)
+    return F.when(ascii_only, text).otherwise(F.regexp_replace(text, INVISIBLE, ""))
 
 
 def _numeric_reference(piece: Column) -> Column:

@@ -126,6 +126,11 @@ INJECTION_PATTERNS = [
     (rf"act{WS}+as{WS}+(?:if|though)?{WS}*(?:an?|my){WS}+", "role reassignment"),
 ]
 
+# How the detectors' matches begin, one for each.
+INJECTION_OPENINGS = [
+    "ign", "you", "exe", "for", "[sy", "<|s", "[in", "<|i", "dis", "new", "ove", "res", "pre", "act",
+]
+
 # --- FIXED VALUES: invisible code points removed from text -----------------
 INVISIBLE = (
     r"[\x{200B}-\x{200D}\x{2060}\x{FEFF}\x{2066}-\x{2069}\x{202A}-\x{202E}"
