@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mailsieve.functions.injection import injection_labels, injection_reason, scanned_text, with_warning
 from mailsieve.functions.redact import redact
@@ -25,6 +26,11 @@ TEXT = ("body", "subject", "snippet")
 AUDIT = ("pii_redacted", "injection_labels", "stage_reason")
 
 
+STAGE_RESULT = T.StructType(
+    [T.StructField(c, T.StringType()) for c in ("action", "reason", "body", "subject", "snippet")]
+)
+
+
 @dataclass(frozen=True)
 class ColumnStage:
     """A user stage in terms of columns: where `block` holds the message is
@@ -38,7 +44,7 @@ class ColumnStage:
 @dataclass(frozen=True)
 class UdfStage:
     """A user stage as a pandas_udf of (subject, body, snippet) returning
-    struct<action, reason, body, subject, snippet>."""
+    STAGE_RESULT."""
 
     udf: Callable[..., Column]
 
