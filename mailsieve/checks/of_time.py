@@ -1 +1,121 @@
-"""Queries."""
+"""Rate limiting over all events, and streams over all mail."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import functions as F
+
+from mailsieve.checks.corpus import ATTEMPTS_SQL, attempts, mail_of, raw_policies, table
+from mailsieve.checks.of_policy import _RUN_COLUMNS, _TENANT_SQL, RUN_SQL, _run_columns
+from mailsieve.checks.registry import check
+from mailsieve.operators import ratelimit
+from mailsieve.operators.tenants import decode_policies
+from mailsieve.streaming.gateway import write_stream
+from mailsieve.streaming.ratelimit import limit_stream
+
+DAY_MS = 86_400_000
+
+
+def _limiter_sql(window_ms: int, limit: int) -> str:
+    """One step per attempt of a key, all keys side by side."""
+    live = f"list_filter(log, lambda x: n.at_ms - x < {window_ms})"
+    return f"""WITH RECURSIVE {ATTEMPTS_SQL}, a AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY at_ms, id) AS n FROM attempts),
+    s AS (SELECT key, id, at_ms, n, true AS admitted, CAST(NULL AS BIGINT) AS retry_after_s, [at_ms] AS log FROM a WHERE n = 1
+    UNION ALL SELECT n.key, n.id, n.at_ms, n.n, len({live}) < {limit},
+      CASE WHEN len({live}) >= {limit} THEN CAST(ceil(({live}[1] + {window_ms} - n.at_ms) / 1000.0) AS BIGINT) END,
+      CASE WHEN len({live}) < {limit} THEN list_append({live}, n.at_ms) ELSE {live} END
+      FROM s JOIN a n ON n.key = s.key AND n.n = s.n + 1)"""
+
+
+@check(
+    "j1_rate_limit",
+    _limiter_sql(DAY_MS, 3) + " SELECT key, id, at_ms, admitted, retry_after_s FROM s",
+)
+def j1(spark, sf_dir):
+    return ratelimit.verdicts(attempts(spark, sf_dir), DAY_MS, 3)
+
+
+@check(
+    "j1_rate_limit_defaults",
+    _limiter_sql(ratelimit.WINDOW_MS, ratelimit.LIMIT) + " SELECT key, id, at_ms, admitted, retry_after_s FROM s",
+)
+def j1_defaults(spark, sf_dir):
+    return ratelimit.verdicts(attempts(spark, sf_dir))
+
+
+@check(
+    "j1_rate_limit_totals",
+    _limiter_sql(DAY_MS, 3) + """ SELECT key, count(*) FILTER (admitted) AS n_admitted, count(*) FILTER (NOT admitted) AS n_rejected FROM s GROUP BY key""",
+)
+def j1_totals(spark, sf_dir):
+    return ratelimit.totals(attempts(spark, sf_dir), DAY_MS, 3)
+
+
+@check(
+    "j1_trailing_attempts",
+    f"""WITH {ATTEMPTS_SQL} SELECT key, id, at_ms, CAST(count(*) OVER (PARTITION BY key ORDER BY at_ms RANGE BETWEEN {DAY_MS - 1} PRECEDING AND CURRENT ROW) AS BIGINT) AS n_trailing FROM attempts""",
+)
+def j1_trailing(spark, sf_dir):
+    return ratelimit.trailing_attempts(attempts(spark, sf_dir), DAY_MS)
+
+
+def scratch(spark) -> str:
+    """A new folder for a stream's output and progress: below the cluster's
+    shared checkpoint folder, or a temporary one where none is set."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="mailsieve-")
+
+
+def _stream(spark, sf_dir: str, name: str):
+    batch = table(spark, sf_dir, name)
+    return spark.readStream.schema(batch.schema).parquet(f"{sf_dir}/{name}*.parquet")
+
+
+@check("a10_stream_process", f"WITH {RUN_SQL} SELECT {_RUN_COLUMNS} FROM e")
+def a10(spark, sf_dir):
+    at = scratch(spark)
+    write_stream(mail_of(_stream(spark, sf_dir, "conversations")), f"{at}/out", f"{at}/progress").awaitTermination()
+    return _run_columns(spark.read.parquet(f"{at}/out"))
+
+
+@check("j4_stream_tenants", f"WITH {_TENANT_SQL} SELECT id, connection_id, reason FROM v")
+def j4(spark, sf_dir):
+    at = scratch(spark)
+    policies = decode_policies(raw_policies(spark, sf_dir))
+    write_stream(
+        mail_of(_stream(spark, sf_dir, "conversations")), f"{at}/out", f"{at}/progress", policies=policies
+    ).awaitTermination()
+    return spark.read.parquet(f"{at}/out").select("id", "connection_id", "reason")
+
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@check(
+    "j1_stream_rate_limit",
+    _limiter_sql(DAY_MS, 3) + " SELECT key, id, at_ms, admitted, retry_after_s FROM s",
+)
+def j1_stream(spark, sf_dir):
+    at = scratch(spark)
+    events = _stream(spark, sf_dir, "events").select(
+        F.col("user_id").alias("key"), F.col("event_id").alias("id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms")
+    )
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, ROCKSDB)
+    try:
+        query = (
+            limit_stream(events, DAY_MS, 3)
+            .writeStream.format("parquet")
+            .option("path", f"{at}/out")
+            .option("checkpointLocation", f"{at}/progress")
+            .outputMode("append")
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
+    finally:
+        spark.conf.set(setting, before)
+    return spark.read.parquet(f"{at}/out")
