@@ -24,6 +24,8 @@ ENTITIES = {
     "&pound;": "£", "&yen;": "¥", "&cent;": "¢", "&sect;": "§", "&para;": "¶", "&deg;": "°",
     "&laquo;": "«", "&raquo;": "»", "&times;": "×", "&amp;": "&",
 }
+# The first range lets the scan dismiss ASCII after one comparison.
+_INVISIBLE = r"[\x{AD}-\x{E007F}&&" + INVISIBLE + "]"
 # Private marks; removed from the input before use.
 _UP, _DOWN, _ITEM = "\x02", "\x03", "\x04"
 
@@ -60,7 +62,7 @@ _LAYOUT = [(r" *\n *", "\n"), (r"\n{3,}", "\n\n"), (r"^[ \n]+|[ \n]+\z", ""), (r
 def strip_invisible(text: Column) -> Column:
     # All of them lie outside ASCII, where bytes and characters are as many.
     ascii_only = F.octet_length(text) == F.length(text)
-    return F.when(ascii_only, text).otherwise(F.regexp_replace(text, INVISIBLE, ""))
+    return F.when(ascii_only, text).otherwise(F.regexp_replace(text, _INVISIBLE, ""))
 
 
 def _numeric_reference(piece: Column) -> Column:

@@ -52,36 +52,54 @@ class UdfStage:
 Stage = Callable[[DataFrame], DataFrame] | ColumnStage | UdfStage
 
 
+def _texts(only: Column | None = None) -> Column:
+    """The text columns as one array, so that each step over them is a single
+    expression. Null, and therefore free, for rows that `only` leaves out."""
+    texts = F.array(
+        body_or_html(F.col("body"), F.col("html_body")),
+        F.coalesce("subject", F.lit("")),
+        F.coalesce("snippet", F.lit("")),
+    )
+    return texts if only is None else F.when(only, texts)
+
+
+def _unpacked(texts: Column) -> dict[str, Column]:
+    return {c: F.get(texts, F.lit(i)) for i, c in enumerate(TEXT)}
+
+
 def sanitize(df: DataFrame) -> DataFrame:
     """Body from HTML where there is no plain one, HTML dropped, invisible
     characters removed."""
-    filled = df.withColumn("body", body_or_html(F.col("body"), F.col("html_body")))
-    cleaned = {c: strip_invisible(F.coalesce(F.col(c), F.lit(""))) for c in TEXT}
-    return filled.withColumns(cleaned | {"html_body": F.lit(None).cast("string")})
+    done = df.withColumn("_texts", F.transform(_texts(), strip_invisible))
+    gone = {"html_body": F.lit(None).cast("string")}
+    return done.withColumns(_unpacked(F.col("_texts")) | gone).drop("_texts")
 
 
 def redact_columns(df: DataFrame, policy: Policy | PolicyColumns) -> DataFrame:
     """Redacts the text columns; `pii_redacted` tells whether any changed."""
-    fresh = df.withColumns({f"_{c}": redact(F.col(c), policy) for c in TEXT})
-    changed = F.lit(False)
-    for c in TEXT:
-        changed = changed | (F.col(c) != F.col(f"_{c}"))
-    marked = fresh.withColumn("pii_redacted", changed)
-    return marked.withColumns({c: F.col(f"_{c}") for c in TEXT}).drop(*(f"_{c}" for c in TEXT))
+    texts = F.array(*TEXT)
+    done = df.withColumn("_texts", F.transform(texts, lambda t: redact(t, policy)))
+    return done.withColumns({"pii_redacted": F.col("_texts") != texts} | _unpacked(F.col("_texts"))).drop("_texts")
 
 
-def flag_injections(df: DataFrame, policy: Policy | PolicyColumns) -> DataFrame:
+def _labels(subject: Column, body: Column, policy: Policy | PolicyColumns) -> Column:
     none = F.array().cast("array<string>")
-    labels = injection_labels(scanned_text(F.col("subject"), F.col("body")))
-    found = df.withColumn("injection_labels", guarded(policy.injection_detection, labels, none))
+    return guarded(policy.injection_detection, injection_labels(scanned_text(subject, body)), none)
+
+
+def flag_injections(df: DataFrame, policy: Policy | PolicyColumns) -> DataFrame:
+    found = df.withColumn("injection_labels", _labels(F.col("subject"), F.col("body"), policy))
     return found.withColumn(
         "body", with_warning(F.col("body"), F.col("injection_labels"), policy.warning_prefix)
     )
 
 
+def _kept_attachments(policy: Policy | PolicyColumns) -> Column:
+    return guarded(policy.attachment_filtering, F.array().cast(ATTACHMENTS), F.col("attachments"))
+
+
 def strip_attachments(df: DataFrame, policy: Policy | PolicyColumns) -> DataFrame:
-    gone = F.array().cast(ATTACHMENTS)
-    return df.withColumn("attachments", guarded(policy.attachment_filtering, gone, F.col("attachments")))
+    return df.withColumn("attachments", _kept_attachments(policy))
 
 
 def apply_stage(df: DataFrame, stage: Stage) -> DataFrame:
@@ -103,10 +121,30 @@ def apply_stage(df: DataFrame, stage: Stage) -> DataFrame:
     return stage(df)
 
 
-def clean(df: DataFrame, policy: Policy | PolicyColumns, stages: Iterable[Stage] = ()) -> DataFrame:
-    """Everything behind the verdict, for messages that passed it."""
-    out = df.transform(sanitize).transform(redact_columns, policy).transform(flag_injections, policy)
-    out = out.withColumn("stage_reason", F.lit(None).cast("string"))
+def clean(
+    df: DataFrame,
+    policy: Policy | PolicyColumns,
+    stages: Iterable[Stage] = (),
+    only: Column | None = None,
+) -> DataFrame:
+    """Everything behind the verdict, for messages that passed it: `sanitize`,
+    `redact_columns`, `flag_injections`, user stages, `strip_attachments`. The
+    built-in steps are put into as few projections as their order allows. Rows
+    outside `only` come out with null texts."""
+    stripped = df.withColumn("_clean", F.transform(_texts(only), strip_invisible))
+    redacted = stripped.withColumn("_safe", F.transform("_clean", lambda t: redact(t, policy)))
+    safe = _unpacked(F.col("_safe"))
+    out = redacted.withColumn("injection_labels", _labels(safe["subject"], safe["body"], policy))
+    labels = F.col("injection_labels")
+    out = out.withColumns(
+        safe
+        | {
+            "body": with_warning(safe["body"], labels, policy.warning_prefix),
+            "html_body": F.lit(None).cast("string"),
+            "pii_redacted": F.coalesce(F.col("_safe") != F.col("_clean"), F.lit(False)),
+            "stage_reason": F.lit(None).cast("string"),
+        }
+    )
     for stage in stages:
         out = apply_stage(out, stage)
     return strip_attachments(out, policy)
@@ -121,30 +159,25 @@ def process(df: DataFrame, policy: Policy | PolicyColumns | None = None, stages:
     """One row per message with `action` and `reason`: passed rows cleaned,
     blocked rows as they came. Audit columns keep what was changed.
 
-    Each text column is wrapped once in a condition on the verdict, so blocked
-    rows skip the costly expressions while the scan stays single."""
+    The texts of blocked rows are null on their way through, so they skip the
+    costly expressions while the scan stays single. User stages see them so."""
     policy = policy or Policy()
-    judged = with_verdict(df, policy)
     passes = F.col("action") == "pass"
-    originals = F.struct(*(F.col(c) for c in (*TEXT, "html_body", "attachments")))
-    # A blocked row goes through the stages with empty texts, which cost nothing.
-    muted = judged.withColumn("_original", originals).withColumns(
-        {c: F.when(passes, F.col(c)).otherwise("") for c in (*TEXT, "html_body")}
-    )
-    out = clean(muted, policy, stages)
+    kept = (*TEXT, "html_body", "attachments")
+    judged = with_verdict(df, policy).withColumn("_original", F.struct(*kept))
+    out = clean(judged, policy, stages, only=passes)
     stopped = ~passes | F.col("stage_reason").isNotNull()
-    restored = {
-        c: F.when(stopped, F.col(f"_original.{c}")).otherwise(F.col(c))
-        for c in (*TEXT, "html_body", "attachments")
-    }
-    final = {
+    final = {c: F.when(stopped, F.col(f"_original.{c}")).otherwise(F.col(c)) for c in kept}
+    final |= {
         "reason": F.coalesce("reason", "stage_reason"),
         "action": F.when(stopped, "block").otherwise("pass"),
         "pii_redacted": ~stopped & F.col("pii_redacted"),
         "injection_labels": F.when(stopped, F.array().cast("array<string>")).otherwise(F.col("injection_labels")),
     }
-    columns = [*_message_columns(df), "action", "reason", "pii_redacted", "injection_labels"]
-    return out.withColumns(restored | final).select(*columns)
+    own = [F.col(c) for c in _message_columns(df) if c not in final]
+    shown = [v.alias(c) for c, v in final.items()]
+    order = [*_message_columns(df), "action", "reason", "pii_redacted", "injection_labels"]
+    return out.select(*own, *shown).select(*order)
 
 
 def passed(df: DataFrame, policy: Policy | PolicyColumns | None = None, stages: Iterable[Stage] = ()) -> DataFrame:

@@ -126,9 +126,9 @@ INJECTION_PATTERNS = [
     (rf"act{WS}+as{WS}+(?:if|though)?{WS}*(?:an?|my){WS}+", "role reassignment"),
 ]
 
-# How the detectors' matches begin, one for each.
+# How the detectors' matches begin, one for each; a blank is any white space.
 INJECTION_OPENINGS = [
-    "ign", "you", "exe", "for", "[sy", "<|s", "[in", "<|i", "dis", "new", "ove", "res", "pre", "act",
+    "igno", "you ", "exec", "forw", "[sys", "<|sy", "[ins", "<|im", "disr", "new ", "over", "resp", "pret", "act ",
 ]
 
 # --- FIXED VALUES: invisible code points removed from text -----------------
