@@ -174,14 +174,16 @@ def html_to_text(expr: str, wrap: int | None = 120) -> str:
         (r"""(?i)<a\b[^>]*?\bhref\s*=\s*"([^"]*)"[^>]*>(.*?)</a ?>""", r"\2 [\1]"),
         (r"(?i)<h[1-6]\b[^>]*>(.*?)</h[1-6] ?>", "\n\n\x02\\1\x03\n\n"),
         (r"(?i)<br\b[^>]*>", "\n"),
-        (r"(?i)<li\b[^>]*>", "\n\x04"),
+        (r"(?i)<li\b[^>]*>", "\x05\x04"),
         (r"(?i)</?(p|ul|ol|dl|blockquote|pre|table)\b[^>]*>", "\n\n"),
-        (r"(?i)</?(div|article|section|header|footer|nav|main|tr|body|html)\b[^>]*>", "\n"),
+        (r"(?i)</?(div|article|section|header|footer|nav|main|tr|body|html)\b[^>]*>", "\x05"),
         (r"<[A-Za-z/!?][^>]*>", ""),
     ]
     out = expr
     for pattern, replacement in steps:
         out = f"regexp_replace({out}, {q(pattern)}, {q(replacement)}, 'g')"
+    for name, char in (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+        out = f"replace({out}, {q(name)}, {q(char)})"
     # Upper case turns sharp s into SS in one engine and leaves it in the other.
     raised = (
         "list_transform(string_split({0}, chr(2)), lambda pc, i: CASE WHEN i = 1 THEN pc ELSE "
@@ -189,9 +191,11 @@ def html_to_text(expr: str, wrap: int | None = 120) -> str:
         "substr(pc, length(split_part(pc, chr(3), 1)) + 2)) END)"
     ).format(out)
     out = f"array_to_string({raised}, '')"
-    for name, char in (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
-        out = f"replace({out}, {q(name)}, {q(char)})"
-    for pattern, replacement in ((r" *\n *", "\n"), (r"\n{3,}", "\n\n"), (r"^[ \n]+|[ \n]+\z", ""), (r" {2,}", " ")):
+    layout = (
+        (r" *\n *", "\n"), (r" *\x05[ \x05]*", "\x05"), (r"\x05\n", "\n"), (r"\n\x05", "\n"), (r"\x05", "\n"),
+        (r" *\n *", "\n"), (r"\n{3,}", "\n\n"), (r"^[ \n]+|[ \n]+\z", ""), (r" {2,}", " "),
+    )
+    for pattern, replacement in layout:
         out = f"regexp_replace({out}, {q(pattern)}, {q(replacement)}, 'g')"
     out = f"replace({out}, chr(4), ' * ')"
     if not wrap:

@@ -17,6 +17,7 @@ from operator import or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from mailsieve.functions.text import bound
 from mailsieve.policy import guarded
 from mailsieve.rules import PII_PATTERNS, SECRET_HINT
 
@@ -76,7 +77,7 @@ def _redact_secrets(text: Column) -> Column:
         )
         return F.when(text.rlike("[A-Za-z0-9/+=]{40}"), F.array_join(lines, "")).otherwise(text)
 
-    return _bound(text, whole)
+    return bound(text, whole)
 
 
 def _has(text: Column, *parts: str) -> Column:
@@ -98,12 +99,6 @@ def _signs(text: Column) -> dict[str, Column]:
     }
 
 
-def _bound(value: Column, use) -> Column:
-    """`use(value)` with the value computed once, however often it is used: a
-    one-element transform gives it a name inside the expression."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def _stage(kinds: tuple[str, ...], wanted: Column):
     return lambda text: F.when(wanted, reduce(redact_kind, kinds, text)).otherwise(text)
 
@@ -120,13 +115,13 @@ def redact_pii(text: Column, emails: bool | Column = True, dollars: bool | Colum
                 continue
             sign = reduce(or_, (signed[n] for n in names))
             wanted = sign if switch is True else sign & switch
-            out = _bound(out, _stage(kinds, wanted))
+            out = bound(out, _stage(kinds, wanted))
         return out
 
     signs = _signs(text)
     any_sign = reduce(or_, signs.values())
     signed = F.struct(text.alias("text"), *(s.alias(n) for n, s in signs.items()))
-    return F.when(any_sign, _bound(signed, stages)).otherwise(text)
+    return F.when(any_sign, bound(signed, stages)).otherwise(text)
 
 
 def redact(text: Column, policy) -> Column:

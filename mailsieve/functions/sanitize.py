@@ -14,7 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from mailsieve.rules import INVISIBLE, WS
+from mailsieve.functions.text import bound
+from mailsieve.rules import INVISIBLE, WS, WS_CHARS
 
 # --- FIXED VALUES: named character references decoded ----------------------
 ENTITIES = {
@@ -27,36 +28,46 @@ ENTITIES = {
 # The first range lets the scan dismiss ASCII after one comparison.
 _INVISIBLE = r"[\x{AD}-\x{E007F}&&" + INVISIBLE + "]"
 # Private marks; removed from the input before use.
-_UP, _DOWN, _ITEM = "\x02", "\x03", "\x04"
+_UP, _DOWN, _ITEM, _BREAK = "\x02", "\x03", "\x04", "\x05"
 
 # pattern -> replacement, in order; `$n` refers to groups.
 _TARGET = r"""\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))"""
 _MARKUP = [
-    (r"[\x02-\x04]", ""),
-    (r"<!--[\s\S]*?(?:-->|\z)", ""),
-    (r"(?i)<script\b[\s\S]*?(?:</script\s*>|\z)", ""),
-    (r"(?i)<style\b[\s\S]*?(?:</style\s*>|\z)", ""),
-    (r"(?i)<title\b[\s\S]*?(?:</title\s*>|\z)", ""),
-    (r"(?i)<head\b[\s\S]*?</head\s*>", ""),
-    (r"(?i)<!doctype[^>]*>|<img\b[^>]*>", ""),
-    (f"{WS}+", " "),
+    (r"[\x02-\x05]", ""),
+    (
+        r"(?i)<!--[\s\S]*?(?:-->|\z)|<script\b[\s\S]*?(?:</script\s*>|\z)|<style\b[\s\S]*?(?:</style\s*>|\z)"
+        r"|<title\b[\s\S]*?(?:</title\s*>|\z)",
+        "",
+    ),
+    (r"(?i)<head\b[\s\S]*?</head\s*>|<!doctype[^>]*>|<img\b[^>]*>", ""),
+    # White space to single blanks; a blank on its own is left alone.
+    (f"{WS}{{2,}}|[{WS_CHARS}&&[^ ]]", " "),
     (r"""(?i)<a\b[^>]*?\bhref\s*=\s*["']?(?:mailto:)?([^"'>]*)["']?[^>]*> ?\1 ?</a ?>""", "$1"),
     (r"""(?i)<a\b[^>]*?\bhref\s*=\s*["']?#[^>]*>(.*?)</a ?>""", "$1"),
     (rf"(?i)<a\b[^>]*?{_TARGET}[^>]*>(.*?)</a ?>", "$4 [$1$2$3]"),
     (r"(?i)<h[1-6]\b[^>]*>(.*?)</h[1-6] ?>", f"\n\n{_UP}$1{_DOWN}\n\n"),
     (r"(?i)<br\b[^>]*>", "\n"),
     (r"(?i)<hr\b[^>]*>", "\n\n" + "-" * 40 + "\n\n"),
-    (r"(?i)<li\b[^>]*>", f"\n{_ITEM}"),
+    (r"(?i)<li\b[^>]*>", f"{_BREAK}{_ITEM}"),
     (r"(?i)</?(?:p|ul|ol|dl|blockquote|pre|table)\b[^>]*>", "\n\n"),
     (
         r"(?i)</?(?:div|article|section|header|footer|nav|main|aside|address|form|fieldset|figure"
         r"|tr|dt|dd|caption|body|html)\b[^>]*>",
-        "\n",
+        _BREAK,
     ),
     (r"(?i)</t[dh] ?>", " "),
     (r"<[A-Za-z/!?][^>]*>", ""),
 ]
-_LAYOUT = [(r" *\n *", "\n"), (r"\n{3,}", "\n\n"), (r"^[ \n]+|[ \n]+\z", ""), (r" {2,}", " ")]
+# Blanks around line ends go; a _BREAK only counts where no other line end is.
+_LAYOUT = [
+    (r" *([\n\x05])[ \x05]*", "$1"),
+    (r"\x05\n", "\n"),
+    (r"\x05", "\n"),
+    (r" +(?=\n)|(?<=\n) +", ""),
+    (r"\n{3,}", "\n\n"),
+    (r"^[ \n]+|[ \n]+\z", ""),
+    (r" {2,}", " "),
+]
 
 
 def strip_invisible(text: Column) -> Column:
@@ -73,7 +84,8 @@ def _numeric_reference(piece: Column) -> Column:
         F.conv(F.nullif(F.regexp_extract(piece, shape, 2), F.lit("")), 16, 10),
     ).try_cast("int")
     utf32 = F.unhex(F.lpad(F.hex(code), 8, "0"))
-    valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    # Control characters, this module's marks among them, are not made.
+    valid = code.between(9, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
     rest = F.substring(piece, F.locate(";", piece) + 1, F.length(piece))
     return F.when(valid, F.concat(F.decode(utf32, "UTF-32"), rest)).otherwise(F.concat(F.lit("&#"), piece))
 
@@ -89,8 +101,7 @@ def decode_entities(text: Column) -> Column:
             out = F.replace(out, F.lit(name), F.lit(char))
         return out
 
-    decoded = F.get(F.transform(F.array(text), named_and_numbered), F.lit(0))
-    return F.when(text.contains("&"), decoded).otherwise(text)
+    return F.when(text.contains("&"), bound(text, named_and_numbered)).otherwise(text)
 
 
 def _upper_headings(text: Column) -> Column:
@@ -119,8 +130,7 @@ def html_to_text(html: Column, wrap: int | None = 120) -> Column:
     text = html
     for pattern, replacement in _MARKUP:
         text = F.regexp_replace(text, pattern, replacement)
-    # Headings are raised while entities still hide any mark-like character.
-    text = F.get(F.transform(F.array(text), lambda t: decode_entities(_upper_headings(t))), F.lit(0))
+    text = bound(text, lambda t: bound(decode_entities(t), _upper_headings))
     for pattern, replacement in _LAYOUT:
         text = F.regexp_replace(text, pattern, replacement)
     text = F.replace(text, F.lit(_ITEM), F.lit(" * "))

@@ -11,6 +11,12 @@ _EDGES = rf"^{WS}+|{WS}+\z"
 _REPLIES = rf"^(?i)(?:(?:{'|'.join(REPLY_PREFIXES)}){WS}*:{WS}*)+"
 
 
+def bound(value: Column, use) -> Column:
+    """`use(value)` with the value computed once, however often it is used: a
+    one-element transform gives it a name inside the expression."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def trimmed(text: Column) -> Column:
     """Trims every kind of white space, not only blanks."""
     return F.regexp_replace(text, _EDGES, "")

@@ -4,8 +4,9 @@ tasks that hold it; everything derived from the pieces is column work."""
 from __future__ import annotations
 
 import email
-import email.policy
+import email.header
 import email.utils
+import re
 from collections.abc import Iterator
 from datetime import timezone
 
@@ -41,44 +42,71 @@ _PIECES = T.StructType(
 )
 
 
+def _header(msg, name: str) -> str | None:
+    value = msg.get(name)
+    return None if value is None else _decoded(value)
+
+
+def _decoded(value) -> str:
+    text = re.sub(r"\r?\n(?=[ \t])", "", str(value))
+    return str(email.header.make_header(email.header.decode_header(text))) if "=?" in text else text
+
+
 def _groups(msg, name: str) -> list[list[dict]]:
-    return [
-        [{"name": n, "email": a} for n, a in email.utils.getaddresses([str(value)]) if n or a]
-        for value in msg.get_all(name, [])
-    ]
+    def group(value) -> list[dict]:
+        # Names are decoded after the split: an encoded one may hold commas.
+        pairs = email.utils.getaddresses([re.sub(r"\r?\n(?=[ \t])", "", str(value))])
+        return [{"name": _decoded(n), "email": a} for n, a in pairs if n or a]
 
+    return [group(value) for value in msg.get_all(name, [])]
 
-def _text(msg, kind: str) -> str | None:
-    part = msg.get_body(preferencelist=(kind,))
-    return part.get_content().rstrip("\n") if part is not None else None
 
+def _leaves(msg):
+    """Parts without parts; an attached message counts as one."""
+    if msg.is_multipart() and msg.get_content_maintype() == "multipart":
+        for part in msg.get_payload():
+            yield from _leaves(part)
+    else:
+        yield msg
 
-def _header(msg, name: str) -> str | None:
-    value = msg.get(name)
-    return None if value is None else str(value)
+
+def _text(part) -> str:
+    data = part.get_payload(decode=True) or b""
+    try:
+        return data.decode(part.get_content_charset() or "utf-8", "replace")
+    except LookupError:  # a charset nobody knows
+        return data.decode("utf-8", "replace")
+
+
+def _content(part) -> bytes:
+    return part.get_payload(0).as_bytes() if part.is_multipart() else part.get_payload(decode=True) or b""
 
 
 def _pieces(source: bytes) -> dict:
-    msg = email.message_from_bytes(bytes(source), policy=email.policy.default)
+    # The plain policy: it parses a mail several times faster than the default one.
+    msg = email.message_from_bytes(bytes(source))
     if not msg.keys():
         raise ValueError("no headers")
-    date = msg["date"].datetime if msg["date"] is not None else None
+    try:
+        date = email.utils.parsedate_to_datetime(msg["date"]) if msg["date"] else None
+    except ValueError:
+        date = None
     if date is not None and date.tzinfo is None:
         date = date.replace(tzinfo=timezone.utc)
+    texts, files = {}, []
+    for part in _leaves(msg):
+        kind = part.get_content_type()
+        if part.get_content_disposition() == "attachment" or kind not in ("text/plain", "text/html"):
+            files.append({"filename": part.get_filename(), "mime_type": kind, "size": len(_content(part))})
+        else:
+            texts.setdefault(kind, _text(part))
     return {
         "subject": _header(msg, "subject"),
         **{n: _groups(msg, n) for n in ("from", "to", "cc")},
         "sent_at": date,
-        "text": _text(msg, "plain"),
-        "html": _text(msg, "html"),
-        "attachments": [
-            {
-                "filename": a.get_filename(),
-                "mime_type": a.get_content_type(),
-                "size": len(a.get_payload(decode=True) or b""),
-            }
-            for a in msg.iter_attachments()
-        ],
+        "text": texts.get("text/plain"),
+        "html": texts.get("text/html"),
+        "attachments": files,
         "references": (_header(msg, "references") or "").split(),
         "in_reply_to": _header(msg, "in-reply-to"),
         "message_id": _header(msg, "message-id"),
