@@ -15,7 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from mailsieve.functions.text import bound
-from mailsieve.rules import INVISIBLE, WS, WS_CHARS
+from mailsieve.rules import INVISIBLE, WS
 
 # --- FIXED VALUES: named character references decoded ----------------------
 ENTITIES = {
@@ -33,7 +33,6 @@ _UP, _DOWN, _ITEM, _BREAK = "\x02", "\x03", "\x04", "\x05"
 # pattern -> replacement, in order; `$n` refers to groups.
 _TARGET = r"""\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))"""
 _MARKUP = [
-    (r"[\x02-\x05]", ""),
     (
         r"(?i)<!--[\s\S]*?(?:-->|\z)|<script\b[\s\S]*?(?:</script\s*>|\z)|<style\b[\s\S]*?(?:</style\s*>|\z)"
         r"|<title\b[\s\S]*?(?:</title\s*>|\z)",
@@ -41,7 +40,8 @@ _MARKUP = [
     ),
     (r"(?i)<head\b[\s\S]*?</head\s*>|<!doctype[^>]*>|<img\b[^>]*>", ""),
     # White space to single blanks; a blank on its own is left alone.
-    (f"{WS}{{2,}}|[{WS_CHARS}&&[^ ]]", " "),
+    (r"[\t\n\x0B\f\r[\x{A0}-\x{FEFF}&&" + WS + "]]", " "),
+    (" {2,}", " "),
     (r"""(?i)<a\b[^>]*?\bhref\s*=\s*["']?(?:mailto:)?([^"'>]*)["']?[^>]*> ?\1 ?</a ?>""", "$1"),
     (r"""(?i)<a\b[^>]*?\bhref\s*=\s*["']?#[^>]*>(.*?)</a ?>""", "$1"),
     (rf"(?i)<a\b[^>]*?{_TARGET}[^>]*>(.*?)</a ?>", "$4 [$1$2$3]"),
@@ -58,18 +58,6 @@ _MARKUP = [
     (r"(?i)</t[dh] ?>", " "),
     (r"<[A-Za-z/!?][^>]*>", ""),
 ]
-# Blanks around line ends go; a _BREAK only counts where no other line end is.
-_LAYOUT = [
-    (r" *([\n\x05])[ \x05]*", "$1"),
-    (r"\x05\n", "\n"),
-    (r"\x05", "\n"),
-    (r" +(?=\n)|(?<=\n) +", ""),
-    (r"\n{3,}", "\n\n"),
-    (r"^[ \n]+|[ \n]+\z", ""),
-    (r" {2,}", " "),
-]
-
-
 def strip_invisible(text: Column) -> Column:
     # All of them lie outside ASCII, where bytes and characters are as many.
     ascii_only = F.octet_length(text) == F.length(text)
@@ -77,31 +65,37 @@ def strip_invisible(text: Column) -> Column:
 
 
 def _numeric_reference(piece: Column) -> Column:
-    """`8364;rest` or `x20AC;rest`, the text behind an `&#`."""
+    """`8364;rest` or `x20AC;rest`, the text behind an `&#`; null when it is
+    not a reference or names a control character (this module's marks are)."""
     shape = r"^(?:([0-9]{1,7})|[xX]([0-9A-Fa-f]{1,6}));"
     code = F.coalesce(
         F.nullif(F.regexp_extract(piece, shape, 1), F.lit("")),
         F.conv(F.nullif(F.regexp_extract(piece, shape, 2), F.lit("")), 16, 10),
     ).try_cast("int")
     utf32 = F.unhex(F.lpad(F.hex(code), 8, "0"))
-    # Control characters, this module's marks among them, are not made.
     valid = code.between(9, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
     rest = F.substring(piece, F.locate(";", piece) + 1, F.length(piece))
-    return F.when(valid, F.concat(F.decode(utf32, "UTF-32"), rest)).otherwise(F.concat(F.lit("&#"), piece))
+    return F.when(valid, F.concat(F.decode(utf32, "UTF-32"), rest))
 
 
 def decode_entities(text: Column) -> Column:
-    def named_and_numbered(t: Column) -> Column:
-        pieces = F.split(t, "&#")
-        tail = F.transform(F.slice(pieces, 2, F.size(pieces)), _numeric_reference)
-        out = F.when(
-            t.contains("&#"), F.concat(F.get(pieces, F.lit(0)), F.array_join(tail, ""))
-        ).otherwise(t)
-        for name, char in ENTITIES.items():
-            out = F.replace(out, F.lit(name), F.lit(char))
-        return out
+    """Each reference once; what is not known stays as it is."""
+    names = F.create_map(*(F.lit(x) for name, char in ENTITIES.items() for x in (name[1:-1], char)))
+
+    def one(piece: Column) -> Column:
+        """`amp;rest`, the text behind an `&`."""
+        name = F.substring_index(piece, ";", 1)
+        char = F.when(F.contains(piece, F.lit(";")), F.try_element_at(names, name))
+        rest = F.substring(piece, F.length(name) + 2, F.length(piece))
+        numeric = F.when(F.startswith(piece, F.lit("#")), _numeric_reference(F.substring(piece, 2, 2**31 - 1)))
+        return F.coalesce(F.concat(char, rest), numeric, F.concat(F.lit("&"), piece))
 
-    return F.when(text.contains("&"), bound(text, named_and_numbered)).otherwise(text)
+    def all_of(t: Column) -> Column:
+        pieces = F.split(t, "&")
+        tail = F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), one)
+        return F.concat(F.get(pieces, F.lit(0)), F.array_join(tail, ""))
+
+    return F.when(F.contains(text, F.lit("&")), bound(text, all_of)).otherwise(text)
 
 
 def _upper_headings(text: Column) -> Column:
@@ -126,14 +120,23 @@ def wrap_lines(text: Column, width: int) -> Column:
     return F.array_join(F.transform(F.split(text, "\n"), one), "\n")
 
 
+def _laid_out(text: Column) -> Column:
+    """Blanks around line ends go, a _BREAK only counts where no other line
+    end is, and there is at most one blank line at a time."""
+    text = F.regexp_replace(text, r" *([\n\x05])[ \x05]*", "$1")
+    text = F.replace(F.replace(text, F.lit(_BREAK + "\n"), F.lit("\n")), F.lit(_BREAK), F.lit("\n"))
+    text = F.regexp_replace(F.regexp_replace(text, r"\n{3,}", "\n\n"), " {2,}", " ")
+    return F.replace(F.btrim(text, F.lit(" \n")), F.lit(_ITEM), F.lit(" * "))
+
+
 def html_to_text(html: Column, wrap: int | None = 120) -> Column:
     text = html
+    for mark in (_UP, _DOWN, _ITEM, _BREAK):
+        text = F.replace(text, F.lit(mark), F.lit(""))
     for pattern, replacement in _MARKUP:
         text = F.regexp_replace(text, pattern, replacement)
     text = bound(text, lambda t: bound(decode_entities(t), _upper_headings))
-    for pattern, replacement in _LAYOUT:
-        text = F.regexp_replace(text, pattern, replacement)
-    text = F.replace(text, F.lit(_ITEM), F.lit(" * "))
+    text = _laid_out(text)
     return wrap_lines(text, wrap) if wrap else text
 
 
