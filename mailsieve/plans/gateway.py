@@ -106,7 +106,10 @@ def apply_stage(df: DataFrame, stage: Stage) -> DataFrame:
     """Runs one user stage. Rows it blocks carry `stage_reason`; later stages
     leave that reason as it is."""
     if isinstance(stage, UdfStage):
-        out = df.withColumn("_out", stage.udf("subject", "body", "snippet"))
+        # Not to be moved or repeated: a filter on its outcome would otherwise be
+        # rewritten to call it once more, further down.
+        once = stage.udf.asNondeterministic()
+        out = df.withColumn("_out", once("subject", "body", "snippet"))
         blocked = F.when(F.col("_out.action") == "block", F.coalesce("_out.reason", F.lit("Blocked")))
         return (
             out.withColumn("stage_reason", F.coalesce("stage_reason", blocked))

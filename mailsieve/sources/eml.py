@@ -184,10 +184,11 @@ def from_eml(df: DataFrame, now) -> DataFrame:
 def read_eml(spark: SparkSession, path: str) -> DataFrame:
     """Files under `path` as (folder, uid, flags, source): the folder is the
     file's directory, the uid the leading digits of its name, and flags come
-    from the `:2,FS` ending that mail directories use."""
+    from the `:2,FS` ending that mail directories use. Hadoop cannot open a
+    name with a colon, so mail has to be copied with `;` or `!` in its place."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     name = F.substring_index("path", "/", -1)
-    letters = F.regexp_extract(name, r"(?::|%3A)2,([A-Za-z]*)\z", 1)
+    letters = F.regexp_extract(name, r"(?:[:;!]|%3[AB]|%21)2,([A-Za-z]*)\z", 1)
     known = {"S": r"\Seen", "F": r"\Flagged", "D": r"\Draft", "R": r"\Answered", "T": r"\Deleted"}
     flags = F.array_compact(F.array(*(F.when(letters.contains(k), F.lit(v)) for k, v in known.items())))
     return files.select(

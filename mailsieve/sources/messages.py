@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from mailsieve.functions.address import parse_address_list_loose, parse_address_loose
 from mailsieve.functions.text import blank_if_null, parse_date
@@ -12,7 +13,10 @@ from mailsieve.schema import ADDRESSES, ATTACHMENTS, MESSAGE, STRINGS
 
 def conform(df: DataFrame) -> DataFrame:
     """Fits a frame to the message schema: missing columns are null, missing
-    texts '', missing lists empty, and `sent_at` is parsed when absent."""
+    texts '', missing lists empty. A missing `sent_at` is parsed from `date`;
+    one that is there is left alone, so that predicates on it reach the scan."""
+    if "sent_at" not in df.columns and "date" in df.columns:
+        df = df.withColumn("sent_at", parse_date(F.col("date")))
     for f in MESSAGE.fields:
         if f.name not in df.columns:
             df = df.withColumn(f.name, F.lit(None).cast(f.dataType))
@@ -20,15 +24,16 @@ def conform(df: DataFrame) -> DataFrame:
     filled |= {c: F.coalesce(c, F.array().cast(ADDRESSES)) for c in ("to", "cc")}
     filled |= {"labels": F.coalesce("labels", F.array().cast(STRINGS))}
     filled |= {"attachments": F.coalesce("attachments", F.array().cast(ATTACHMENTS))}
-    filled |= {"sent_at": F.coalesce("sent_at", parse_date(F.col("date")))}
     extra = [c for c in df.columns if c not in MESSAGE.fieldNames()]
     return df.withColumns(filled).select(*MESSAGE.fieldNames(), *extra)
 
 
-def read_messages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+def read_messages(spark: SparkSession, path: str, fmt: str = "parquet", with_times: bool = True) -> DataFrame:
     """Normalised messages as parquet, orc or JSON lines. The schema is given,
-    so nothing is inferred and columns not asked for are not read."""
-    return conform(spark.read.schema(MESSAGE).format(fmt).load(path))
+    so nothing is inferred and columns not asked for are not read. Files that
+    hold no `sent_at` are read with `with_times=False`."""
+    fields = [f for f in MESSAGE.fields if with_times or f.name != "sent_at"]
+    return conform(spark.read.schema(StructType(fields)).format(fmt).load(path))
 
 
 def from_script_export(df: DataFrame) -> DataFrame:
