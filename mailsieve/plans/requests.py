@@ -3,6 +3,8 @@ and the JSON documents that answer them."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -88,9 +90,12 @@ def search_response(
     blocked = with_verdict(page.rows, policy).agg(
         F.when((n_blocked > 0) & F.lit(policy.show_filtered_count), n_blocked).alias("filtered_count")
     )
-    one = listed.withColumn("k", F.lit(1))
-    for part in (total, ahead, blocked):  # single rows, joined on a constant key
-        one = one.join(F.broadcast(part.withColumn("k", F.lit(1))), "k")
-    return one.select(
+    return side_by_side(listed, total, ahead, blocked).select(
         F.to_json(F.struct("results", "total_results", "next_page_token", "filtered_count")).alias("response")
     )
+
+
+def side_by_side(*parts: DataFrame) -> DataFrame:
+    """Single-row frames with different columns as one row, without a join."""
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return stacked.agg(*(F.any_value(c, F.lit(True)).alias(c) for c in stacked.columns))
