@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mailsieve.llm import packing
+from mailsieve.llm import packing, quality_classifier, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -30,3 +30,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query("op6_vector_best_fit")
 def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op1_ordinal_quality")
+def _rated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_classifier.rate(docs, quality_classifier.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op9_naive_bayes_ngrams")
+def _toxic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
