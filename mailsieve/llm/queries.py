@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mailsieve.llm import packing, quality_classifier, quality_rules, toxicity
+from mailsieve.llm import decontamination, packing, quality_classifier, quality_rules, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -46,3 +46,8 @@ def _toxic(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_tokeniser_fertility")
 def _fertile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(table(spark, sf_dir, "documents"))
+
+
+@query("op10_prefix_join_decontamination", decontamination.DIGEST_SQL)
+def _contaminated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.digest(decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
