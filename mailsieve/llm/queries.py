@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mailsieve.llm import decontamination, packing, quality_classifier, quality_rules, toxicity
+from mailsieve.llm import decontamination, packing, quality_classifier, quality_rules, signature_join, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -51,3 +51,9 @@ def _fertile(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_prefix_join_decontamination", decontamination.DIGEST_SQL)
 def _contaminated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digest(decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+@query("op7_signature_tree_join")
+def _near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = signature_join.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id")
