@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mailsieve.llm import decontamination, packing, quality_classifier, quality_rules, signature_join, toxicity
+from mailsieve.llm import decontamination, packing, quality_classifier, quality_rules, secret_scan, signature_join, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -57,3 +57,8 @@ def _contaminated(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _near(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = signature_join.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_shingles", "component_id")
+
+
+@query("op4_multipart_credentials", secret_scan.report_sql())
+def _secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.report(table(spark, sf_dir, "documents"))
