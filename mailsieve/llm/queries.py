@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mailsieve.llm import decontamination, packing, quality_classifier, quality_rules, secret_scan, signature_join, toxicity
+from mailsieve.llm import decontamination, packing, pii, quality_classifier, quality_rules, secret_scan, signature_join, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -62,3 +62,8 @@ def _near(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_multipart_credentials", secret_scan.report_sql())
 def _secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(table(spark, sf_dir, "documents"))
+
+
+@query("op8_feistel_pseudonyms")
+def _pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
