@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from mailsieve.llm import decontamination, packing, pii, quality_classifier, quality_rules, secret_scan, signature_join, toxicity
+from mailsieve.llm import decontamination, packing, pii, quality_classifier, quality_rules, secret_scan, signature_join, token_counts, toxicity, url_filters
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -67,3 +68,15 @@ def _secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_feistel_pseudonyms")
 def _pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
+
+
+@query("op3_temporal_lists", url_filters.JUDGED_SQL)
+def _listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    found = url_filters.judged(url_filters.dated_captures(pages), url_filters.dated_entries(pages))
+    return found.select("page_id", "host", F.col("day").cast("string").alias("day"), "verdict", "domain", F.col("since").cast("string").alias("since"))
+
+
+@query("op5_separator_scan")
+def _counted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.counted(table(spark, sf_dir, "documents"))

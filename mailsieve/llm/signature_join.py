@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mailsieve.llm.components import components
-from mailsieve.llm.shared import settled, stored
+from mailsieve.llm.shared import partitions, settled, stored
 from mailsieve.llm.text import Chunk, chunks, inside_document, mix, shingle_hashes
 
 WORDS = 5
@@ -45,7 +45,7 @@ WORDS = 5
 ABOVE, OVER = 75, 100
 # Shingles in a bucket or shard, and classes in a block: what a task holds.
 BUCKET_TOKENS = 1_500_000
-BLOCK_CLASSES = 2_048
+BLOCK_CLASSES = 1_024
 _FANOUT = 8
 _HELD_TOKENS = 2_000_000
 _REPLY = np.dtype([("cls", "<i8"), ("token", "<u8"), ("n", "<u4"), ("rank", "u1")])
@@ -291,7 +291,8 @@ def _verified_links(suspects: DataFrame, clusters: DataFrame, block: int) -> Dat
     sizes = clusters.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     members = clusters.join(sizes, "component").select(F.col("node").alias("class"), F.col("component").alias("root"), "blocks")
     members = settled(members)
-    slots = max(1, math.ceil((members.agg(F.sum("blocks")).first()[0] or 0) / (2 * block)))
+    rows = members.agg(F.sum("blocks")).first()[0] or 0
+    slots = max(partitions(suspects.sparkSession), math.ceil(rows / block))
     own = F.pmod(F.xxhash64("class"), "blocks").cast("int")
     placed = suspects.join(members, "class").withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = placed.withColumn("_i", F.least("_own", "_other")).withColumn("_j", F.greatest("_own", "_other"))

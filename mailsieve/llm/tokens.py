@@ -17,11 +17,12 @@ def vocabulary_path(name: str) -> str:
 
 
 @lru_cache(maxsize=4)
-def byte_bpe(path: str | None = None):
+def byte_bpe(path: str | None = None, special: bool = True):
     """Encoder of the 50k byte-level vocabulary: text to ids as unsigned 32-bit.
 
     The ids are those of the JSON file of the same vocabulary, in which the
-    end-of-document string inside a text is its special id.
+    end-of-document string inside a text is its special id. Without `special` it is
+    ordinary text.
     """
     import public_tokenizers
     import tiktoken
@@ -33,7 +34,7 @@ def byte_bpe(path: str | None = None):
     )
 
     def encode(text: str) -> np.ndarray:
-        if END_OF_DOCUMENT in text:
+        if special and END_OF_DOCUMENT in text:
             return np.array(encoding.encode(text, allowed_special="all"), dtype="<u4")
         return encoding.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
 
