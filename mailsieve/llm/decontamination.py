@@ -152,7 +152,8 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataF
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents, as they are, in which no window occurs."""
     hit = _hit(docs, benchmark, window).select(F.col("doc_id").alias("_d"), F.col("_text").alias("_t"))
-    return docs.join(hit, docs["doc_id"].eqNullSafe(F.col("_d")) & (F.xxhash64(docs["text"]) == F.col("_t")), "left_anti")
+    hit = settled(hit)  # so that its columns are no longer those of the documents
+    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["_d"]) & (F.xxhash64(docs["text"]) == hit["_t"]), "left_anti")
 
 
 def digest(reported: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mailsieve.llm.shared import settled
+from mailsieve.llm.shared import settled, unused
 from mailsieve.llm.tokens import byte_bpe
 
 # Pieces in a group: what one task packs at a time.
@@ -114,10 +114,10 @@ def pack(
 ) -> DataFrame:
     """`pieces` (with a `length`) plus sequence_id and offset. `max_cost` is the
     sum of squared lengths that a sequence may hold, by default that of one full
-    piece."""
-    pieces = settled(pieces)
+    piece. Columns of these two names are replaced."""
+    pieces = settled(pieces.drop("sequence_id", "offset"))
     groups = max(1, math.ceil(pieces.count() / group_pieces))
-    kept = pieces.columns
+    kept, dealt_by = pieces.columns, unused(pieces, "group")
     limits = np.array([capacity, max_pieces, max_cost or float(capacity) ** 2], dtype=float)
     scales = np.array(weights, dtype=float)
     fields = ", ".join(f"`{c}` {t}" for c, t in pieces.dtypes)
@@ -126,15 +126,15 @@ def pack(
         lengths = table.column("length").to_numpy().astype(float)
         sizes = np.stack([lengths, np.ones(len(lengths)), lengths**2], axis=1)
         bins, offsets = best_fit(sizes, limits, scales, rule)
-        group = table.column("_group")[0].as_py() if len(bins) else 0
+        group = table.column(dealt_by)[0].as_py() if len(bins) else 0
         table = table.select(kept)
         table = table.append_column("sequence_id", pa.array(bins + (group << 32), pa.int64()))
         return table.append_column("offset", pa.array(offsets, pa.int64()))
 
     # The checkpoint is read in the same order each time, so a task that is run
     # again deals its rows to the same groups.
-    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
-    return dealt.groupBy("_group").applyInArrow(place, f"{fields}, sequence_id long, offset long")
+    dealt = pieces.withColumn(dealt_by, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
+    return dealt.groupBy(dealt_by).applyInArrow(place, f"{fields}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, capacity: int = 2048, **limits) -> DataFrame:

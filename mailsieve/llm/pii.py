@@ -24,6 +24,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mailsieve.llm.shared import unused
+
 # Stands in for a secret; callers give their own.
 EXAMPLE_KEY = "example key, not a secret"
 ROUNDS = 10
@@ -204,11 +206,12 @@ def rewritten(text: Column, key: str = EXAMPLE_KEY) -> Column:
 def pseudonymised(docs: DataFrame, key: str = EXAMPLE_KEY) -> DataFrame:
     """The documents with pseudonyms in their texts, and `n_chars`, where there is
     such a column, of the new text."""
-    after = docs.withColumn("_r", rewritten(F.col("text"), key))
-    new = {"text": F.col("_r.text")}
+    made = unused(docs, "made")
+    after = docs.withColumn(made, rewritten(F.col("text"), key))
+    new = {"text": F.col(f"{made}.text")}
     if "n_chars" in docs.columns:
-        changed = F.size("_r.kinds") > 0
-        new["n_chars"] = F.when(changed, F.length("_r.text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars"))
+        length = F.length(F.col(f"{made}.text")).cast(dict(docs.dtypes)["n_chars"])
+        new["n_chars"] = F.when(F.size(F.col(f"{made}.kinds")) > 0, length).otherwise(F.col("n_chars"))
     return after.withColumns(new).select(docs.columns)
 
 

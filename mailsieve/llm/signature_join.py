@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mailsieve.llm.components import components
-from mailsieve.llm.shared import partitions, settled, stored
+from mailsieve.llm.shared import partitions, settled, stored, unused
 from mailsieve.llm.text import Chunk, chunks, inside_document, mix, shingle_hashes
 
 WORDS = 5
@@ -354,7 +354,12 @@ def deduplicated(docs: DataFrame, **options) -> DataFrame:
     stays = (F.col("_d") == F.col("component_id")) | (F.col("_d").isNull() & F.col("component_id").isNull())
     gone = settled(found.where(~F.coalesce(stays, F.lit(False))).select("_d", "_h").distinct())
     twice = settled(found.where(F.coalesce(stays, F.lit(False))).groupBy("_d", "_h").count().where("count > 1").select("_d", "_h"))
-    same = docs["doc_id"].eqNullSafe(F.col("_d")) & (F.xxhash64(docs["text"]) == F.col("_h"))
-    single = docs.join(gone.union(twice), same, "left_anti")
-    keyed = docs.join(twice, same, "left_semi").withColumn("_h", F.xxhash64("text"))
-    return single.union(keyed.dropDuplicates(["doc_id", "_h"]).drop("_h"))
+    leave = gone.union(twice)
+
+    def same(keys: DataFrame):
+        return docs["doc_id"].eqNullSafe(keys["_d"]) & (F.xxhash64(docs["text"]) == keys["_h"])
+
+    text_hash = unused(docs, "text_hash")
+    keyed = docs.join(twice, same(twice), "left_semi").withColumn(text_hash, F.xxhash64("text"))
+    once = keyed.dropDuplicates(["doc_id", text_hash]).select(docs.columns)
+    return docs.join(leave, same(leave), "left_anti").union(once)

@@ -50,7 +50,8 @@ def _grams(chunk: Chunk, sizes: tuple[int, ...], bits: int) -> Iterator[tuple[np
         grams = (mix(total[:count] + np.uint64(size)) >> np.uint64(64 - bits)).astype(np.int64)
         inner = np.ones(count, dtype=bool)
         for k in range(1, size):  # starts from which the n-gram would run over a document's end
-            inner[np.maximum(bounds[1:-1] - k, 0)[bounds[1:-1] - k < count]] = False
+            across = bounds[1:-1] - k
+            inner[across[(across >= 0) & (across < count)]] = False
         yield np.flatnonzero(inner), grams[inner]
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from mailsieve.llm.shared import settled
+from mailsieve.llm.shared import settled, unused
 
 
 def host(url: Column) -> Column:
@@ -52,8 +52,9 @@ def intervals(entries: DataFrame) -> DataFrame:
 
 def judged(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """`captures` (with url and day) plus host, verdict (blocked, allowed,
-    unlisted), and the domain and first day of the interval that decided."""
-    hosted = captures.withColumn("host", host(F.col("url")))
+    unlisted), and the domain and first day (since) of the interval that decided.
+    Columns of these names are replaced."""
+    hosted = captures.drop("verdict", "domain", "since").withColumn("host", host(F.col("url")))
     pairs = settled(hosted.select("host", "day").where("host IS NOT NULL AND day IS NOT NULL").distinct())
     last_year = pairs.agg(F.max(F.year("day"))).first()[0] or 0
     valid = intervals(entries)
@@ -63,10 +64,12 @@ def judged(captures: DataFrame, entries: DataFrame) -> DataFrame:
     met = asked.join(dealt, ["domain", "_year"]).where("since <= day AND (until IS NULL OR day < until)")
     rank = F.struct(F.length("domain").alias("length"), (F.col("list") == "allow").alias("allow"), "domain", "since")
     best = met.groupBy("host", "day").agg(F.max(rank).alias("_best"))
-    best = best.select(F.col("host").alias("_host"), F.col("day").alias("_day"), "_best")
-    found = hosted.join(best, (F.col("host") == F.col("_host")) & (F.col("day") == F.col("_day")), "left")
-    verdict = F.when(F.col("_best").isNull(), "unlisted").when(F.col("_best.allow"), "allowed").otherwise("blocked")
-    return found.withColumn("verdict", verdict).withColumn("domain", F.col("_best.domain")).withColumn("since", F.col("_best.since")).drop("_host", "_day", "_best")
+    best = settled(best.select(F.col("host").alias("_host"), F.col("day").alias("_day"), F.col("_best").alias(made := unused(hosted, "best"))))
+    found = hosted.join(best, (hosted["host"] == best["_host"]) & (hosted["day"] == best["_day"]), "left")
+    won = best[made]
+    verdict = F.when(won.isNull(), "unlisted").when(won["allow"], "allowed").otherwise("blocked")
+    own = [hosted[c] for c in hosted.columns]
+    return found.select(*own, verdict.alias("verdict"), won["domain"].alias("domain"), won["since"].alias("since"))
 
 
 def dated_captures(pages: DataFrame) -> DataFrame:
