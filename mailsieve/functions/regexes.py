@@ -11,61 +11,21 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mailsieve.rules import BOUND, DOT, WORD, WS, WS_CHARS
-
-_PIECE = re.compile(
-    r"\\u\{?[0-9A-Fa-f]{4,6}\}?|\\x[0-9A-Fa-f]{2}|\\.|\(\?<?[=!]|\(\?<[A-Za-z]\w*>|\(\?:"
-    r"|\{[0-9]+(?:,[0-9]*)?\}|&&|.",
-    re.DOTALL,
-)
-_OUTSIDE = {
-    r"\s": WS,
-    r"\S": f"[^{WS_CHARS}]",
-    r"\b": BOUND,
-    r"\B": f"(?!{BOUND})",
-    r"\/": "/",
-    r"\-": "-",
-    ".": DOT,
-    "$": r"\z",
-    "{": r"\{",
-    "}": r"\}",
-    "]": r"\]",
-}
-_INSIDE = {r"\s": WS_CHARS, r"\b": r"\x08", r"\/": "/", "[": r"\[", "&&": r"&\&"}
+from mailsieve.functions import ecmascript
+from mailsieve.rules import WS_CHARS
 
 
 def to_jdk(pattern: str) -> str | None:
-    out, in_class = [], False
-    for piece in _PIECE.findall(pattern):
-        if piece.startswith("\\u"):
-            piece = "\\x{" + piece[2:].strip("{}") + "}"
-        elif in_class:
-            in_class = piece != "]"
-            piece = _INSIDE.get(piece, piece)
-        elif piece == "[":
-            in_class = True
-        else:
-            piece = _OUTSIDE.get(piece, piece)
-        out.append(piece)
-    jdk = "".join(out)
-    return jdk if not in_class and _well_formed(jdk) else None
-
-
-def _well_formed(jdk: str) -> bool:
-    spelled = re.sub(r"\\x\{([0-9A-Fa-f]+)\}", lambda m: f"\\U{int(m[1], 16):08x}", jdk)
-    spelled = spelled.replace("(?<=" + WORD, "(?<=[a]").replace(r"\z", r"\Z")
-    spelled = re.sub(r"\(\?<([A-Za-z]\w*)>", r"(?P<\1>", spelled)
     try:
-        re.compile(spelled)
-    except (re.error, OverflowError, ValueError):
-        return False
-    return True
+        return ecmascript.to_jdk(pattern)
+    except (ecmascript.Invalid, RecursionError):
+        return None
 
 
 def standalone(jdk: str) -> bool:
     """True when the pattern keeps its meaning inside a larger alternation:
-    numbered and named back-references do not."""
-    return re.search(r"\\[1-9]|\\k<|\(\?<[A-Za-z]", jdk) is None
+    back-references do not."""
+    return re.search(r"\\[1-9]", jdk) is None
 
 
 def any_of(patterns: list[str], flags: str = "(?i)") -> str:

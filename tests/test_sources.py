@@ -1,6 +1,7 @@
 """Reading messages and settings."""
 
 import json
+import random
 from datetime import datetime, timezone
 
 import pytest
@@ -119,7 +120,37 @@ def test_user_patterns(spark):
         assert got == hit, pattern
 
 
+MORE_PATTERNS = {
+    r"(?<=a+)b": ("aaab", True), r"(?<n>a)\k<n>": ("aa", True), "[^]x": ("\nx", True), r"\p{L}": ("p{L}", True), r"\cA": ("\x01", True), r"foo\Z": ("fooZ", True),
+    "a[]": ("a", False), r"[\S]b": (" b", False), r"[^\S]b": (" b", True), r"[\w-.]+$": ("a-.", True), r"\u00e9": ("é", True), r"\ud83d\ude00": ("\U0001f600", True),
+    r"(a)\12": ("a\n", True), r"\8": ("8", True), "x{,3}": ("x{,3}", True), r"(?=a)*b": ("b", True), r"\c": (r"\c", True), "}": ("}", True), r"(\1a)": ("a", True),
+    "^$": ("", True), "(?:a|)+b": ("b", True), r"[\b]": ("\x08", True), r"[\0-\x1f]": ("\x05", True), r"\k<n>": ("k<n>", True), r"[a-\d]": ("-", True),
+}
+
+
+def test_more_user_patterns(spark):
+    for pattern, (text, hit) in MORE_PATTERNS.items():
+        jdk = regexes.to_jdk(pattern)
+        assert jdk is not None, pattern
+        assert spark.range(1).select(F.lit(text).rlike("(?i)" + jdk)).head()[0] == hit, (pattern, jdk)
+
+
+def test_what_is_valid_compiles(spark):
+    """Random patterns: none is accepted that the JDK refuses."""
+    rng = random.Random(11)
+    pieces = list("ab01()[]{}|^$.*+?-\\,<>=!:&#") + ["(?:", "(?=", "(?<=", "(?<!", "(?<n>", "(?", "\\k<n>", "\\1", "\\b", "\\w", "\\p{L}", "\\u{", "[^", "{2,3}", "{2,}", "[a-", "&&", "\\Q", "(?i)", "\\x4", "é"]
+    compiler, accepted = spark._jvm.java.util.regex.Pattern, 0
+    for _ in range(3000):
+        jdk = regexes.to_jdk("".join(rng.choices(pieces, k=rng.randint(1, 9))))
+        if jdk is not None:
+            compiler.compile("(?i)" + jdk)
+            accepted += 1
+    assert accepted > 300
+
+
 def test_invalid_user_patterns():
+    for pattern in ("(?#x)foo", "(?P<n>a)b", "a++", "(?i)x", "(?<n>a)(?<n>b)", r"\k<m>(?<n>a)", "(?<1>a)", "{2}", r"\b+", "^*", "(?<=a)*", "[b-a]", "\\", "x{2}{3}"):
+        assert regexes.to_jdk(pattern) is None, pattern
     assert [regexes.to_jdk(p) for p in ("(", "[a", "*a", "a{3,1}", ")", "a**")] == [None] * 6
 
 
