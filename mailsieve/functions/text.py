@@ -85,10 +85,17 @@ def key_prefix(key: Column) -> Column:
     return F.substring(key, 1, 8)
 
 
+# --- FIXED VALUES: named zones of RFC 2822 ---------------------------------
+ZONES = {"EST": "-0500", "EDT": "-0400", "CST": "-0600", "CDT": "-0500", "MST": "-0700", "MDT": "-0600", "PST": "-0800", "PDT": "-0700"}
+
+
 def parse_date(date: Column) -> Column:
     """ISO or RFC 2822 text to a timestamp; null when it is neither."""
     rfc = F.regexp_replace(date, rf"^{WS}*[A-Za-z]{{3}},{WS}*|{WS}*\([^)]*\){WS}*\z", "")
     rfc = F.regexp_replace(F.regexp_replace(rfc, f"{WS}+", " "), r"(?:GMT|UTC|UT|Z)\z", "+0000")
+    # Zones of the standard that are written as names.
+    zone = F.try_element_at(F.create_map(*map(F.lit, (x for pair in ZONES.items() for x in pair))), F.regexp_extract(rfc, r" ([A-Z]{3})\z", 1))
+    rfc = F.when(zone.isNotNull(), F.concat(F.regexp_replace(rfc, r"[A-Z]{3}\z", ""), zone)).otherwise(rfc)
     return F.coalesce(
         F.when(F.rlike(date, F.lit(r"^[0-9]{4}-")), F.try_to_timestamp(date)),
         F.try_to_timestamp(rfc, F.lit("d MMM yyyy HH:mm[:ss] Z")),

@@ -92,7 +92,7 @@ def transcripts(messages: DataFrame, part_size: int = 1000) -> DataFrame:
     `part_size` messages continues in further parts, in order, so no row and
     no task ever holds an unbounded thread."""
     line = F.concat(
-        F.coalesce(F.nullif("from.name", F.lit("")), "from.email"), F.lit(": "), F.coalesce("body", F.lit(""))
+        F.coalesce(F.nullif("from.name", F.lit("")), "from.email", F.lit("")), F.lit(": "), F.coalesce("body", F.lit(""))
     )
     placed = with_position(messages).select(
         "thread_id", "position", F.floor((F.col("position") - 1) / part_size).alias("part"), line.alias("line")

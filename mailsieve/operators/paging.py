@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -18,36 +19,82 @@ def page_size(n: int, most: int = MAX_PAGE) -> int:
     return n
 
 
+# What comes behind the page's own key, so that no two messages are equal.
+TIES = ("sent_at", "connection_id", "id")
+
+
+def _keys(df: DataFrame, key: str) -> list[str]:
+    return [key, *(c for c in TIES if c in df.columns and c != key)]
+
+
+def newest_first(df: DataFrame, key: str = "uid") -> list[Column]:
+    """A total order, as far as messages differ: by the key, then by time, connection and id, all
+    descending, and what is missing last."""
+    return [F.desc_nulls_last(c) for c in _keys(df, key)]
+
+
 def newest(df: DataFrame, n: int = 20, key: str = "uid") -> DataFrame:
-    return df.orderBy(F.desc(key)).limit(page_size(n))
+    return df.orderBy(*newest_first(df, key)).limit(page_size(n))
 
 
 @dataclass(frozen=True)
 class Page:
     """Rows in page order plus `page_row`; `ahead` is the row that starts the
-    next page, empty on the last one."""
+    next page, with its `page_token`, empty on the last one."""
 
     rows: DataFrame
     ahead: DataFrame
 
-    def next_token(self, key: str):
+    def next_token(self) -> str | None:
         """Asks for the single token value."""
-        first = self.ahead.select(key).head()
-        return None if first is None else str(first[0])
+        first = self.ahead.select("page_token").head()
+        return None if first is None else first[0]
+
+
+def _plain(c: str, df: DataFrame) -> Column:
+    """A key as text; times as microseconds."""
+    return (F.unix_micros(c) if dict(df.dtypes)[c] == "timestamp" else F.col(c)).cast("string")
+
+
+def _from(df: DataFrame, keys: list[str], values: list[str | None]) -> Column:
+    """Rows at or behind the given one, newest first."""
+    if not values:
+        return F.lit(True)
+    key, value, rest = keys[0], values[0], _from(df, keys[1:], values[1:])
+    if value is None:
+        return F.col(key).isNull() & rest
+    kind = "bigint" if dict(df.dtypes)[key] == "timestamp" else dict(df.dtypes)[key]
+    own = F.unix_micros(key) if dict(df.dtypes)[key] == "timestamp" else F.col(key)
+    at = F.lit(value).cast(kind)
+    return own.isNull() | (own < at) | ((own == at) & rest)
 
 
 def keyset_page(df: DataFrame, n: int = 20, token: str | int | None = None, key: str = "uid") -> Page:
-    """Newest first; the token is the key of the page's first row."""
+    """Newest first. The token is the key of the page's first row; where a page
+    begins among rows of one key, or of none, it is the JSON list of all that the
+    order goes by."""
+    keys = _keys(df, key)
     if token is not None:
-        df = df.filter(F.col(key) <= int(token))
-    return _numbered(df.orderBy(F.desc(key)).limit(page_size(n) + 1), n, F.desc(key))
+        text = str(token)
+        values = json.loads(text) if text.startswith("[") else [text]
+        df = df.filter(_from(df, keys, values))
+    order = newest_first(df, key)
+    few = df.orderBy(*order).limit(page_size(n) + 1)
+    # n + 1 rows at the most, so one task for the numbering is right.
+    in_page = W.partitionBy(F.lit(1)).orderBy(*order)
+    shared = F.col(key).isNull() | F.lag(key).over(in_page).eqNullSafe(F.col(key))
+    full = F.to_json(F.array(*(_plain(c, df) for c in keys)), {"ignoreNullFields": "false"})
+    numbered = few.withColumn("page_token", F.when(shared, full).otherwise(F.col(key).cast("string"))).withColumn("page_row", F.row_number().over(in_page))
+    return Page(numbered.filter(F.col("page_row") <= n).drop("page_token"), numbered.filter(F.col("page_row") > n))
 
 
 def offset_page(df: DataFrame, *order: Column, n: int = 10, offset: int = 0) -> Page:
-    """Script-style page: at most 50 rows, one more read to learn whether there
-    are any left. The token is offset + n."""
+    """Script-style page: at most 50 rows, as the script gives, one more read to
+    learn whether there are any left. The token is the offset of the first row
+    that is not on the page, whatever was asked for."""
     n = min(n, SCRIPT_PAGE)
-    return _numbered(df.orderBy(*order).offset(offset).limit(n + 1), n, *order)
+    page = _numbered(df.orderBy(*order).offset(offset).limit(n + 1), n, *order)
+    return Page(page.rows, page.ahead.withColumn("page_token", F.lit(str(offset + n))))
 
 
 def _numbered(few: DataFrame, n: int, *order: Column) -> Page:

@@ -74,11 +74,13 @@ def _plan(instants: DataFrame, window_ms: int, limit: int) -> DataFrame:
 
 def admissions(attempts: DataFrame, window_ms: int = WINDOW_MS, limit: int = LIMIT) -> DataFrame:
     """attempts (key, at_ms) -> one row per key and time: n, admitted and
-    retry_after_s for the rejected rest."""
+    retry_after_s for the rejected rest. Attempts without a key or a time cannot
+    be decided; they are left to `verdicts`, which keeps them undecided."""
     if limit < 1:
         raise ValueError("limit must be at least 1")
     instants = (
-        attempts.groupBy("key", "at_ms")
+        attempts.filter("key IS NOT NULL AND at_ms IS NOT NULL")
+        .groupBy("key", "at_ms")
         .agg(F.count("*").alias("n"))
         .withColumn("slice", F.floor(F.col("at_ms") / window_ms))
     )
@@ -120,14 +122,15 @@ def admissions(attempts: DataFrame, window_ms: int = WINDOW_MS, limit: int = LIM
 def verdicts(attempts: DataFrame, window_ms: int = WINDOW_MS, limit: int = LIMIT, id_col: str = "id") -> DataFrame:
     """Every attempt (id, key, at_ms) with `admitted` and `retry_after_s`; at
     the same millisecond lower ids come first. Numbered inside (key, time),
-    which spreads a busy key over all tasks."""
+    which spreads a busy key over all tasks. Without a key or a time `admitted` is
+    null."""
     place = F.row_number().over(W.partitionBy("key", "at_ms").orderBy(id_col))
     took = admissions(attempts, window_ms, limit).select(
         "key", "at_ms", F.col("admitted").alias("_took"), F.col("retry_after_s").alias("_wait")
     )
     return (
         attempts.withColumn("_place", place)
-        .join(took, ["key", "at_ms"])
+        .join(took, ["key", "at_ms"], "left")
         .withColumn("admitted", F.col("_place") <= F.col("_took"))
         .withColumn("retry_after_s", F.when(~F.col("admitted"), F.col("_wait")))
         .drop("_place", "_took", "_wait")
@@ -145,7 +148,7 @@ def totals(attempts: DataFrame, window_ms: int = WINDOW_MS, limit: int = LIMIT)
 
 def trailing_attempts(attempts: DataFrame, window_ms: int = WINDOW_MS) -> DataFrame:
     """Per attempt, how many attempts of its key, admitted or not, lie in the
-    window that ends with it.
+    window that ends with it; null without a key or a time.
 
     Counted over instants, cut into slices so that a busy key is not one task:
     a slice needs only itself and the slice before it."""
@@ -155,4 +158,4 @@ def trailing_attempts(attempts: DataFrame, window_ms: int = WINDOW_MS) -> DataFr
     copies = instants.withColumn("slice", F.explode(F.array(own, own + 1))).withColumn("home", own)
     w = W.partitionBy("key", "slice").orderBy("at_ms").rangeBetween(-(window_ms - 1), 0)
     counted = copies.withColumn("n_trailing", F.sum("n").over(w)).filter("home = slice")
-    return attempts.join(counted.select("key", "at_ms", "n_trailing"), ["key", "at_ms"])
+    return attempts.join(counted.select("key", "at_ms", "n_trailing"), ["key", "at_ms"], "left")

@@ -8,6 +8,8 @@ before they are gathered.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -18,11 +20,16 @@ from mailsieve.policy import Policy
 from mailsieve.schema import ADDRESSES, STRINGS
 
 
+# An undated message counts as older than any dated one, whichever way a thread
+# is read, and a message without a uid as older than those of its time with one.
+_UNDATED, _NO_UID = -(2**62), 2**62
+
+
 def _time_key(newest_first: bool) -> Column:
     """Sort key of a message in its thread. Equal times keep newest uid first,
     in both directions."""
-    at = F.unix_micros("sent_at")
-    return F.struct((-at if newest_first else at).alias("at"), (-F.col("uid")).alias("uid"))
+    at = F.coalesce(F.unix_micros("sent_at"), F.lit(_UNDATED))
+    return F.struct((-at if newest_first else at).alias("at"), F.coalesce(-F.col("uid"), F.lit(_NO_UID)).alias("uid"))
 
 
 def _addressed(include_to: bool) -> Column:
@@ -118,23 +125,37 @@ def threads(
     API listing names senders only."""
     facts = thread_facts(messages, newest_first, subject_from)
     lists = _mentions(messages, newest_first, include_to).withColumnRenamed("thread_id", "id")
-    return facts.join(lists, "id")
+    return facts.join(lists, facts["id"].eqNullSafe(lists["id"]), "left").drop(lists["id"])
+
+
+def _after(token: str) -> Column:
+    """Threads behind the one that a `page_token` names."""
+    at, thread_id = json.loads(token)
+    last, same = F.unix_micros("last_sent_at"), F.col("id") > F.lit(thread_id)
+    if at is None:
+        return last.isNull() & same
+    return last.isNull() | (last < at) | ((last == at) & same)
 
 
-def thread_page(messages: DataFrame, n: int, scan: int | None = None, **kind) -> DataFrame:
-    """The n threads with the latest messages. The lists are built only for
-    threads on the page. `scan` limits the messages looked at, newest uid
-    first; it is off by default and the whole frame is used."""
+def thread_page(messages: DataFrame, n: int, scan: int | None = None, token: str | None = None, **kind) -> DataFrame:
+    """The n threads with the latest messages, or those behind `token`; undated
+    ones come last. The lists are built only for threads on the page. Each row
+    has the `page_token` after which the next page begins, so the last one's
+    continues. `scan` is the reference's limit of the messages looked at, newest
+    uid first; it is off by default and the whole frame is used."""
     if scan is not None:
-        messages = messages.orderBy(F.desc("uid")).limit(scan)
+        messages = messages.orderBy(F.desc_nulls_last("uid"), F.desc_nulls_last("sent_at"), "id").limit(scan)
     facts = thread_facts(messages, kind.get("newest_first", True), kind.get("subject_from", "latest"))
-    page = facts.orderBy(F.desc("last_sent_at"), "id").limit(n)
+    facts = facts.filter("id IS NOT NULL")
+    page = (facts if token is None else facts.filter(_after(token))).orderBy(F.desc_nulls_last("last_sent_at"), "id").limit(n)
+    at = F.coalesce(F.unix_micros("last_sent_at").cast("string"), F.lit("null"))
+    page = page.withColumn("page_token", F.concat(F.lit("["), at, F.lit(","), F.expr("substring(to_json(array(id)), 2)")))
     # At most n ids: small enough to send everywhere, whatever the corpus.
     ids = F.broadcast(page.select(F.col("id").alias("thread_id")))
     lists = _mentions(
         messages.join(ids, "thread_id", "left_semi"), kind.get("newest_first", True), kind.get("include_to", True)
     ).withColumnRenamed("thread_id", "id")
-    return page.join(lists, "id").orderBy(F.desc("last_sent_at"), "id")
+    return page.join(lists, "id", "left").orderBy(F.desc_nulls_last("last_sent_at"), "id")
 
 
 def blocked_threads(messages: DataFrame, policy: Policy | None = None, include_to: bool = True) -> DataFrame:
@@ -155,25 +176,28 @@ def latest_per_thread(messages: DataFrame) -> DataFrame:
 def thread_messages(messages: DataFrame, thread_id: str) -> DataFrame:
     """One thread, oldest first. The sort is a range-partitioned one, so a
     thread of any size is spread over the cluster."""
-    return messages.filter(F.col("thread_id") == thread_id).orderBy("sent_at", F.desc("uid"))
+    return messages.filter(F.col("thread_id") == thread_id).orderBy("sent_at", F.desc_nulls_last("uid"), "id")
 
 
 def with_position(messages: DataFrame, slice_seconds: int = 3600) -> DataFrame:
-    """Adds `position`, 1 for a thread's oldest message.
+    """Adds `position`, 1 for a thread's oldest message. Undated messages come
+    first, and those without a thread are one of their own.
 
     A window over whole threads would put the largest in one task. Messages
     are numbered inside (thread, time slice) instead, and each slice starts
     where the counts of the earlier ones end; the counts are one row per slice."""
-    sliced = messages.withColumn("_slice", F.floor(F.unix_seconds("sent_at") / slice_seconds))
-    counts = sliced.groupBy("thread_id", "_slice").agg(F.count("*").alias("_n"))
-    before = W.partitionBy("thread_id").orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    at = F.floor(F.unix_seconds("sent_at") / slice_seconds)
+    sliced = messages.withColumn("_slice", F.coalesce(at, F.lit(_UNDATED))).withColumn("_thread", F.struct("thread_id"))
+    counts = sliced.groupBy("_thread", "_slice").agg(F.count("*").alias("_n"))
+    before = W.partitionBy("_thread").orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    inside = W.partitionBy("thread_id", "_slice").orderBy("sent_at", F.desc("uid"))
+    ties = [F.col("id")] if "id" in messages.columns else []
+    inside = W.partitionBy("_thread", "_slice").orderBy("sent_at", F.desc_nulls_last("uid"), *ties)
     ranked = sliced.withColumn("_rank", F.row_number().over(inside))
     return (
-        ranked.join(starts, ["thread_id", "_slice"])
+        ranked.join(starts, ["_thread", "_slice"])
         .withColumn("position", (F.col("_start") + F.col("_rank")).cast("bigint"))
-        .drop("_slice", "_start", "_rank")
+        .drop("_slice", "_start", "_rank", "_thread")
     )
 
 

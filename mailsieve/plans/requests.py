@@ -37,10 +37,10 @@ def read_email(messages: DataFrame, message_id: str, policy: Policy | None = Non
 
 
 def list_threads(
-    messages: DataFrame, query: str = "", policy: Policy | None = None, n: int = 20, hardened: bool = False, **options
+    messages: DataFrame, query: str = "", policy: Policy | None = None, n: int = 20, hardened: bool = False, token: str | None = None, **options
 ) -> DataFrame:
     policy = policy or Policy()
-    page = threads_ops.thread_page(search(messages, query, **options), page_size(n))
+    page = threads_ops.thread_page(search(messages, query, **options), page_size(n), token=token)
     kept = page.filter(~thread_blocked(F.col("participants"), policy))
     return views.thread_view(kept, policy, hardened)
 
@@ -85,7 +85,7 @@ def search_response(
         .select(F.transform("rows", lambda r: r["row"]).alias("results"))
     )
     total = found.agg(F.count("*").alias("total_results"))
-    ahead = page.ahead.agg(F.max("uid").cast("string").alias("next_page_token"))
+    ahead = page.ahead.agg(F.max("page_token").alias("next_page_token"))
     n_blocked = F.count_if(F.col("action") == "block")
     blocked = with_verdict(page.rows, policy).agg(
         F.when((n_blocked > 0) & F.lit(policy.show_filtered_count), n_blocked).alias("filtered_count")

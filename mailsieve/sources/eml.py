@@ -99,13 +99,14 @@ def _pieces(source: bytes) -> dict:
         if part.get_content_disposition() == "attachment" or kind not in ("text/plain", "text/html"):
             files.append({"filename": part.get_filename(), "mime_type": kind, "size": len(_content(part))})
         else:
-            texts.setdefault(kind, _text(part))
+            texts.setdefault(kind, []).append(_text(part))
     return {
         "subject": _header(msg, "subject"),
         **{n: _groups(msg, n) for n in ("from", "to", "cc")},
         "sent_at": date,
-        "text": texts.get("text/plain"),
-        "html": texts.get("text/html"),
+        # All parts of a kind, in order: text behind an attachment is text as well.
+        "text": "\n".join(texts["text/plain"]) if "text/plain" in texts else None,
+        "html": "\n".join(texts["text/html"]) if "text/html" in texts else None,
         "attachments": files,
         "references": (_header(msg, "references") or "").split(),
         "in_reply_to": _header(msg, "in-reply-to"),
