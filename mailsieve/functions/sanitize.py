@@ -11,6 +11,8 @@ is read as far as the patterns go.
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,33 +32,37 @@ _INVISIBLE = r"[\x{AD}-\x{E007F}&&" + INVISIBLE + "]"
 # Private marks; removed from the input before use.
 _UP, _DOWN, _ITEM, _BREAK = "\x02", "\x03", "\x04", "\x05"
 
-# pattern -> replacement, in order; `$n` refers to groups.
-_TARGET = r"""\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))"""
+# pattern -> replacement, in order; `$n` refers to groups. No pattern reads on
+# behind the next tag of its kind, and none goes back into what it has read, so
+# unclosed tags cost no more than closed ones.
+_TARGET = r"""\bhref\s*+=\s*+(?:"(?:mailto:)?([^"<>]*+)"|'(?:mailto:)?([^'<>]*+)'|(?:mailto:)?([^\s<>"']++))"""
+_INSIDE_LINK = r"[^<]*+(?:<(?!/?a\b)[^<]*+)*+"
+_INSIDE_HEADING = r"[^<]*+(?:<(?!/?h[1-6]\b)[^<]*+)*+"
 _MARKUP = [
     (
         r"(?i)<!--[\s\S]*?(?:-->|\z)|<script\b[\s\S]*?(?:</script\s*>|\z)|<style\b[\s\S]*?(?:</style\s*>|\z)"
         r"|<title\b[\s\S]*?(?:</title\s*>|\z)",
         "",
     ),
-    (r"(?i)<head\b[\s\S]*?</head\s*>|<!doctype[^>]*>|<img\b[^>]*>", ""),
+    (r"(?i)<head\b[^<]*+(?:<(?!/?(?:head|body)\b)[^<]*+)*+</head\s*+>|<!doctype[^<>]*+>|<img\b[^<>]*+>", ""),
     # White space to single blanks; a blank on its own is left alone.
     (r"[\t\n\x0B\f\r[\x{A0}-\x{FEFF}&&" + WS + "]]", " "),
     (" {2,}", " "),
-    (r"""(?i)<a\b[^>]*?\bhref\s*=\s*["']?(?:mailto:)?([^"'>]*)["']?[^>]*> ?\1 ?</a ?>""", "$1"),
-    (r"""(?i)<a\b[^>]*?\bhref\s*=\s*["']?#[^>]*>(.*?)</a ?>""", "$1"),
-    (rf"(?i)<a\b[^>]*?{_TARGET}[^>]*>(.*?)</a ?>", "$4 [$1$2$3]"),
-    (r"(?i)<h[1-6]\b[^>]*>(.*?)</h[1-6] ?>", f"\n\n{_UP}$1{_DOWN}\n\n"),
-    (r"(?i)<br\b[^>]*>", "\n"),
-    (r"(?i)<hr\b[^>]*>", "\n\n" + "-" * 40 + "\n\n"),
-    (r"(?i)<li\b[^>]*>", f"{_BREAK}{_ITEM}"),
-    (r"(?i)</?(?:p|ul|ol|dl|blockquote|pre|table)\b[^>]*>", "\n\n"),
+    (rf"(?i)<a\b[^<>]*?{_TARGET}[^<>]*+> ?(?:\1|\2|\3) ?</a ?>", "$1$2$3"),
+    (rf"""(?i)<a\b[^<>]*?\bhref\s*+=\s*+["']?#[^<>]*+>({_INSIDE_LINK})</a ?>""", "$1"),
+    (rf"(?i)<a\b[^<>]*?{_TARGET}[^<>]*+>({_INSIDE_LINK})</a ?>", "$4 [$1$2$3]"),
+    (rf"(?i)<h[1-6]\b[^<>]*+>({_INSIDE_HEADING})</h[1-6] ?>", f"\n\n{_UP}$1{_DOWN}\n\n"),
+    (r"(?i)<br\b[^<>]*+>", "\n"),
+    (r"(?i)<hr\b[^<>]*+>", "\n\n" + "-" * 40 + "\n\n"),
+    (r"(?i)<li\b[^<>]*+>", f"{_BREAK}{_ITEM}"),
+    (r"(?i)</?(?:p|ul|ol|dl|blockquote|pre|table)\b[^<>]*+>", "\n\n"),
     (
         r"(?i)</?(?:div|article|section|header|footer|nav|main|aside|address|form|fieldset|figure"
-        r"|tr|dt|dd|caption|body|html)\b[^>]*>",
+        r"|tr|dt|dd|caption|body|html)\b[^<>]*+>",
         _BREAK,
     ),
     (r"(?i)</t[dh] ?>", " "),
-    (r"<[A-Za-z/!?][^>]*>", ""),
+    (r"<[A-Za-z/!?][^<>]*+>", ""),
 ]
 def strip_invisible(text: Column) -> Column:
     # All of them lie outside ASCII, where bytes and characters are as many.
@@ -81,11 +87,14 @@ def _numeric_reference(piece: Column) -> Column:
 def decode_entities(text: Column) -> Column:
     """Each reference once; what is not known stays as it is."""
     names = F.create_map(*(F.lit(x) for name, char in ENTITIES.items() for x in (name[1:-1], char)))
+    # All others that HTML knows; looked up only when the usual ones fail.
+    known = {name[:-1]: char for name, char in html5.items() if name.endswith(";")}
+    others = F.map_from_arrays(*(F.split(F.lit("\x01".join(x)), "\x01") for x in (known, known.values())))
 
     def one(piece: Column) -> Column:
         """`amp;rest`, the text behind an `&`."""
         name = F.substring_index(piece, ";", 1)
-        char = F.when(F.contains(piece, F.lit(";")), F.try_element_at(names, name))
+        char = F.when(F.contains(piece, F.lit(";")), F.coalesce(F.try_element_at(names, name), F.when(F.length(name) < 34, F.try_element_at(others, name))))
         rest = F.substring(piece, F.length(name) + 2, F.length(piece))
         numeric = F.when(F.startswith(piece, F.lit("#")), _numeric_reference(F.substring(piece, 2, 2**31 - 1)))
         return F.coalesce(F.concat(char, rest), numeric, F.concat(F.lit("&"), piece))
