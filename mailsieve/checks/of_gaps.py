@@ -104,3 +104,16 @@ def j1_trailing(spark, sf_dir):
 def j1_undecided(spark, sf_dir):
     found = ratelimit.verdicts(gapped_attempts(spark, sf_dir), DAY_MS, 3)
     return found.select("id", F.col("admitted").isNull().alias("undecided"))
+
+
+@check(
+    "l2_awaiting_aliases",
+    f"""WITH {MAIL_SQL} SELECT id, thread_id FROM m a WHERE folder = 'SENT' AND NOT EXISTS
+    (SELECT 1 FROM m b WHERE b.thread_id = a.thread_id AND b.folder <> 'SENT' AND b.date_epoch < a.date_epoch)""",
+)
+def l2(spark, sf_dir):
+    """Read backwards, so that sent messages come last, and with folder paths as labels."""
+    df = mail(spark, sf_dir)
+    back = F.timestamp_seconds(F.lit(4_000_000_000) - F.unix_seconds("sent_at"))
+    paths = F.transform("labels", lambda x: F.when(x == "SENT", "Sent Items").otherwise(x))
+    return analyses.awaiting_reply(df.withColumns({"sent_at": back, "labels": paths})).select("id", "thread_id")

@@ -449,6 +449,8 @@ _search("c13_search_flagged_read", "is:starred is:read is:odd", f"{_IN} AND uid
 _search("c13_search_last_wins", "subject:nothing subject:topic", f"{_IN} AND contains(lower(subject), 'topic')")
 _search("c14_search_free_text", "Topic 1", f"{_IN} AND contains(lower(subject), 'topic 1')")
 _search("c14_search_unknown_op", 'subject:re: has:attachment', f"{_IN} AND contains(lower(subject), 're: has:attachment')")
+_search("c14_search_unknown_found", "Re: Fwd: Project", f"{_IN} AND contains(lower(subject), 're: fwd: project')")
+_search("c15_search_quotes_found", "subject:\"Fwd: Project\" 'plan'", f"{_IN} AND contains(lower(subject), 'fwd: project plan')")
 _search("c15_search_quotes", "subject:\"Re: Fwd\" 'Project", f"{_IN} AND contains(lower(subject), 're: fwd project')")
 _search("c16_search_folder", "label:CATEGORY_PROMOTIONS", "folder = 'CATEGORY_PROMOTIONS'")
 _search("c16_search_everywhere", "in:all", "true", paths=[])
@@ -463,20 +465,21 @@ _search(
 @check(
     "c16_resolve_folders",
     """WITH b AS (SELECT concat('c', CAST(c_custkey % 50 AS VARCHAR)) AS connection_id, c_custkey AS position,
-      CASE c_custkey % 7 WHEN 0 THEN 'sent items' WHEN 1 THEN 'Work' WHEN 2 THEN 'Sent Messages' WHEN 3 THEN 'Out' ELSE concat('F', CAST(c_custkey AS VARCHAR)) END AS path,
-      CASE WHEN c_custkey % 7 = 3 AND c_custkey % 50 < 10 THEN '\\Sent' END AS special_use FROM customer WHERE c_custkey % 50 <> 7 OR c_custkey % 7 > 3),
+      CASE WHEN c_custkey % 50 = 7 AND c_custkey % 7 <= 3 THEN concat('F', CAST(c_custkey AS VARCHAR)) ELSE CASE c_custkey % 7 WHEN 0 THEN 'sent items' WHEN 1 THEN 'Work' WHEN 2 THEN 'Sent Messages' WHEN 3 THEN 'Out' ELSE concat('F', CAST(c_custkey AS VARCHAR)) END END AS path,
+      CASE WHEN c_custkey % 7 = 3 AND c_custkey % 50 < 10 AND c_custkey % 50 <> 7 THEN '\\Sent' END AS special_use FROM customer),
     r AS (SELECT *, CASE WHEN special_use = '\\Sent' THEN 0 WHEN lower(path) = 'sent' THEN 1 WHEN lower(path) = 'sent messages' THEN 2
       WHEN lower(path) = 'sent items' THEN 3 END AS rank FROM b)
     SELECT connection_id, coalesce(arg_min(path, [rank, position]) FILTER (rank IS NOT NULL), 'Sent') AS path FROM r GROUP BY ALL""",
 )
 def c16(spark, sf_dir):
     k = F.col("c_custkey")
-    boxes = table(spark, sf_dir, "customer").filter((k % 50 != 7) | (k % 7 > 3)).select(
+    other = F.concat(F.lit("F"), k.cast("string"))
+    boxes = table(spark, sf_dir, "customer").select(  # the connection c7 has no folder of the kind
         F.concat(F.lit("c"), (k % 50).cast("string")).alias("connection_id"),
         k.alias("position"),
-        F.when(k % 7 == 0, "sent items").when(k % 7 == 1, "Work").when(k % 7 == 2, "Sent Messages").when(k % 7 == 3, "Out")
-        .otherwise(F.concat(F.lit("F"), k.cast("string"))).alias("path"),
-        F.when((k % 7 == 3) & (k % 50 < 10), r"\Sent").alias("special_use"),
+        F.when((k % 50 == 7) & (k % 7 <= 3), other).when(k % 7 == 0, "sent items").when(k % 7 == 1, "Work").when(k % 7 == 2, "Sent Messages").when(k % 7 == 3, "Out")
+        .otherwise(other).alias("path"),
+        F.when((k % 7 == 3) & (k % 50 < 10) & (k % 50 != 7), r"\Sent").alias("special_use"),
     )
     return search.resolve_folders(boxes, "sent")
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mailsieve.functions.address import sender_domain
+from mailsieve.operators.search import carries
 from mailsieve.operators.threads import with_position
 
 PROMOTIONS = "CATEGORY_PROMOTIONS"
@@ -29,7 +30,7 @@ def label_distribution(messages: DataFrame) -> DataFrame:
 
 
 def _is_sent(sent_label: str):
-    return F.array_contains("labels", sent_label)
+    return carries(sent_label)
 
 
 def last_inbound(messages: DataFrame, sent_label: str = "SENT") -> DataFrame:

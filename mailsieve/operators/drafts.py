@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from mailsieve.functions.text import to_base64url
 from mailsieve.operators.paging import newest
+from mailsieve.operators.search import carries
 from mailsieve.operators.threads import thread_participants
 
 CREATED = "Draft created successfully. The user must review and send it manually."
@@ -18,7 +19,7 @@ _CRLF = "\r\n"
 
 def list_drafts(messages: DataFrame, n: int = 20, label: str = "DRAFT") -> DataFrame:
     """Newest drafts first."""
-    drafts = newest(messages.filter(F.array_contains("labels", label)), n)
+    drafts = newest(messages.filter(carries(label)), n)
     return drafts.select(
         "id",
         F.col("id").alias("message_id"),

@@ -142,6 +142,21 @@ def search(
     return messages
 
 
+def folder_names(label: str) -> list[str]:
+    """A label and, when it names a usual folder, all names that folder has in
+    any source, in lower case."""
+    logical = FOLDER_ALIASES.get(label.lower())
+    aliases = [alias for alias, name in FOLDER_ALIASES.items() if name == logical] if logical else []
+    paths = LOGICAL_FOLDERS[logical][1] if logical in LOGICAL_FOLDERS else []
+    return sorted({label.lower(), *aliases, *(path.lower() for path in paths)})
+
+
+def carries(label: str) -> Column:
+    """Whether a message carries the label, under whichever of its names."""
+    names = folder_names(label)
+    return F.coalesce(F.exists("labels", lambda x: F.lower(x).isin(names)), F.lit(False))
+
+
 def resolve_folders(mailboxes: DataFrame, logical: str) -> DataFrame:
     """The real path of a logical folder for every connection of a mailbox
     table (connection_id, position, path, special_use): the special-use flag

@@ -93,10 +93,10 @@ def resolve_requests(requests: DataFrame, keys: DataFrame, connections: DataFram
         .when(F.col("status").isNull(), "Connection not found. Connect an email account first.")
         .otherwise(F.col("connection_error"))
     )
+    # The small sides first: requests, of which one key may have a third, are joined once.
+    known = found.join(usable, "connection_id", "left").join(typed, "connection_id", "left")
     return (
-        hashed.join(found, "key_hash", "left")
-        .join(usable, "connection_id", "left")
-        .join(typed, "connection_id", "left")
+        hashed.join(known, "key_hash", "left")
         .withColumns(defaults)
         .withColumn("error", error)
         .drop("key_hash", "api_key", "connection_error", "status", "has_policy")

@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 
 from mailsieve.functions.address import sender_domain
 from mailsieve.operators.blocklist import domain_blocked
-from mailsieve.policy import Policy
+from mailsieve.policy import Policy, PolicyColumns
 from mailsieve.schema import ADDRESSES, STRINGS
 
 
@@ -158,13 +158,15 @@ def thread_page(messages: DataFrame, n: int, scan: int | None = None, token: str
     return page.join(lists, "id", "left").orderBy(F.desc_nulls_last("last_sent_at"), "id")
 
 
-def blocked_threads(messages: DataFrame, policy: Policy | None = None, include_to: bool = True) -> DataFrame:
+def blocked_threads(messages: DataFrame, policy: Policy | PolicyColumns | None = None, include_to: bool = True) -> DataFrame:
     """Per thread whether every participant is on a blocked domain. A plain
-    boolean aggregate over mentions, without building participant lists."""
+    boolean aggregate, without building participant lists. With a policy per
+    connection, `messages` come from `join_policies` and threads are told apart by
+    connection as well."""
     policy = policy or Policy()
-    mentions = messages.select("thread_id", F.explode(_addressed(include_to)).alias("who"))
-    each = domain_blocked(sender_domain(F.coalesce(F.col("who.email"), F.lit(""))), policy)
-    return mentions.groupBy("thread_id").agg(F.bool_and(each).alias("thread_blocked"))
+    each = F.forall(_addressed(include_to), lambda a: domain_blocked(sender_domain(F.coalesce(a["email"], F.lit(""))), policy))
+    keys = ["connection_id", "thread_id"] if isinstance(policy, PolicyColumns) else ["thread_id"]
+    return messages.groupBy(*keys).agg(F.bool_and(each).alias("thread_blocked"))
 
 
 def latest_per_thread(messages: DataFrame) -> DataFrame:

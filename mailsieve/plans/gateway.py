@@ -158,9 +158,12 @@ def _message_columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c in own or c == "connection_id"]
 
 
-def process(df: DataFrame, policy: Policy | PolicyColumns | None = None, stages: Iterable[Stage] = ()) -> DataFrame:
+def process(
+    df: DataFrame, policy: Policy | PolicyColumns | None = None, stages: Iterable[Stage] = (), carry: Iterable[str] = ()
+) -> DataFrame:
     """One row per message with `action` and `reason`: passed rows cleaned,
-    blocked rows as they came. Audit columns keep what was changed.
+    blocked rows as they came. Audit columns keep what was changed. Columns in
+    `carry` go along beside those of a message.
 
     The texts of blocked rows are null on their way through, so they skip the
     costly expressions while the scan stays single. User stages see them so."""
@@ -179,8 +182,9 @@ def process(df: DataFrame, policy: Policy | PolicyColumns | None = None, stages:
     }
     own = [F.col(c) for c in _message_columns(df) if c not in final]
     shown = [v.alias(c) for c, v in final.items()]
-    order = [*_message_columns(df), "action", "reason", "pii_redacted", "injection_labels"]
-    return out.select(*own, *shown).select(*order)
+    carry = list(carry)
+    order = [*_message_columns(df), "action", "reason", "pii_redacted", "injection_labels", *carry]
+    return out.select(*own, *shown, *carry).select(*order)
 
 
 def passed(df: DataFrame, policy: Policy | PolicyColumns | None = None, stages: Iterable[Stage] = ()) -> DataFrame:
@@ -211,8 +215,14 @@ def write_split(df: DataFrame, path: str, policy=None, stages: Iterable[Stage] =
 
 def process_tenants(messages: DataFrame, policies: DataFrame, stages: Iterable[Stage] = ()) -> DataFrame:
     """`process` with each connection's own policy."""
+    return tenant_run(messages, policies, stages)[0].drop("_policy")
+
+
+def tenant_run(messages: DataFrame, policies: DataFrame, stages: Iterable[Stage] = ()) -> tuple[DataFrame, PolicyColumns]:
+    """The same with the policy beside each message, and the handle that views
+    and counts take in place of a single policy."""
     joined, policy = join_policies(messages, policies)
-    return process(joined, policy, stages)
+    return process(joined, policy, stages, carry=[policy.qualifier]), policy
 
 
 def final_action(df: DataFrame) -> DataFrame:
@@ -231,7 +241,9 @@ def final_action(df: DataFrame) -> DataFrame:
     )
 
 
-def filtered_count(judged: DataFrame, show: bool = True, keys: Iterable[str] = ()) -> DataFrame:
-    """How many rows were blocked; null when none were or the policy hides it."""
+def filtered_count(judged: DataFrame, show: bool | Column = True, keys: Iterable[str] = ()) -> DataFrame:
+    """How many rows were blocked; null when none were or the policy hides it. A
+    column as `show` must be the same in all rows of a group, as a connection's is."""
     n = F.count_if(F.col("action") == "block")
-    return judged.groupBy(*keys).agg(F.when((n > 0) & F.lit(show), n).alias("filtered_count"))
+    shown = F.bool_and(show) if isinstance(show, Column) else F.lit(show)
+    return judged.groupBy(*keys).agg(F.when((n > 0) & shown, n).alias("filtered_count"))

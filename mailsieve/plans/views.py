@@ -1,4 +1,7 @@
-"""What a reader gets to see of a message, thread, draft or label."""
+"""What a reader gets to see of a message, thread, draft or label.
+
+Every view takes one policy, or the columns of each connection's own that
+`gateway.tenant_run` leaves beside its messages."""
 
 from __future__ import annotations
 
@@ -8,10 +11,10 @@ from pyspark.sql import functions as F
 from mailsieve.functions.address import format_address, format_addresses
 from mailsieve.functions.redact import redact
 from mailsieve.functions.sanitize import strip_invisible
-from mailsieve.policy import Policy
+from mailsieve.policy import Policy, PolicyColumns
 
 
-def search_view(messages: DataFrame, policy: Policy | None = None) -> DataFrame:
+def search_view(messages: DataFrame, policy: Policy | PolicyColumns | None = None) -> DataFrame:
     """Summary line. Attachments count only when the policy leaves them in."""
     policy = policy or Policy()
     return messages.select(
@@ -27,7 +30,7 @@ def search_view(messages: DataFrame, policy: Policy | None = None) -> DataFrame:
     )
 
 
-def message_view(messages: DataFrame, policy: Policy | None = None, *extra: str) -> DataFrame:
+def message_view(messages: DataFrame, policy: Policy | PolicyColumns | None = None, *extra: str) -> DataFrame:
     policy = policy or Policy()
     return messages.select(
         "id",
@@ -45,7 +48,7 @@ def message_view(messages: DataFrame, policy: Policy | None = None, *extra: str)
     )
 
 
-def thread_message_view(messages: DataFrame, policy: Policy | None = None) -> DataFrame:
+def thread_message_view(messages: DataFrame, policy: Policy | PolicyColumns | None = None) -> DataFrame:
     policy = policy or Policy()
     return messages.select(
         "id",
@@ -58,12 +61,12 @@ def thread_message_view(messages: DataFrame, policy: Policy | None = None) -> Da
     )
 
 
-def harden(df: DataFrame, policy: Policy, *columns: str) -> DataFrame:
+def harden(df: DataFrame, policy: Policy | PolicyColumns, *columns: str) -> DataFrame:
     """Cleans columns that views otherwise show as stored."""
     return df.withColumns({c: redact(strip_invisible(F.col(c)), policy) for c in columns})
 
 
-def thread_view(threads: DataFrame, policy: Policy | None = None, hardened: bool = False) -> DataFrame:
+def thread_view(threads: DataFrame, policy: Policy | PolicyColumns | None = None, hardened: bool = False) -> DataFrame:
     """Thread line. Subject and snippet appear as stored unless hardened."""
     policy = policy or Policy()
     if hardened:
@@ -80,7 +83,7 @@ def thread_view(threads: DataFrame, policy: Policy | None = None, hardened: bool
     )
 
 
-def draft_view(drafts: DataFrame, policy: Policy | None = None, hardened: bool = False) -> DataFrame:
+def draft_view(drafts: DataFrame, policy: Policy | PolicyColumns | None = None, hardened: bool = False) -> DataFrame:
     policy = policy or Policy()
     if hardened:
         drafts = harden(drafts, policy, "subject", "snippet")
@@ -98,7 +101,7 @@ def label_view(labels: DataFrame) -> DataFrame:
     return labels.select("id", "name", "type", "messages_total", "messages_unread")
 
 
-def read_view(processed: DataFrame, policy: Policy | None = None) -> DataFrame:
+def read_view(processed: DataFrame, policy: Policy | PolicyColumns | None = None) -> DataFrame:
     """A processed message: its full view, or only why it is withheld."""
     view = message_view(processed, policy, "action", "reason").withColumnRenamed("id", "message_id")
     blocked = F.col("action") == "block"

@@ -99,33 +99,39 @@ def mime_attachments(parts: Column) -> Column:
     ).cast(ATTACHMENTS)
 
 
+_FIELDS = "id:string,threadId:string,snippet:string,labelIds:array<string>"
+
+
 def with_parts(df: DataFrame, column: str = "json") -> DataFrame:
-    """Adds `msg` (fields and headers) and `parts` (flat, pre-order).
+    """Fields, `headers` and `parts` (flat, pre-order) of every document.
 
     A document cannot nest deeper than it has "parts" keys. Counting them in
     the text tells, before any parsing, which documents the typed path reads
-    whole; only the rest goes through Python."""
-    shallow = f"struct<id:string,threadId:string,snippet:string,labelIds:array<string>,payload:{_payload_type(TYPED_LEVELS)}>"
-    raw = "struct<id:string,threadId:string,snippet:string,labelIds:array<string>,payload:string>"
+    whole; only the rest reaches Python, as text that is null for all others. Both
+    come from one scan."""
     is_deep = F.regexp_count(column, F.lit('"parts"')) >= TYPED_LEVELS
-
-    typed = df.filter(~is_deep).withColumn("m", F.from_json(column, shallow))
-    typed = typed.withColumn("parts", _flatten(F.col("m.payload"), TYPED_LEVELS))
-    deep = df.filter(is_deep).withColumn("m", F.from_json(column, raw))
-    deep = deep.withColumn("parts", _flatten_deep("m.payload"))
-    headers = {
-        "typed": F.col("m.payload.headers"),
-        "deep": F.from_json("m.payload", f"struct<headers:{_HEADERS}>")["headers"],
-    }
-    keep = ["m.id", "m.threadId", "m.snippet", "m.labelIds"]
-    return typed.select(*keep, headers["typed"].alias("headers"), "parts").unionByName(
-        deep.select(*keep, headers["deep"].alias("headers"), "parts")
+    text = F.col(column)
+    parsed = df.select(
+        F.from_json(text, f"struct<{_FIELDS},payload:struct<headers:{_HEADERS}>>").alias("m"),
+        F.from_json(F.when(~is_deep, text), f"struct<payload:{_payload_type(TYPED_LEVELS)}>").alias("t"),
+        F.from_json(F.when(is_deep, text), "struct<payload:string>")["payload"].alias("deep"),
     )
+    parts = F.coalesce(_flatten_deep("deep"), F.when(F.col("t.payload").isNotNull(), _flatten(F.col("t.payload"), TYPED_LEVELS)))
+    return parsed.select("m.id", "m.threadId", "m.snippet", "m.labelIds", F.col("m.payload.headers").alias("headers"), parts.alias("parts"))
+
+
+def rejected_exports(df: DataFrame, column: str = "json") -> DataFrame:
+    """The rows of an export that are no messages, with `reason`: they do not
+    parse, or have no id. `from_gmail_export` leaves out just these."""
+    id_ = F.from_json(F.col(column), "struct<id:string,_broken:string>", {"columnNameOfCorruptRecord": "_broken"})
+    reason = F.when(F.col(column).isNull() | id_["_broken"].isNotNull() | id_.isNull(), "not a JSON document").when(id_["id"].isNull(), "no id")
+    return df.withColumn("reason", reason).filter("reason IS NOT NULL")
 
 
 def from_gmail_export(df: DataFrame, column: str = "json") -> DataFrame:
-    """API documents in `column` to messages."""
-    flat = with_parts(df, column)
+    """API documents in `column` to messages; what is none is in
+    `rejected_exports`."""
+    flat = with_parts(df, column).filter("id IS NOT NULL")
     h = F.coalesce(F.col("headers"), F.array().cast(_HEADERS))
     labels = F.coalesce("labelIds", F.array().cast(STRINGS))
     date = header(h, "Date")
