@@ -2,8 +2,10 @@
 
 Texts with equal shingle sets are one class. A class can only be linked to
 another by shingles that occur in several classes, so first the document
-frequency of every shingle is found, from packed rows dealt by hash. Ordered
-from rare to frequent, two sets of the wanted similarity share a shingle among
+frequency of every shingle is found, from packed rows dealt by hash. Shingles
+that a bounded sample shows to be hot are not counted but ranked last, so a
+passage or a group of near copies that holds a third of all rows meets in no
+task. Ordered from rare to frequent, two sets of the wanted similarity share a shingle among
 the first n - ceil(t n) + 1 of each; a class of which those are all its own is
 done. The few that are left, reduced to their shared shingles, are put together
 wherever their prefixes meet.
@@ -46,6 +48,9 @@ ABOVE, OVER = 75, 100
 # Shingles in a bucket or shard, and classes in a block: what a task holds.
 BUCKET_TOKENS = 1_500_000
 BLOCK_CLASSES = 1_024
+# A shingle in so many of so many sampled documents is hot.
+HOT_SAMPLE, HOT_LEAST = 20_000, 16
+_HOT_RANK = 255
 _FANOUT = 8
 _HELD_TOKENS = 2_000_000
 _REPLY = np.dtype([("cls", "<i8"), ("token", "<u8"), ("n", "<u4"), ("rank", "u1")])
@@ -98,27 +103,44 @@ def shingle_classes(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return rows.mapInArrow(work, f"doc_id {dict(docs.dtypes)['doc_id']}, text_hash long, n_shingles long, class long")
 
 
-def _postings(docs: DataFrame, words: int, buckets: int) -> DataFrame:
+def _packed_rows(bucket: np.ndarray, cls: np.ndarray, size: np.ndarray, tokens: np.ndarray, width: int) -> list[tuple]:
+    """One row for each bucket: its classes, their set sizes and numbers of tokens
+    in it, and the low `width` bytes of the tokens."""
+    order = np.lexsort((cls, bucket))
+    cls, size, tokens, bucket = cls[order], size[order], tokens[order], bucket[order]
+    new = np.ones(len(cls), dtype=bool)
+    new[1:] = (cls[1:] != cls[:-1]) | (bucket[1:] != bucket[:-1])
+    first = np.flatnonzero(new)
+    counts = np.diff(np.append(first, len(cls))).astype("<u4")
+    starts = np.append(first, len(cls))
+    present = np.unique(bucket)
+    cuts = np.append(np.searchsorted(bucket[first], present), len(first))
+    low = np.ascontiguousarray(tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width])
+    rows = []
+    for b, i, j in zip(present, cuts, cuts[1:]):
+        rows.append((int(b), cls[first[i:j]].astype("<i8").tobytes(), size[first[i:j]].astype("<u4").tobytes(), counts[i:j].tobytes(), low[starts[i] : starts[j]].tobytes()))
+    return rows
+
+
+def _postings(docs: DataFrame, words: int, buckets: int, hot: np.ndarray | None = None) -> DataFrame:
     """bucket, and the tokens in it by class, packed: class (8 bytes), set size and
-    number of tokens (4 each), and 6 bytes of every token."""
+    number of tokens (4 each), and 6 bytes of every token. A token is the number
+    of its bucket and 48 bits of its hash. Tokens in `hot` need no counting: they
+    go, whole, to buckets behind the others that are dealt without regard to them."""
+    hot = np.zeros(0, dtype=np.uint64) if hot is None else hot
 
     def flush(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        cls, size, tokens = (np.concatenate(x) for x in zip(*held))
-        bucket = ((tokens >> np.uint64(48)) * np.uint64(buckets) >> np.uint64(16)).astype(np.int64)
-        order = np.lexsort((cls, bucket))
-        cls, size, tokens, bucket = cls[order], size[order], tokens[order], bucket[order]
-        new = np.ones(len(cls), dtype=bool)
-        new[1:] = (cls[1:] != cls[:-1]) | (bucket[1:] != bucket[:-1])
-        first = np.flatnonzero(new)
-        counts = np.diff(np.append(first, len(cls))).astype("<u4")
-        cuts = np.searchsorted(bucket[first], np.arange(buckets + 1))
-        parts = []
-        bytes_of = np.ascontiguousarray(tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
-        starts = np.append(first, len(cls))
-        for b in np.flatnonzero(np.diff(cuts)):
-            own = slice(cuts[b], cuts[b + 1])
-            parts.append((int(b), cls[first[own]].astype("<i8").tobytes(), size[first[own]].astype("<u4").tobytes(), counts[own].tobytes(), bytes_of[starts[cuts[b]] : starts[cuts[b + 1]]].tobytes()))
-        columns = list(zip(*parts))
+        cls, size, hashes = (np.concatenate(x) for x in zip(*held))
+        bucket = (hashes >> np.uint64(48)) * np.uint64(buckets) >> np.uint64(16)
+        tokens = hashes & np.uint64((1 << 48) - 1) | bucket << np.uint64(48)
+        known = np.zeros(len(tokens), dtype=bool)
+        if len(hot):
+            known = hot[np.minimum(np.searchsorted(hot, tokens), len(hot) - 1)] == tokens
+        rest = ~known
+        rows = _packed_rows(bucket[rest].astype(np.int64), cls[rest], size[rest], tokens[rest], 6)
+        dealt = buckets + np.mod(cls[known], buckets)
+        rows += _packed_rows(dealt, cls[known], size[known], tokens[known], 8)
+        columns = list(zip(*rows))
         return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["bucket", "classes", "sizes", "counts", "tokens"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,32 +171,59 @@ def _joined(table: pa.Table, column: str, kind) -> np.ndarray:
     return np.frombuffer(b"".join(table.column(column).to_pylist()), dtype=kind)
 
 
-def _shared_tokens(postings: DataFrame, shards: int) -> DataFrame:
+def _bucket_rows(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(class, set size, token) of a bucket, by token and class, each once."""
+    counts = _joined(table, "counts", "<u4")
+    cls = np.repeat(_joined(table, "classes", "<i8"), counts)
+    size = np.repeat(_joined(table, "sizes", "<u4"), counts)
+    raw = _joined(table, "tokens", np.uint8).reshape(-1, width)
+    tokens = np.zeros((len(raw), 8), dtype=np.uint8)
+    tokens[:, :width] = raw
+    tokens = tokens.view("<u8").ravel()
+    if width < 8:
+        tokens = tokens | np.uint64(table.column("bucket")[0].as_py()) << np.uint64(48)
+    order = np.lexsort((cls, tokens))
+    cls, size, tokens = cls[order], size[order], tokens[order]
+    once = np.ones(len(cls), dtype=bool)
+    once[1:] = (cls[1:] != cls[:-1]) | (tokens[1:] != tokens[:-1])
+    return cls[once], size[once], tokens[once]
+
+
+def _frequencies(tokens: np.ndarray) -> np.ndarray:
+    """How often each of the sorted tokens occurs."""
+    first = np.ones(len(tokens), dtype=bool)
+    first[1:] = tokens[1:] != tokens[:-1]
+    found = np.bincount(np.cumsum(first) - 1) if len(tokens) else np.zeros(0, dtype=np.int64)
+    return np.repeat(found, found)
+
+
+def _hot_tokens(docs: DataFrame, rows: int, words: int, buckets: int, sample: int, least: int) -> np.ndarray:
+    """Tokens of at least `least` classes in a sample of about `sample` of the
+    `rows` documents. There are at most as many as the sample has tokens, divided
+    by `least`, however large the corpus: few enough to be sent to every task."""
+    share = min(1.0, sample / max(rows, 1))
+    few = docs.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)))
+
+    def frequent(table: pa.Table) -> pa.Table:
+        _, _, tokens = _bucket_rows(table, 6)
+        return pa.table({"tokens": pa.array([np.unique(tokens[_frequencies(tokens) >= least]).astype("<u8").tobytes()], pa.binary())})
+
+    found = _postings(few, words, buckets).groupBy("bucket").applyInArrow(frequent, "tokens binary").collect()
+    return np.sort(np.concatenate([np.frombuffer(bytes(r.tokens), dtype="<u8") for r in found] + [np.zeros(0, dtype="<u8")]))
+
+
+def _shared_tokens(postings: DataFrame, buckets: int, shards: int) -> DataFrame:
     """shard (of classes) and packed replies: every token that occurs in several
-    classes, with its frequency as a rank of one byte."""
+    classes, with its frequency as a rank of one byte; hot ones rank last."""
 
     def count(table: pa.Table) -> pa.Table:
-        counts = _joined(table, "counts", "<u4")
-        cls = np.repeat(_joined(table, "classes", "<i8"), counts)
-        size = np.repeat(_joined(table, "sizes", "<u4"), counts)
-        raw = _joined(table, "tokens", np.uint8).reshape(-1, 6)
-        tokens = np.zeros((len(raw), 8), dtype=np.uint8)
-        tokens[:, :6] = raw
-        tokens = tokens.view("<u8").ravel()
-        order = np.lexsort((cls, tokens))
-        cls, size, tokens = cls[order], size[order], tokens[order]
-        once = np.ones(len(cls), dtype=bool)
-        once[1:] = (cls[1:] != cls[:-1]) | (tokens[1:] != tokens[:-1])
-        cls, size, tokens = cls[once], size[once], tokens[once]
-        first = np.ones(len(cls), dtype=bool)
-        first[1:] = tokens[1:] != tokens[:-1]
-        found = np.bincount(np.cumsum(first) - 1) if len(cls) else np.zeros(0, dtype=np.int64)
-        frequency = np.repeat(found, found)
+        is_hot = table.column("bucket")[0].as_py() >= buckets
+        cls, size, tokens = _bucket_rows(table, 8 if is_hot else 6)
+        frequency = np.full(len(tokens), _HOT_RANK) if is_hot else np.minimum(_frequencies(tokens), _HOT_RANK - 1)
         several = frequency > 1
         reply = np.zeros(int(several.sum()), dtype=_REPLY)
         reply["cls"], reply["n"] = cls[several], size[several]
-        reply["token"] = tokens[several] | np.uint64(table.column("bucket")[0].as_py()) << np.uint64(48)
-        reply["rank"] = np.minimum(frequency[several], 255)
+        reply["token"], reply["rank"] = tokens[several], frequency[several]
         shard = np.mod(reply["cls"], shards)
         order = np.argsort(shard, kind="stable")
         reply, cuts = reply[order], np.searchsorted(shard[order], np.arange(shards + 1))
@@ -191,6 +240,10 @@ def _suspects(replies: DataFrame) -> DataFrame:
     def choose(table: pa.Table) -> pa.Table:
         reply = _joined(table, "replies", _REPLY)
         reply = reply[np.lexsort((reply["token"], reply["rank"], reply["cls"]))]
+        # Copies of a class in several tasks repeat its hot tokens.
+        once = np.ones(len(reply), dtype=bool)
+        once[1:] = (reply["cls"][1:] != reply["cls"][:-1]) | (reply["token"][1:] != reply["token"][:-1])
+        reply = reply[once]
         cls, first = np.unique(reply["cls"], return_index=True)
         ends = np.append(first[1:], len(reply))
         n = reply["n"][first].astype(np.int64) if len(reply) else np.zeros(0, np.int64)
@@ -320,14 +373,17 @@ def _verified_links(suspects: DataFrame, clusters: DataFrame, block: int) -> Dat
     return dealt.groupBy("slot").applyInArrow(join, "a long, b long")
 
 
-def linked_classes(docs: DataFrame, words: int = WORDS, bucket_tokens: int = BUCKET_TOKENS, block: int = BLOCK_CLASSES) -> tuple[DataFrame, DataFrame]:
+def linked_classes(
+    docs: DataFrame, words: int = WORDS, bucket_tokens: int = BUCKET_TOKENS, block: int = BLOCK_CLASSES, hot_sample: int = HOT_SAMPLE, hot_least: int = HOT_LEAST
+) -> tuple[DataFrame, DataFrame]:
     """(doc_id, text_hash, n_shingles and class of every document; node and component
     of every class that is linked to another)."""
     classes = stored(shingle_classes(docs, words), "classes")
-    tokens = classes.agg(F.sum("n_shingles")).first()[0] or 0
+    tokens, rows = classes.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)), F.count("*")).first()
     # The top 16 bits of a token choose its bucket.
     buckets = min(1 << 16, max(1, math.ceil(tokens / bucket_tokens)))
-    replies = _shared_tokens(_postings(docs, words, buckets), max(1, math.ceil(buckets / 4)))
+    hot = _hot_tokens(docs, rows, words, buckets, hot_sample, hot_least)
+    replies = _shared_tokens(_postings(docs, words, buckets, hot), buckets, max(1, math.ceil(buckets / 4)))
     suspects = stored(_suspects(replies), "suspects")
     prefix = suspects.select("class", F.explode("prefix").alias("token"))
     least = prefix.groupBy("token").agg(F.min("class").alias("b"), F.count("*").alias("_n")).where("_n > 1").select("token", "b")

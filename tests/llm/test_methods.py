@@ -181,8 +181,8 @@ def _brute_components(values):
     return [(len(s), root(i)) for i, s in enumerate(sets)]
 
 
-@pytest.mark.parametrize("seed,block", [(1, 1024), (2, 4), (3, 8)])
-def test_components_of_near_copies(spark, seed, block):
+@pytest.mark.parametrize("seed,block,hot_least", [(1, 1024, 2), (2, 4, 1000), (3, 8, 8)])
+def test_components_of_near_copies(spark, seed, block, hot_least):
     rng = random.Random(seed)
     words = [f"w{i}" for i in range(400)]
     values = [None, "", " ", "a b", "A B", "a b c d", "a b c d e"]
@@ -195,7 +195,7 @@ def test_components_of_near_copies(spark, seed, block):
                 copy[rng.randrange(len(copy))] = rng.choice(words)
             values.append(" ".join(copy) + (" " + passage if rng.random() < 0.3 else ""))
     rng.shuffle(values)
-    found = signature_join.near_duplicates(texts(spark, values), bucket_tokens=300, block=block)
+    found = signature_join.near_duplicates(texts(spark, values), bucket_tokens=300, block=block, hot_least=hot_least)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()}
     assert [got[i] for i in range(len(values))] == _brute_components(values)
 
