@@ -40,10 +40,12 @@ def newest(df: DataFrame, n: int = 20, key: str = "uid") -> DataFrame:
 @dataclass(frozen=True)
 class Page:
     """Rows in page order plus `page_row`; `ahead` is the row that starts the
-    next page, with its `page_token`, empty on the last one."""
+    next page, with its `page_token`, empty on the last one. `both` is the one
+    before they are told apart, of `n` rows and perhaps one more."""
 
     rows: DataFrame
     ahead: DataFrame
+    both: DataFrame
 
     def next_token(self) -> str | None:
         """Asks for the single token value."""
@@ -85,7 +87,7 @@ def keyset_page(df: DataFrame, n: int = 20, token: str | int | None = None, key:
     shared = F.col(key).isNull() | F.lag(key).over(in_page).eqNullSafe(F.col(key))
     full = F.to_json(F.array(*(_plain(c, df) for c in keys)), {"ignoreNullFields": "false"})
     numbered = few.withColumn("page_token", F.when(shared, full).otherwise(F.col(key).cast("string"))).withColumn("page_row", F.row_number().over(in_page))
-    return Page(numbered.filter(F.col("page_row") <= n).drop("page_token"), numbered.filter(F.col("page_row") > n))
+    return Page(numbered.filter(F.col("page_row") <= n).drop("page_token"), numbered.filter(F.col("page_row") > n), numbered)
 
 
 def offset_page(df: DataFrame, *order: Column, n: int = 10, offset: int = 0) -> Page:
@@ -94,13 +96,13 @@ def offset_page(df: DataFrame, *order: Column, n: int = 10, offset: int = 0) ->
     that is not on the page, whatever was asked for."""
     n = min(n, SCRIPT_PAGE)
     page = _numbered(df.orderBy(*order).offset(offset).limit(n + 1), n, *order)
-    return Page(page.rows, page.ahead.withColumn("page_token", F.lit(str(offset + n))))
+    return Page(page.rows, page.ahead.withColumn("page_token", F.lit(str(offset + n))), page.both)
 
 
 def _numbered(few: DataFrame, n: int, *order: Column) -> Page:
     # n + 1 rows at the most, so one task for the numbering is right.
     numbered = few.withColumn("page_row", F.row_number().over(W.partitionBy(F.lit(1)).orderBy(*order)))
-    return Page(numbered.filter(F.col("page_row") <= n), numbered.filter(F.col("page_row") > n))
+    return Page(numbered.filter(F.col("page_row") <= n), numbered.filter(F.col("page_row") > n), numbered)
 
 
 def offset_total(page: Page, offset: int) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from mailsieve.operators import drafts as drafts_ops
 from mailsieve.operators import threads as threads_ops
-from mailsieve.operators.blocklist import thread_blocked, with_verdict
+from mailsieve.operators.blocklist import thread_blocked
 from mailsieve.operators.paging import keyset_page, page_size
 from mailsieve.operators.search import search
 from mailsieve.plans import views
@@ -76,21 +76,19 @@ def search_response(
     policy = policy or Policy()
     found = search(messages, query, **options)
     page = keyset_page(found, page_size(n), token)
-    shown = views.search_view(passed(page.rows, policy), policy)
-    order = page.rows.select("id", "page_row")
-    listed = (
-        shown.join(order, "id")
-        .withColumn("row", F.struct(*shown.columns))
-        .agg(F.sort_array(F.collect_list(F.struct("page_row", "row"))).alias("rows"))
-        .select(F.transform("rows", lambda r: r["row"]).alias("results"))
-    )
+    # n + 1 rows at the most: everything but the total is read off them at once.
+    own = ("page_row", "page_token", "action")
+    view = views.search_view(process(page.both, policy, carry=own[:2]), policy, *own)
+    here = F.col("page_row") <= n
+    row = F.struct(*(c for c in view.columns if c not in own))
+    n_blocked = F.count_if(here & (F.col("action") == "block"))
+    listed = view.agg(
+        F.sort_array(F.collect_list(F.when(here & (F.col("action") == "pass"), F.struct("page_row", row.alias("row"))))).alias("rows"),
+        F.max(F.when(~here, F.col("page_token"))).alias("next_page_token"),
+        F.when((n_blocked > 0) & F.lit(policy.show_filtered_count), n_blocked).alias("filtered_count"),
+    ).select(F.transform("rows", lambda r: r["row"]).alias("results"), "next_page_token", "filtered_count")
     total = found.agg(F.count("*").alias("total_results"))
-    ahead = page.ahead.agg(F.max("page_token").alias("next_page_token"))
-    n_blocked = F.count_if(F.col("action") == "block")
-    blocked = with_verdict(page.rows, policy).agg(
-        F.when((n_blocked > 0) & F.lit(policy.show_filtered_count), n_blocked).alias("filtered_count")
-    )
-    return side_by_side(listed, total, ahead, blocked).select(
+    return side_by_side(listed, total).select(
         F.to_json(F.struct("results", "total_results", "next_page_token", "filtered_count")).alias("response")
     )
 

@@ -14,7 +14,7 @@ from mailsieve.functions.sanitize import strip_invisible
 from mailsieve.policy import Policy, PolicyColumns
 
 
-def search_view(messages: DataFrame, policy: Policy | PolicyColumns | None = None) -> DataFrame:
+def search_view(messages: DataFrame, policy: Policy | PolicyColumns | None = None, *extra: str) -> DataFrame:
     """Summary line. Attachments count only when the policy leaves them in."""
     policy = policy or Policy()
     return messages.select(
@@ -27,6 +27,7 @@ def search_view(messages: DataFrame, policy: Policy | PolicyColumns | None = Non
         "is_unread",
         "labels",
         (F.size("attachments") > 0).alias("has_attachments"),
+        *extra,
     )
 
 
