@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mailsieve.policy import Policy
 from mailsieve.rules import FINANCIAL_DOMAINS, FINANCIAL_SUBJECTS, SECURITY_SUBJECTS, SENSITIVE_SENDERS
 
 # kind -> (default rules with the switch each hangs on, custom column)
@@ -35,11 +34,3 @@ def rule_set(policies: DataFrame) -> DataFrame:
             )
         )
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
-
-
-def default_rule_counts(policy: Policy | None = None) -> dict[str, int]:
-    policy = policy or Policy()
-    return {
-        kind: sum(len(rules) for flag, rules in defaults if getattr(policy, flag)) + len(getattr(policy, custom))
-        for kind, (defaults, custom) in _KINDS.items()
-    }

@@ -203,15 +203,3 @@ def touch_keys(keys: DataFrame, uses: DataFrame) -> DataFrame:
     return (
         keys.join(last, "id", "left").withColumn("last_used_at", F.coalesce("_used", "last_used_at")).drop("_used")
     )
-
-
-def newest_per_key(df: DataFrame, key: str, *order) -> DataFrame:
-    return (
-        df.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(*order)))
-        .filter("_n = 1")
-        .drop("_n")
-    )
-
-
-def distinct_rules(policies: DataFrame, column: str) -> DataFrame:
-    return policies.withColumn(column, F.array_distinct(F.transform(column, blank_if_null)))

@@ -7,24 +7,24 @@ from mailsieve.policy import Policy
 
 ON = Policy(attachment_filtering=False)
 CASES = [
-    (dict(sender="alerts@chase.com"), ON, "block"),
-    (dict(sender="service@paypal.com"), ON, "block"),
-    (dict(sender="noreply@irs.gov"), ON, "block"),
-    (dict(sender="security@example.com"), ON, "block"),
-    (dict(sender="fraud@bank.com"), ON, "block"),
-    (dict(sender="noreply@someapp.com", subject="password reset"), ON, "block"),
-    (dict(subject="Your bank statement is available"), ON, "block"),
-    (dict(sender="hello@normal-company.com", subject="Meeting tomorrow"), ON, "pass"),
-    (dict(sender="noreply@alerts.chase.com"), ON, "block"),
-    (dict(sender="info@custom.com"), Policy(blocked_domains=("custom.com",)), "block"),
-    (dict(sender="info@chase.com"), Policy(financial_blocking=False, sensitive_sender_blocking=False), "pass"),
-    (dict(subject="password reset"), Policy(security_blocking=False), "pass"),
-    (dict(sender="security@example.com"), Policy(sensitive_sender_blocking=False), "pass"),
+    (dict(sender="statements@chase.com"), ON, "block"),
+    (dict(sender="receipts@paypal.com"), ON, "block"),
+    (dict(sender="office@irs.gov"), ON, "block"),
+    (dict(sender="security@mail.example.net"), ON, "block"),
+    (dict(sender="fraud@lender.example"), ON, "block"),
+    (dict(sender="team@tool.example", subject="Your password reset link"), ON, "block"),
+    (dict(subject="New bank statement for June"), ON, "block"),
+    (dict(sender="jo@bakery.example", subject="Lunch on Friday"), ON, "pass"),
+    (dict(sender="x@deep.alerts.chase.com"), ON, "block"),
+    (dict(sender="jo@shop.example"), Policy(blocked_domains=("shop.example",)), "block"),
+    (dict(sender="office@chase.com"), Policy(financial_blocking=False, sensitive_sender_blocking=False), "pass"),
+    (dict(subject="Your password reset link"), Policy(security_blocking=False), "pass"),
+    (dict(sender="security@mail.example.net"), Policy(sensitive_sender_blocking=False), "pass"),
     # below here: edges
     (dict(sender="sales@notchase.com"), ON, "pass"),
     (dict(sender="a@x@chase.com"), ON, "pass"),  # domain is what stands between the first two @
     (dict(sender="nobody"), ON, "pass"),
-    (dict(sender="info@custom.com"), Policy(blocked_domains=("Custom.com",)), "pass"),
+    (dict(sender="jo@shop.example"), Policy(blocked_domains=("Shop.example",)), "pass"),
     (dict(sender="x@state.gov", subject="otp2"), ON, "pass"),
     (dict(sender="noreply@state.gov\n"), ON, "pass"),  # $ is the very end
     (dict(labels=[]), Policy(allowed_folders=("inbox",)), "block"),
