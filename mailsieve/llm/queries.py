@@ -54,7 +54,7 @@ def _contaminated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digest(decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
-@query("op7_signature_tree_join")
+@query("op7_signature_tree_join", signature_join.COMPONENTS_SQL)
 def _near(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = signature_join.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_shingles", "component_id")
