@@ -19,8 +19,8 @@ a bit in one member. Common tokens of two members set common bits, so
 bounds every pair below two nodes, and pairs of nodes that cannot reach
 3/7 (|a| + |b|), which is a similarity of 0.75, are never opened, nor are pairs
 whose members are already joined. What is left is verified by exact
-intersection. Large clusters are cut into blocks, and pairs of blocks are joined
-in tasks of their own.
+intersection. Large clusters are cut into blocks that are joined in tasks of their
+own, first each with a few anchors of the cluster, then with what is left over.
 
 A null text, and one without a word, has an empty set, is linked with nothing
 and is its own component. A text of fewer words than a shingle has one shingle,
@@ -51,6 +51,8 @@ BLOCK_CLASSES = 1_024
 # A shingle in so many of so many sampled documents is hot.
 HOT_SAMPLE, HOT_LEAST = 20_000, 16
 _HOT_RANK = 255
+# Of a block's worth of classes, one in so many is an anchor of its cluster.
+_ANCHOR_SHARE = 16
 _FANOUT = 8
 _HELD_TOKENS = 2_000_000
 _REPLY = np.dtype([("cls", "<i8"), ("token", "<u8"), ("n", "<u4"), ("rank", "u1")])
@@ -296,11 +298,15 @@ def _bits(sizes: int) -> int:
     return max(256, 1 << max(0, 4 * sizes - 1).bit_length())
 
 
-def linked_labels(sizes: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None = None) -> np.ndarray:
+def linked_labels(sizes: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None = None, joined: np.ndarray | None = None) -> np.ndarray:
     """For every set the least index that it is joined to by links. With `side`
-    (0 or 1), links within a side are left to other tasks."""
+    (0 or 1), links within a side are left to other tasks; sets of one value in
+    `joined` are known to be joined."""
     order = np.argsort(sizes, kind="stable")
     label = np.arange(len(sets))
+    if joined is not None:
+        _, first, place = np.unique(joined, return_index=True, return_inverse=True)
+        label = first[place]
 
     def link(i: int, j: int) -> None:
         if label[i] != label[j]:
@@ -339,22 +345,15 @@ def linked_labels(sizes: np.ndarray, sets: list[np.ndarray], side: np.ndarray |
     return label
 
 
-def _verified_links(suspects: DataFrame, clusters: DataFrame, block: int) -> DataFrame:
-    """Links a, b between classes, enough to connect what is linked."""
-    sizes = clusters.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    members = clusters.join(sizes, "component").select(F.col("node").alias("class"), F.col("component").alias("root"), "blocks")
-    members = settled(members)
-    rows = members.agg(F.sum("blocks")).first()[0] or 0
-    slots = max(partitions(suspects.sparkSession), math.ceil(rows / block))
-    own = F.pmod(F.xxhash64("class"), "blocks").cast("int")
-    placed = suspects.join(members, "class").withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.withColumn("_i", F.least("_own", "_other")).withColumn("_j", F.greatest("_own", "_other"))
-    side = F.when(F.col("_i") == F.col("_j"), -1).when(F.col("_own") == F.col("_i"), 0).otherwise(1)
-    dealt = placed.select(F.pmod(F.xxhash64("root", "_i", "_j"), F.lit(slots)).alias("slot"), "root", "_i", "_j", side.alias("side"), "class", "n", "tokens")
+def _tree_joins(dealt: DataFrame) -> DataFrame:
+    """Links a, b between classes, enough to connect what is linked, from tasks of
+    root, block, part, side (-1: all with all), class, n, tokens and joined."""
+    rows = dealt.count()
+    slots = max(partitions(dealt.sparkSession), math.ceil(rows / BLOCK_CLASSES))
 
     def join(table: pa.Table) -> pa.Table:
-        keys = np.stack([table.column(c).to_numpy() for c in ("root", "_i", "_j")], axis=1) if len(table) else np.zeros((0, 3), np.int64)
-        cls, n, side = (table.column(c).to_numpy() for c in ("class", "n", "side"))
+        keys = np.stack([table.column(c).to_numpy() for c in ("root", "block", "part")], axis=1) if len(table) else np.zeros((0, 3), np.int64)
+        cls, n, side, joined = (table.column(c).to_numpy() for c in ("class", "n", "side", "joined"))
         order = np.lexsort((cls, keys[:, 2], keys[:, 1], keys[:, 0]))
         new = np.ones(len(order), dtype=bool)
         new[1:] = (keys[order][1:] != keys[order][:-1]).any(axis=1)
@@ -363,14 +362,50 @@ def _verified_links(suspects: DataFrame, clusters: DataFrame, block: int) -> Dat
         for s, e in zip(starts, starts[1:]):
             rows = order[s:e]
             sets = [np.frombuffer(packed[int(r)].as_py(), dtype="<u8") for r in rows]
-            label = linked_labels(n[rows], sets, None if side[rows[0]] < 0 else side[rows])
-            joined = np.flatnonzero(label != np.arange(len(label)))
-            a.append(cls[rows[joined]])
-            b.append(cls[rows[label[joined]]])
+            label = linked_labels(n[rows], sets, None if side[rows[0]] < 0 else side[rows], joined[rows])
+            moved = np.flatnonzero(label != np.arange(len(label)))
+            a.append(cls[rows[moved]])
+            b.append(cls[rows[label[moved]]])
         none = [np.zeros(0, np.int64)]
         return pa.table({"a": pa.array(np.concatenate(a + none), pa.int64()), "b": pa.array(np.concatenate(b + none), pa.int64())})
 
-    return dealt.groupBy("slot").applyInArrow(join, "a long, b long")
+    keyed = dealt.withColumn("slot", F.pmod(F.xxhash64("root", "block", "part"), F.lit(slots)))
+    return keyed.groupBy("slot").applyInArrow(join, "a long, b long")
+
+
+def _linked(suspects: DataFrame, clusters: DataFrame, block: int) -> DataFrame:
+    """node and component of the classes in clusters (node, component) that are
+    linked to another.
+
+    A cluster of more than `block` classes is cut into blocks. Each is joined by
+    itself together with a few anchors from the whole cluster, which mostly
+    connects all that is linked. What is then outside a cluster's largest component
+    is held against every block; the members of that component have no more to
+    find among themselves. So a task has two blocks at the most, and there are as many as
+    the cluster has blocks, times those of what is left over."""
+    sizes = clusters.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    members = settled(clusters.join(sizes, "component").select(F.col("node").alias("class"), F.col("component").alias("root"), "blocks"))
+    placed = members.withColumn("block", F.pmod(F.xxhash64("class"), "blocks").cast("int"))
+    anchor = (F.col("blocks") > 1) & (F.pmod(F.xxhash64("class", F.lit("anchor")), F.col("blocks") * _ANCHOR_SHARE) == 0)
+    everywhere = F.when(anchor, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
+    first = placed.select("root", F.explode(everywhere).alias("block"), "class").join(suspects.select("class", "n", "tokens"), "class")
+    alone = F.lit(0)
+    found = components(_tree_joins(first.select("root", "block", alone.alias("part"), F.lit(-1).alias("side"), "class", "n", "tokens", F.col("class").alias("joined"))))
+
+    large = placed.where("blocks > 1").join(found.withColumnRenamed("node", "class"), "class", "left")
+    large = settled(large.select("root", "block", "blocks", "class", F.coalesce("component", "class").alias("joined")))
+    counts = large.groupBy("root", "joined").count()
+    main = counts.groupBy("root").agg(F.max_by("joined", F.struct("count", "joined")).alias("main"))
+    rest = settled(large.join(main, "root").where("joined != main").drop("main"))
+    if rest.isEmpty():
+        return found
+    parts = rest.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    rest = rest.join(parts, "root").withColumn("part", F.pmod(F.xxhash64("class"), "parts").cast("int"))
+    against = rest.select("root", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "part", F.lit(1).alias("side"), "class", "joined")
+    blocks = large.join(parts, "root").select("root", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("side"), "class", "joined")
+    tasks = blocks.union(against).join(suspects.select("class", "n", "tokens"), "class")
+    more = _tree_joins(tasks.select("root", "block", "part", "side", "class", "n", "tokens", "joined"))
+    return components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
 
 
 def linked_classes(
@@ -388,7 +423,7 @@ def linked_classes(
     prefix = suspects.select("class", F.explode("prefix").alias("token"))
     least = prefix.groupBy("token").agg(F.min("class").alias("b"), F.count("*").alias("_n")).where("_n > 1").select("token", "b")
     met = prefix.join(least, "token").where("class != b").select(F.col("class").alias("a"), "b")
-    return classes, components(_verified_links(suspects, components(met), block))
+    return classes, _linked(suspects, components(met), block)
 
 
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:
