@@ -54,7 +54,7 @@ _HOT_RANK = 255
 # Of a block's worth of classes, one in so many is an anchor of its cluster.
 _ANCHOR_SHARE = 16
 _FANOUT = 8
-_HELD_TOKENS = 2_000_000
+_HELD_TOKENS = 1_000_000
 _REPLY = np.dtype([("cls", "<i8"), ("token", "<u8"), ("n", "<u4"), ("rank", "u1")])
 
 
