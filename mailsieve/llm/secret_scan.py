@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from mailsieve.llm.shared import settled
+
 SCOPE = 200
 _VALUE = "[\"']?\\x20*[:=]\\x20*[\"']?"
 # Kinds in the order in which spans that begin together are listed: pattern,
@@ -88,7 +90,7 @@ def links(found: DataFrame, scope: int = SCOPE) -> DataFrame:
 
 def spans(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """doc_id, _text, kind, start and end of what is reported."""
-    found = candidates(docs)
+    found = settled(candidates(docs))  # narrow, and needed by every part of the join
     linked = links(found, scope)
     weak = linked.select("doc_id", "_text", "kind", "start", "end").union(linked.select("doc_id", "_text", "partner_kind", "partner_start", "partner_end"))
     return found.where(F.col("kind").isin(*BASE)).union(weak.where(~F.col("kind").isin(*BASE)).distinct())
