@@ -19,7 +19,7 @@ def components(links: DataFrame) -> DataFrame:
         both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # From each node, its greater neighbours go to the least one around.
         least = both.groupBy("a").agg(F.min("b").alias("_m")).select(F.col("a").alias("_c"), F.least("a", "_m").alias("_m"))
-        large = both.where("b > a").join(least, F.col("a") == F.col("_c")).select(F.col("b").alias("a"), F.col("_m").alias("b")).distinct()
+        large = both.where("b > a").join(least, F.col("a") == F.col("_c")).select(F.col("b").alias("a"), F.col("_m").alias("b"))
         # From each node, it and its lesser neighbours go to the least of them.
         least = large.groupBy("a").agg(F.min("b").alias("_m"))
         small = large.join(least.select(F.col("a").alias("_c"), "_m"), F.col("a") == F.col("_c")).where("b > _m").select(F.col("b").alias("a"), F.col("_m").alias("b"))

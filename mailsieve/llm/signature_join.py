@@ -373,6 +373,12 @@ def _tree_joins(dealt: DataFrame) -> DataFrame:
     return keyed.groupBy("slot").applyInArrow(join, "a long, b long")
 
 
+def _named(stars: DataFrame) -> DataFrame:
+    """node and component of links a, b that lead from each node to the least of its
+    component."""
+    return stars.select(F.col("a").alias("node"), F.col("b").alias("component")).union(stars.select("b", "b").distinct())
+
+
 def _linked(suspects: DataFrame, clusters: DataFrame, block: int) -> DataFrame:
     """node and component of the classes in clusters (node, component) that are
     linked to another.
@@ -389,23 +395,30 @@ def _linked(suspects: DataFrame, clusters: DataFrame, block: int) -> DataFrame:
     anchor = (F.col("blocks") > 1) & (F.pmod(F.xxhash64("class", F.lit("anchor")), F.col("blocks") * _ANCHOR_SHARE) == 0)
     everywhere = F.when(anchor, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
     first = placed.select("root", F.explode(everywhere).alias("block"), "class").join(suspects.select("class", "n", "tokens"), "class")
-    alone = F.lit(0)
-    found = components(_tree_joins(first.select("root", "block", alone.alias("part"), F.lit(-1).alias("side"), "class", "n", "tokens", F.col("class").alias("joined"))))
-
-    large = placed.where("blocks > 1").join(found.withColumnRenamed("node", "class"), "class", "left")
+    joined = settled(_tree_joins(first.select("root", "block", F.lit(0).alias("part"), F.lit(-1).alias("side"), "class", "n", "tokens", F.col("class").alias("joined"))))
+    large = settled(placed.where("blocks > 1").select("root", "block", "blocks", "class"))
+    if large.isEmpty():
+        return _named(joined)
+    # Within one block a class is linked to the least one it is joined to. Only
+    # blocks of one cluster have to be brought together.
+    in_large = joined.join(large.select(F.col("class").alias("a")), "a", "left_semi")
+    small = joined.join(large.select(F.col("class").alias("a")), "a", "left_anti")
+    found = components(in_large)
+    large = large.join(found.withColumnRenamed("node", "class"), "class", "left")
     large = settled(large.select("root", "block", "blocks", "class", F.coalesce("component", "class").alias("joined")))
     counts = large.groupBy("root", "joined").count()
     main = counts.groupBy("root").agg(F.max_by("joined", F.struct("count", "joined")).alias("main"))
     rest = settled(large.join(main, "root").where("joined != main").drop("main"))
     if rest.isEmpty():
-        return found
+        return _named(small).union(found)
     parts = rest.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
     rest = rest.join(parts, "root").withColumn("part", F.pmod(F.xxhash64("class"), "parts").cast("int"))
     against = rest.select("root", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "part", F.lit(1).alias("side"), "class", "joined")
     blocks = large.join(parts, "root").select("root", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("side"), "class", "joined")
     tasks = blocks.union(against).join(suspects.select("class", "n", "tokens"), "class")
     more = _tree_joins(tasks.select("root", "block", "part", "side", "class", "n", "tokens", "joined"))
-    return components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+    found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+    return _named(small).union(found)
 
 
 def linked_classes(
