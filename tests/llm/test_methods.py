@@ -200,6 +200,21 @@ def test_components_of_near_copies(spark, seed, block, hot_least):
     assert [got[i] for i in range(len(values))] == _brute_components(values)
 
 
+def test_one_large_group_of_near_copies(spark):
+    """Far more classes than a block holds, joined by anchors, with some that are
+    only linked to a few of them, and some to none."""
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(100)]
+    values = []
+    for i in range(500):
+        copy = list(base)
+        for _ in range(rng.randint(0, 2) if i % 25 else 5):
+            copy[rng.randrange(len(copy))] = f"x{rng.randrange(10_000)}"
+        values.append(" ".join(copy))
+    found = signature_join.near_duplicates(texts(spark, values), bucket_tokens=5_000, block=32)
+    assert [r.component_id for r in found.orderBy("doc_id").collect()] == [c for _, c in _brute_components(values)]
+
+
 def test_signature_bound_never_hides_a_link():
     rng = np.random.default_rng(5)
     for _ in range(200):
