@@ -294,8 +294,10 @@ class SignatureTree:
         return enough & (OVER * most[:, None] >= ABOVE * least2[None, :]) & (OVER * most2[None, :] >= ABOVE * least[:, None])
 
 
-def _bits(sizes: int) -> int:
-    return max(256, 1 << max(0, 4 * sizes - 1).bit_length())
+def _bits(tokens: int) -> int:
+    """Bits of a bitmap for sets of so many tokens. At most 16 KB: for larger sets
+    the bound is looser, as more tokens share a bit, but as safe."""
+    return min(1 << 17, max(256, 1 << max(0, 4 * tokens - 1).bit_length()))
 
 
 def linked_labels(sizes: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None = None, joined: np.ndarray | None = None) -> np.ndarray:
