@@ -7,7 +7,10 @@ a date. The permutation depends on the key alone, so a value gets the same
 pseudonym in every document and two values never the same one; with the key it can be
 undone. Separators and layout stay. E-mail addresses, which have no number to
 permute, get a keyed digest instead. What looks like one of these but is not
-valid stays as it is.
+valid stays as it is; other kinds and other values are looked for at its place and
+inside of it. A run of digits that is no card as a whole, as numbers next to each
+other are, is searched for a telephone number, then for a shorter card at the
+borders of its groups.
 
 The network splits a value into two parts of a mixed base and adds a keyed hash
 of one to the other, modulo its base, in rounds; it is an aggregate over a short
@@ -179,28 +182,71 @@ def _email(m: Column, key: str) -> Column:
 _KINDS: dict[str, Callable[[Column, str], Column]] = {"email": _email, "ip": _ip, "date": _date, "ssn": _ssn, "card": _card, "phone": _phone}
 
 
-def pseudonym(value: Column, key: str) -> Column:
-    """struct(kind, text) for a whole value; null if it is not a valid one."""
-    chosen = F.lit(None)
-    for kind, make in reversed(_KINDS.items()):
-        # The kind that the patterns, in their order, find at the value's start.
-        chosen = F.when(value.rlike(f"^(?:{PATTERNS[kind]})$"), F.struct(F.lit(kind).alias("kind"), make(value, key).alias("text"))).otherwise(chosen)
-    return F.when(chosen["text"].isNotNull(), chosen)
+# Where a value may begin, and for each such place the character before it and then a
+# whole address or enough for any number (a card has 37 characters at most) and one
+# that begins inside of it.
+_PLACE = f"(?={_ANY})"
+_HEAD = f"(?s)(?=.(?:{_ANY}))(?=(.(?:{PATTERNS['email']}|.{{1,72}})))"
+_START = "(?s)(?<=^.)"
+# What a part of a failed card's run must not reach into.
+_INSIDE = f"{_START}(.+?)(?=(?:{_BEFORE}(?!000|666|9)[0-9]{{3}}-(?!00)[0-9]{{2}}-(?!0000)[0-9]{{4}}{_AFTER}(?!-))|(?:{PATTERNS['phone']}))"
+_CARD_DIGITS = range(19, 12, -1)
 
 
-def rewritten(text: Column, key: str = EXAMPLE_KEY) -> Column:
-    """struct(text, kinds): the text with pseudonyms, and the kind of each."""
-    found = F.regexp_extract_all(text, F.lit(_ANY), F.lit(0))
-    made = F.transform(found, lambda m: F.struct(m.alias("old"), pseudonym(m, key).alias("new")))
-    between = F.split(text, _ANY, -1)
+def _part_of_run(head: Column) -> Column:
+    """The longest part of the card's run at the start of `head` that ends where a
+    group of digits does, before the next telephone or social security number,
+    and has a right check digit; null if there is none."""
+    run, before = F.regexp_extract(head, f"{_START}(?:{PATTERNS['card']})", 0), F.regexp_extract(head, _INSIDE, 1)
+    free = F.when((before != "") & (F.length(before) < F.length(run)), before).otherwise(run)
+    parts = lambda r: F.array(*(F.regexp_extract(r, f"^[0-9](?:[ -]?[0-9]){{{n - 1}}}{_AFTER}", 0) for n in _CARD_DIGITS))
+    right = F.filter(_then(free, parts), lambda c: (c != "") & (_luhn_sum(_digits(c), 1) % 10 == 0))
+    return F.get(right, F.lit(0))
+
+
+def _first_valid(head: Column, key: str) -> Column:
+    """struct(kind, length, text) for the value at the start of `head`: the first
+    kind that is valid there, then a part of a card's run; null if there is none."""
+
+    def tried(kind: str, value: Column) -> Column:
+        make = lambda m: _then(_KINDS[kind](m, key), lambda new: F.when(new.isNotNull(), F.struct(F.lit(kind).alias("kind"), F.length(m).alias("length"), new.alias("text"))))
+        return _then(value, lambda m: F.when(m != "", make(m)))
 
-    def put_together(made: Column) -> Column:
-        changed = F.zip_with(between, made, lambda gap, m: F.concat(gap, F.coalesce(m["new"]["text"], m["old"], F.lit(""))))
-        kinds = F.filter(F.transform(made, lambda m: m["new"]["kind"]), lambda k: k.isNotNull())
-        return F.struct(F.array_join(changed, "").alias("text"), kinds.alias("kinds"))
+    whole = [tried(kind, F.regexp_extract(head, f"{_START}(?:{p})", 0)) for kind, p in PATTERNS.items()]
+    return F.coalesce(*whole, tried("card", _part_of_run(head)))
+
+
+def rewritten(text: Column, key: str = EXAMPLE_KEY) -> Column:
+    """struct(text, kinds): the text with pseudonyms, and the kind of each. Values
+    are taken from left to right; where none is valid, the next place is tried, also
+    inside of what has failed."""
+    # A line feed in front, so that no place is the start of the string, where split() gives no piece.
+    fed = F.concat(F.lit("\n"), text)
+    pieces = F.split(fed, _PLACE, -1)
+    heads = F.regexp_extract_all(fed, F.lit(_HEAD), F.lit(2))
+    places = F.transform(heads, lambda h, i: F.struct((i + 2).alias("at"), _first_valid(h, key).alias("new")))
+
+    def put_together(pieces: Column) -> Column:
+        none = F.array().cast("array<struct<at:int,new:struct<kind:string,length:int,text:string>>>")
+        start = F.struct(F.lit(0).alias("covered"), none.alias("picks"))
+
+        def step(state: Column, place: Column) -> Column:
+            size = F.length(F.element_at(pieces, place["at"]))
+            taken = (state["covered"] <= 0) & place["new"].isNotNull()
+            covered = F.when(taken, place["new"]["length"]).otherwise(state["covered"]) - size
+            return F.struct(F.greatest(covered, F.lit(0)).alias("covered"), F.when(taken, F.concat(state["picks"], F.array(place))).otherwise(state["picks"]).alias("picks"))
+
+        def joined(picks: Column) -> Column:
+            until = lambda i: F.coalesce(F.get(picks, i)["at"], F.size(pieces) + 1)
+            span = lambda a, b: F.array_join(F.slice(pieces, a, b - a), "")
+            changed = F.transform(picks, lambda p, i: F.concat(p["new"]["text"], F.substr(span(p["at"], until(i + 1)), p["new"]["length"] + 1)))
+            first = F.substr(span(F.lit(1), until(F.lit(0))), F.lit(2))
+            return F.struct(F.concat(first, F.array_join(changed, "")).alias("text"), F.transform(picks, lambda p: p["new"]["kind"]).alias("kinds"))
+
+        return _then(F.aggregate(places, start, step, lambda s: s["picks"]), joined)
 
     untouched = F.struct(text.alias("text"), F.array().cast("array<string>").alias("kinds"))
-    return F.when(text.rlike(_ANY), _then(made, put_together)).otherwise(untouched)
+    return F.when(text.rlike(_ANY), _then(pieces, put_together)).otherwise(untouched)
 
 
 def pseudonymised(docs: DataFrame, key: str = EXAMPLE_KEY) -> DataFrame:

@@ -13,6 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from mailsieve.checks.run import compare, duck
 from mailsieve.llm import decontamination, packing, pii, quality_classifier, quality_rules, secret_scan, signature_join, token_counts, toxicity, url_filters
 from mailsieve.llm.components import components
@@ -341,6 +342,113 @@ def test_invalid_values_stay(spark):
     assert {r.text for r in pii.report(texts(spark, kept)).collect()} == set(kept)
 
 
+NEXT_TO_ANOTHER = [
+    "card 4111111111111111 12/27",
+    "card 4111 1111 1111 1111 123 cvv",
+    "order 12 4111 1111 1111 1111",
+    "call 555-123-4567 100 times",
+    "call 555-123-4567 555-987-6543",
+    "4111 1111 1111 1111 555-123-4567 and 2023-02-29 4111 1111 1111 1111",
+    "666-12-1234 4111111111111111, 12345678 123-45-6789",
+    "é𝄞 4111 1111 1111 1112@mail.example 12 34@x.example",
+    "4111 1111 1111 1111.bob@x.example bob.555-123-4567@x.example4111 1111 1111 1111",
+]
+
+
+def _first_valid(text, i):
+    """(kind, end) of the value at i, by the rule of the module and without Spark."""
+    at = {k: re.compile(p).match(text, i) for k, p in pii.PATTERNS.items()}
+    digits = lambda m: re.sub("[^0-9]", "", m)
+
+    def is_date(m):
+        p = [int(x) for x in re.split("[-/.]", m)]
+        for y, mo, d in [p] if "-" in m else [p[::-1], (p[2], p[0], p[1])]:
+            try:
+                return bool(datetime.date(y, mo, d))
+            except ValueError:
+                continue
+        return False
+
+    is_ssn = lambda m: re.fullmatch("(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}", m)
+    valid = {"email": bool, "ip": lambda m: all(int(x) < 256 for x in m.split(".")), "date": is_date, "ssn": is_ssn, "card": lambda m: _luhn(digits(m)), "phone": bool}
+    for kind, m in at.items():
+        if m and valid[kind](m[0]):
+            return kind, m.end()
+    if at["card"]:
+        stop = at["card"].end()
+        for j in range(i + 1, stop):
+            ssn = re.compile(pii.PATTERNS["ssn"]).match(text, j)
+            if re.compile(pii.PATTERNS["phone"]).match(text, j) or ssn and is_ssn(ssn[0]):
+                stop = j
+                break
+        for end in range(stop, i, -1):
+            part = text[i:end]
+            if part[-1].isdigit() and not text[end : end + 1].isalnum() and 13 <= len(digits(part)) <= 19 and _luhn(digits(part)):
+                return "card", end
+    return None
+
+
+def plain_values(text):
+    """(start, end, kind) of all values, from left to right."""
+    found, i = [], 0
+    while i < len(text):
+        hit = _first_valid(text, i)
+        if hit:
+            found.append((i, hit[1], hit[0]))
+        i = hit[1] if hit else i + 1
+    return found
+
+
+def mixed_numbers(seed, n):
+    """Texts of numbers of all kinds, right and wrong, next to each other."""
+    rng = random.Random(seed)
+    some = lambda k: "".join(rng.choices("0123456789", k=k))
+
+    def card():
+        body = some(15)
+        d = body + next(c for c in "0123456789" if _luhn(body + c))
+        return rng.choice([d, " ".join(d[i : i + 4] for i in (0, 4, 8, 12)), "-".join(d[i : i + 4] for i in (0, 4, 8, 12))])
+
+    phone = lambda: rng.choice(["{}-{}-{}", "({}) {}-{}", "+1 {} {} {}", "{}.{}.{}"]).format(some(3), some(3), some(4))
+    makes = [card, card, phone, phone, lambda: some(rng.randrange(1, 6)), lambda: some(16), lambda: f"{some(3)}-{some(2)}-{some(4)}", lambda: f"2{some(3)}-{rng.randrange(1, 14):02}-{rng.randrange(1, 33):02}", lambda: f"{some(2)}/{some(2)}/{some(4)}", lambda: ".".join(some(rng.randrange(1, 4)) for _ in range(4)), lambda: f"u{some(2)}@h.example", lambda: "word"]
+    return ["".join(rng.choice(makes)() + rng.choice([" ", " ", " ", "-", ".", ", ", "  ", "/", "", "@x.example "]) for _ in range(rng.randrange(2, 9))) for _ in range(n)]
+
+
+def expected_pseudonyms(spark, some):
+    """Texts as a scan without Spark rewrites them; a value's pseudonym is that which it gets alone."""
+    spans = [plain_values(t) for t in some]
+    values = sorted({t[a:b] for t, s in zip(some, spans) for a, b, _ in s})
+    alone = dict(zip(values, (r.text for r in pii.report(texts(spark, values)).orderBy("doc_id").collect())))
+    out = []
+    for text, found in zip(some, spans):
+        for a, b, _ in reversed(found):
+            text = text[:a] + alone[text[a:b]] + text[b:]
+        out.append((text, collections.Counter(k for *_, k in found)))
+    return out
+
+
+def test_pseudonyms_next_to_another_number(spark):
+    some = NEXT_TO_ANOTHER + mixed_numbers(8, 1500)
+    rows = pii.report(texts(spark, some)).orderBy("doc_id").collect()
+    want = expected_pseudonyms(spark, some)
+    for text, r, (new, kinds) in zip(some, rows, want):
+        assert r.text == new, text
+        assert {k: r[f"n_{k}"] for k in pii.PATTERNS} == {k: kinds[k] for k in pii.PATTERNS}, text
+    for text, r in zip(NEXT_TO_ANOTHER[:5], rows):
+        for value in ("4111111111111111", "4111 1111 1111 1111", "555-123-4567", "555-987-6543"):
+            assert value not in r.text, text
+
+
+def test_pipeline_pseudonyms(spark):
+    """The pipeline's stage, with other columns and repeated rows, against the scan without Spark."""
+    some = NEXT_TO_ANOTHER + NEXT_TO_ANOTHER[:2] + mixed_numbers(9, 300)
+    docs = texts(spark, some).withColumn("n_chars", F.length("text").cast("long")).withColumn("lang", F.lit("en"))
+    stage = dict(corpus_pipeline.STAGES)["PII"](spark, docs, "")
+    assert stage.columns == docs.columns
+    rows = [(r.doc_id, r.text, r.n_chars, r.lang) for r in stage.orderBy("doc_id").collect()]
+    assert rows == [(i, new, len(new), "en") for i, (new, _) in enumerate(expected_pseudonyms(spark, some))]
+
+
 def test_intervals(spark):
     d = lambda n: datetime.date(2024, 1, n)
     entries = spark.createDataFrame(
