@@ -131,7 +131,9 @@ def threads(
 def _after(token: str) -> Column:
     """Threads behind the one that a `page_token` names."""
     at, thread_id = json.loads(token)
-    last, same = F.unix_micros("last_sent_at"), F.col("id") > F.lit(thread_id)
+    # The thread of the messages without one is the last of its time.
+    behind = F.lit(False) if thread_id is None else (F.col("id") > F.lit(thread_id)) | F.col("id").isNull()
+    last, same = F.unix_micros("last_sent_at"), behind
     if at is None:
         return last.isNull() & same
     return last.isNull() | (last < at) | ((last == at) & same)
@@ -139,23 +141,24 @@ def _after(token: str) -> Column:
 
 def thread_page(messages: DataFrame, n: int, scan: int | None = None, token: str | None = None, **kind) -> DataFrame:
     """The n threads with the latest messages, or those behind `token`; undated
-    ones come last. The lists are built only for threads on the page. Each row
+    ones come last, and messages without a thread are one whose id is null. The lists are built only for threads on the page. Each row
     has the `page_token` after which the next page begins, so the last one's
     continues. `scan` is the reference's limit of the messages looked at, newest
     uid first; it is off by default and the whole frame is used."""
     if scan is not None:
         messages = messages.orderBy(F.desc_nulls_last("uid"), F.desc_nulls_last("sent_at"), "id").limit(scan)
     facts = thread_facts(messages, kind.get("newest_first", True), kind.get("subject_from", "latest"))
-    facts = facts.filter("id IS NOT NULL")
-    page = (facts if token is None else facts.filter(_after(token))).orderBy(F.desc_nulls_last("last_sent_at"), "id").limit(n)
+    order = (F.desc_nulls_last("last_sent_at"), F.asc_nulls_last("id"))
+    page = (facts if token is None else facts.filter(_after(token))).orderBy(*order).limit(n)
     at = F.coalesce(F.unix_micros("last_sent_at").cast("string"), F.lit("null"))
-    page = page.withColumn("page_token", F.concat(F.lit("["), at, F.lit(","), F.expr("substring(to_json(array(id)), 2)")))
+    page = page.withColumn("page_token", F.concat(F.lit("["), at, F.lit(","), F.expr("if(id IS NULL, 'null]', substring(to_json(array(id)), 2))")))
     # At most n ids: small enough to send everywhere, whatever the corpus.
-    ids = F.broadcast(page.select(F.col("id").alias("thread_id")))
-    lists = _mentions(
-        messages.join(ids, "thread_id", "left_semi"), kind.get("newest_first", True), kind.get("include_to", True)
-    ).withColumnRenamed("thread_id", "id")
-    return page.join(lists, "id", "left").orderBy(F.desc_nulls_last("last_sent_at"), "id")
+    ids = F.broadcast(page.select(F.col("id").alias("_page_id")))
+    on_page = messages.join(ids, messages["thread_id"].eqNullSafe(ids["_page_id"]), "left_semi")
+    lists = _mentions(on_page, kind.get("newest_first", True), kind.get("include_to", True)).withColumnRenamed(
+        "thread_id", "_list_id"
+    )
+    return page.join(lists, page["id"].eqNullSafe(lists["_list_id"]), "left").drop("_list_id").orderBy(*order)
 
 
 def blocked_threads(messages: DataFrame, policy: Policy | PolicyColumns | None = None, include_to: bool = True) -> DataFrame:

@@ -80,3 +80,36 @@ def test_empty_thread_list_is_kept(messages):
 
     df = messages({}).withColumn("p", F.array().cast("array<struct<name:string,email:string>>"))
     assert not df.select(thread_blocked(F.col("p"), Policy()).alias("b")).head()["b"]
+
+
+def without_thread(messages):
+    """(thread, minute) of messages, some without either; None is a thread like others."""
+    rows = [("a", 9), ("b", 5), (None, 5), ("c", 5), ("c", None), (None, None), ("d", 1), ("e", None), ("f", None)]
+    return people(messages({}), *((t, m, u, ("", f"{t}@x"), [], [f"L{t}"]) for u, (t, m) in enumerate(rows, 1)))
+
+
+def test_messages_without_a_thread_are_on_a_page(messages):
+    df = without_thread(messages)
+    undated = df.withColumn("sent_at", F.when(F.col("thread_id").isNotNull(), F.col("sent_at")))
+    for case, order in ((df, ["a", "b", "c", None, "d", "e", "f"]), (undated, ["a", "b", "c", "d", "e", "f", None])):
+        for n in (1, 2, 3, 10):
+            seen, token = [], None
+            while rows := threads.thread_page(case, n, token=token).collect():
+                seen, token = seen + rows, rows[-1]["page_token"]
+            assert [r["id"] for r in seen] == order
+            none = next(r for r in seen if r["id"] is None)
+            assert none["message_count"] == 2 and none["labels"] == ["LNone"]
+            assert [p["email"] for p in none["participants"]] == ["None@x"]
+
+
+def test_lists_of_threads_have_those_without_an_id(messages):
+    from mailsieve.plans import requests
+
+    df = messages({"thread_id": None}, {"thread_id": "t"}, {"thread_id": None})
+    assert {r["id"] for r in requests.list_threads(df).collect()} == {None, "t"}
+
+
+def test_facts_of_undated_threads(messages):
+    facts = {r["id"]: r for r in threads.thread_facts(without_thread(messages)).collect()}
+    assert {i: r["message_count"] for i, r in facts.items()} == {"a": 1, "b": 1, None: 2, "c": 2, "d": 1, "e": 1, "f": 1}
+    assert facts["e"]["last_sent_at"] is None and facts["e"]["subject"] == "s8"
