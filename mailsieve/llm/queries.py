@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailsieve.llm import decontamination, fill_in_middle, packing, pii, quality_classifier, quality_rules, secret_scan, signature_join, token_counts, toxicity, url_filters
+from mailsieve.llm import decontamination, fill_in_middle, packing, pii, prefix_trie, quality_classifier, quality_rules, secret_scan, signature_join, token_counts, toxicity, url_filters
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -85,3 +85,8 @@ def _counted(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_skip_list_middle", fill_in_middle.DIGEST_SQL)
 def _infilled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle.digest(fill_in_middle.transformed(table(spark, sf_dir, "documents")))
+
+
+@query("op12_centroid_trie", prefix_trie.TRIE_SQL)
+def _trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(*prefix_trie.spliced(prefix_trie.turns_in_order(table(spark, sf_dir, "conversations"))))
