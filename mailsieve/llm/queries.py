@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailsieve.llm import decontamination, fill_in_middle, packing, pii, prefix_trie, quality_classifier, quality_rules, secret_scan, signature_join, token_counts, toxicity, url_filters
+from mailsieve.llm import chat_format, decontamination, fill_in_middle, packing, pii, prefix_trie, quality_classifier, quality_rules, secret_scan, signature_join, token_counts, toxicity, url_filters
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -90,3 +90,12 @@ def _infilled(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_centroid_trie", prefix_trie.TRIE_SQL)
 def _trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(*prefix_trie.spliced(prefix_trie.turns_in_order(table(spark, sf_dir, "conversations"))))
+
+
+@query("op13_template_chat", chat_format.FORMAT_SQL)
+def _formatted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    kinds = dict(turns.dtypes)
+    said = [(chat_format.PLANTED_ID, k, role, chat_format.PLANTED_TEXT) for k, role in enumerate(("user", "assistant"))]
+    planted = spark.createDataFrame(said, "conv_id long, turn int, role string, text string")
+    return chat_format.digest(chat_format.formatted(turns.unionByName(planted.select(*(F.col(c).cast(kinds[c]) for c in turns.columns)))))
