@@ -45,9 +45,11 @@ from mailsieve.llm.text import Chunk, chunks, inside_document, mix, shingle_hash
 WORDS = 5
 # Similarity as a fraction; links need OVER * |a ∩ b| >= ABOVE * |a ∪ b|.
 ABOVE, OVER = 75, 100
-# Shingles in a bucket or shard, and classes in a block: what a task holds.
+# Shingles in a bucket or shard, and classes and their shared shingles in a block:
+# what a task holds.
 BUCKET_TOKENS = 1_500_000
 BLOCK_CLASSES = 1_024
+BLOCK_TOKENS = 2_000_000
 # A shingle in so many of so many sampled documents is hot.
 HOT_SAMPLE, HOT_LEAST = 20_000, 16
 _HOT_RANK = 255
@@ -126,14 +128,14 @@ def _packed_rows(bucket: np.ndarray, cls: np.ndarray, size: np.ndarray, tokens:
 
 def _postings(docs: DataFrame, words: int, buckets: int, hot: np.ndarray | None = None) -> DataFrame:
     """bucket, and the tokens in it by class, packed: class (8 bytes), set size and
-    number of tokens (4 each), and 6 bytes of every token. A token is the number
-    of its bucket and 48 bits of its hash. Tokens in `hot` need no counting: they
+    number of tokens (4 each), and 6 bytes of every token. A token is the low 16 bits of
+    the number of its bucket and 48 bits of its hash. Tokens in `hot` need no counting: they
     go, whole, to buckets behind the others that are dealt without regard to them."""
     hot = np.zeros(0, dtype=np.uint64) if hot is None else hot
 
     def flush(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         cls, size, hashes = (np.concatenate(x) for x in zip(*held))
-        bucket = (hashes >> np.uint64(48)) * np.uint64(buckets) >> np.uint64(16)
+        bucket = (hashes >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)
         tokens = hashes & np.uint64((1 << 48) - 1) | bucket << np.uint64(48)
         known = np.zeros(len(tokens), dtype=bool)
         if len(hot):
@@ -350,8 +352,9 @@ def linked_labels(sizes: np.ndarray, sets: list[np.ndarray], side: np.ndarray |
 def _tree_joins(dealt: DataFrame) -> DataFrame:
     """Links a, b between classes, enough to connect what is linked, from tasks of
     root, block, part, side (-1: all with all), class, n, tokens and joined."""
-    rows = dealt.count()
-    slots = max(partitions(dealt.sparkSession), math.ceil(rows / BLOCK_CLASSES))
+    rows, held = dealt.agg(F.count("*"), F.coalesce(F.sum(F.length("tokens") / 8), F.lit(0))).first()
+    # About half a block in a slot, so few get a second large one.
+    slots = max(partitions(dealt.sparkSession), math.ceil(2 * rows / BLOCK_CLASSES), math.ceil(2 * held / BLOCK_TOKENS))
 
     def join(table: pa.Table) -> pa.Table:
         keys = np.stack([table.column(c).to_numpy() for c in ("root", "block", "part")], axis=1) if len(table) else np.zeros((0, 3), np.int64)
@@ -385,13 +388,16 @@ def _linked(suspects: DataFrame, clusters: DataFrame, block: int) -> DataFrame:
     """node and component of the classes in clusters (node, component) that are
     linked to another.
 
-    A cluster of more than `block` classes is cut into blocks. Each is joined by
+    A cluster of more than `block` classes, or of more than BLOCK_TOKENS shared shingles,
+    is cut into blocks. Each is joined by
     itself together with a few anchors from the whole cluster, which mostly
     connects all that is linked. What is then outside a cluster's largest component
     is held against every block; the members of that component have no more to
     find among themselves. So a task has two blocks at the most, and there are as many as
     the cluster has blocks, times those of what is left over."""
-    sizes = clusters.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    lengths = suspects.select(F.col("class").alias("node"), (F.length("tokens") / 8).alias("held"))
+    by_size = F.greatest(F.count("*") / block, F.sum("held") / BLOCK_TOKENS)
+    sizes = clusters.join(lengths, "node").groupBy("component").agg(F.ceil(by_size).cast("int").alias("blocks"))
     members = settled(clusters.join(sizes, "component").select(F.col("node").alias("class"), F.col("component").alias("root"), "blocks"))
     placed = members.withColumn("block", F.pmod(F.xxhash64("class"), "blocks").cast("int"))
     anchor = (F.col("blocks") > 1) & (F.pmod(F.xxhash64("class", F.lit("anchor")), F.col("blocks") * _ANCHOR_SHARE) == 0)
@@ -413,7 +419,7 @@ def _linked(suspects: DataFrame, clusters: DataFrame, block: int) -> DataFrame:
     rest = settled(large.join(main, "root").where("joined != main").drop("main"))
     if rest.isEmpty():
         return _named(small).union(found)
-    parts = rest.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    parts = rest.join(lengths, rest["class"] == lengths["node"]).groupBy("root").agg(F.ceil(by_size).cast("int").alias("parts"))
     rest = rest.join(parts, "root").withColumn("part", F.pmod(F.xxhash64("class"), "parts").cast("int"))
     against = rest.select("root", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "part", F.lit(1).alias("side"), "class", "joined")
     blocks = large.join(parts, "root").select("root", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("side"), "class", "joined")
@@ -430,8 +436,8 @@ def linked_classes(
     of every class that is linked to another)."""
     classes = stored(shingle_classes(docs, words), "classes")
     tokens, rows = classes.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)), F.count("*")).first()
-    # The top 16 bits of a token choose its bucket.
-    buckets = min(1 << 16, max(1, math.ceil(tokens / bucket_tokens)))
+    # The top 24 bits of a token's hash choose its bucket.
+    buckets = min(1 << 24, max(1, math.ceil(tokens / bucket_tokens)))
     hot = _hot_tokens(docs, rows, words, buckets, hot_sample, hot_least)
     replies = _shared_tokens(_postings(docs, words, buckets, hot), buckets, max(1, math.ceil(buckets / 4)))
     suspects = stored(_suspects(replies), "suspects")

@@ -230,7 +230,8 @@ def test_signature_bound_never_hides_a_link():
                     assert label[i] == label[j]
 
 
-def test_connected_components(spark):
+@pytest.mark.parametrize("task_links", [1_000_000, 40, 5])
+def test_connected_components(spark, task_links):
     rng = random.Random(4)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5, 5)]
     parent = {}
@@ -244,9 +245,24 @@ def test_connected_components(spark):
     for a, b in links:
         x, y = sorted((root(a), root(b)))
         parent[y] = x
-    got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long"), task_links).collect()}
     assert got == {i: root(i) for a, b in links if a != b for i in (a, b)}
-    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert components(spark.createDataFrame([], "a long, b long"), task_links).count() == 0
+
+
+def test_blocks_are_bounded_by_shingles(spark, monkeypatch):
+    """Near copies of long texts: few classes, and many blocks."""
+    monkeypatch.setattr(signature_join, "BLOCK_TOKENS", 700)
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(400)]
+    values = [" ".join(words)]
+    for _ in range(12):
+        some = list(words)
+        some[rng.randrange(400)] = "x"
+        values.append(" ".join(some))
+    values += [" ".join(words[:200] + [f"z{i}" for i in range(200)])]
+    found = signature_join.near_duplicates(texts(spark, values))
+    assert [r.component_id for r in found.orderBy("doc_id").collect()] == [c for _, c in _brute_components(values)]
 
 
 # Decontamination.
