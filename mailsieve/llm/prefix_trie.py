@@ -49,28 +49,35 @@ def turns_in_order(conversations: DataFrame, part_rows: int = PART_ROWS) -> Data
     return placed.select("conv_id", "pos", "size", "role", "text")
 
 
+def fingerprints(turns: DataFrame) -> DataFrame:
+    """What the trie needs of each turn: two hashes, x and y, of role and text, and
+    words, those of its text. Kept in the shared folder, so that texts are read once."""
+    salted = [F.xxhash64(F.lit(salt), "role", "text").alias(name) for salt, name in (("one", "x"), ("two", "y"))]
+    return settled(turns.where("conv_id IS NOT NULL").select("conv_id", "pos", "size", *salted, F.regexp_count("text", F.lit(WORDS)).cast("long").alias("words")))
+
+
 def spliced(turns: DataFrame, most: int = 4, every: int = 20) -> tuple[DataFrame, DataFrame]:
     """Conversations that share openings: conversation c takes its first h turns from
     the one at c - c % every, and goes on with its own after as many; h is the
     checksum of its number modulo `most`. Gives (turns, ids), as a conversation may
     end up without turns."""
-    turns = turns.where("conv_id IS NOT NULL")
+    kept = [c for c in turns.columns if c not in ("conv_id", "pos", "size")]
     ids = turns.groupBy("conv_id").agg(F.first("size").alias("size"))
     wanted = ids.select("conv_id", (F.crc32(F.col("conv_id").cast("string").cast("binary")) % most).alias("h"), (F.col("conv_id") - F.col("conv_id") % every).alias("base"))
     sizes = ids.select(F.col("conv_id").alias("base"), F.col("size").alias("given"))
     plan = wanted.join(sizes, "base", "left").withColumn("given", F.least("h", F.coalesce("given", F.lit(0))))
-    heads = turns.where(F.col("pos") < most).select(F.col("conv_id").alias("base"), "pos", "role", "text")
+    heads = turns.where(F.col("pos") < most).select(F.col("conv_id").alias("base"), "pos", *kept)
     opening = plan.where("given > 0").select("conv_id", "base", F.explode(F.sequence(F.lit(1).cast("long"), F.col("given").cast("long"))).alias("pos"))
-    taken = opening.join(heads, ["base", "pos"]).select("conv_id", "pos", "role", "text")
-    own = turns.join(plan, "conv_id").where("pos > h").select("conv_id", (F.col("given") + F.col("pos") - F.col("h")).alias("pos"), "role", "text")
+    taken = opening.join(heads, ["base", "pos"]).select("conv_id", "pos", *kept)
+    own = turns.join(plan, "conv_id").where("pos > h").select("conv_id", (F.col("given") + F.col("pos") - F.col("h")).alias("pos"), *kept)
     return taken.unionByName(own), ids.select("conv_id")
 
 
 def prefixes(turns: DataFrame, ids: DataFrame) -> DataFrame:
     """A row for every conversation and depth from 0: h (of the prefix), before (of the
     one a turn shorter), left (how many depths from here on) and words of the last text."""
-    salted = [F.xxhash64(F.lit(salt), "pos", "role", "text") for salt in ("one", "two")]
-    rows = turns.select("conv_id", "pos", F.floor((F.col("pos") - 1) / _PIECE).alias("piece"), salted[0].alias("x"), salted[1].alias("y"), F.regexp_count("text", F.lit(WORDS)).cast("long").alias("words"))
+    placed = [F.xxhash64(F.lit(salt), "pos", "x", "y").alias(name) for salt, name in (("one", "x"), ("two", "y"))]
+    rows = turns.select("conv_id", "pos", F.floor((F.col("pos") - 1) / _PIECE).alias("piece"), *placed, "words")
     of_piece = rows.groupBy("conv_id", "piece").agg(F.bit_xor("x").alias("px"), F.bit_xor("y").alias("py"), F.count("*").alias("n"))
     earlier, later = (W.partitionBy("conv_id").orderBy(o).rowsBetween(W.unboundedPreceding, -1) for o in (F.asc("piece"), F.desc("piece")))
     total = lambda c, w: F.coalesce(c.over(w), F.lit(0))
@@ -113,7 +120,7 @@ def subtree_totals(nodes: DataFrame, ways: DataFrame, values: dict[str, Column],
     own, got = [f"own_{n}" for n in names], [f"got_{n}" for n in names]
     component = ["top", "top_depth"]  # a component is named by its top, the first one by nothing
     name = F.lit("0").cast(nodes.schema["rep"].dataType)
-    state = nodes.select("rep", "depth", "parent", "weight", name.alias("top"), F.lit(-1).cast("long").alias("top_depth"), *(v.cast("long").alias(f"own_{n}") for n, v in values.items()), *(F.lit(0).cast("long").alias(g) for g in got))
+    state = settled(nodes.select("rep", "depth", "parent", "weight", name.alias("top"), F.lit(-1).cast("long").alias("top_depth"), *(v.cast("long").alias(f"own_{n}") for n, v in values.items()), *(F.lit(0).cast("long").alias(g) for g in got)))
     done, looked_up = [], None
     while True:
         sizes = state.groupBy(*component).agg(F.count("*").alias("n"), F.max("weight").alias("whole"))
@@ -272,7 +279,7 @@ def digests(members: DataFrame, keys: list[str]) -> DataFrame:
 
 def trie(turns: DataFrame, ids: DataFrame, local_nodes: int = LOCAL_NODES) -> DataFrame:
     """A row for every node of the conversations `ids`, of which `turns` (conv_id, pos
-    from 1 without gaps, role, text) has the turns: conv_id (its smallest member), depth,
+    from 1 without gaps, x, y, words) has the turns: conv_id (its smallest member), depth,
     parent_conv_id, n_convs, n_children, n_leaves, saved_tokens (words that need not be
     kept once more for every other conversation through a node, summed over the subtree)
     and ends_sha256, of the conversations that end there."""

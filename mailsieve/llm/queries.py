@@ -89,7 +89,7 @@ def _infilled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op12_centroid_trie", prefix_trie.TRIE_SQL)
 def _trie(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prefix_trie.trie(*prefix_trie.spliced(prefix_trie.turns_in_order(table(spark, sf_dir, "conversations"))))
+    return prefix_trie.trie(*prefix_trie.spliced(prefix_trie.fingerprints(prefix_trie.turns_in_order(table(spark, sf_dir, "conversations")))))
 
 
 @query("op13_template_chat", chat_format.FORMAT_SQL)

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mailsieve.llm import prefix_trie
-from mailsieve.llm.prefix_trie import decomposed, spliced, trie, turns_in_order
+from mailsieve.llm.prefix_trie import decomposed, fingerprints, spliced, trie, turns_in_order
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "conv_id long, turn int, role string, text string"
@@ -67,7 +67,7 @@ def test_equals_dictionaries(spark, monkeypatch, seed, local_nodes, piece):
     monkeypatch.setattr(prefix_trie, "_PIECE", piece)
     rows = _rows(seed) + EDGES
     table = spark.createDataFrame(rows, SCHEMA).select("*", *(F.lit("x").alias(c) for c in ("pos", "size", "depth", "h", "top", "_key")))
-    turns, ids = spliced(turns_in_order(table, part_rows=40 if piece == 2 else 1000))
+    turns, ids = spliced(fingerprints(turns_in_order(table, part_rows=40 if piece == 2 else 1000)))
     found = trie(turns, ids, local_nodes)
     assert sorted((tuple(r) for r in found.collect()), key=repr) == _brute(_spliced(_conversations(rows)))
 
@@ -75,7 +75,7 @@ def test_equals_dictionaries(spark, monkeypatch, seed, local_nodes, piece):
 def test_one_long_conversation(spark):
     """A chain, split by joins and finished in tasks."""
     rows = [(1, i, "user", f"turn {i}") for i in range(600)] + [(2, i, "user", f"turn {i}") for i in range(300)] + [(3, 0, "user", "other")]
-    turns = turns_in_order(spark.createDataFrame(rows, SCHEMA), part_rows=100)
+    turns = fingerprints(turns_in_order(spark.createDataFrame(rows, SCHEMA), part_rows=100))
     got = {(r.conv_id, r.depth): r for r in trie(turns.drop("size"), turns.select("conv_id").distinct(), 100).collect()}
     assert len(got) == 602
     assert all(got[1, d].n_leaves == 1 and got[1, d].saved_tokens == 2 * max(0, 301 - d) and got[1, d].n_convs == (2 if d <= 300 else 1) for d in range(1, 601))
@@ -84,7 +84,7 @@ def test_one_long_conversation(spark):
 
 def test_no_conversations(spark):
     for rows in ([], [(None, 1, "user", "x")]):
-        turns, ids = spliced(turns_in_order(spark.createDataFrame(rows, SCHEMA)))
+        turns, ids = spliced(fingerprints(turns_in_order(spark.createDataFrame(rows, SCHEMA))))
         assert trie(turns, ids).collect() == []
 
 
