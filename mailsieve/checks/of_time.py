@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from mailsieve.checks.corpus import ATTEMPTS_SQL, attempts, mail_of, raw_policies, table
 from mailsieve.checks.of_policy import _RUN_COLUMNS, _TENANT_SQL, RUN_SQL, _run_columns
 from mailsieve.checks.registry import check
+from mailsieve.folders import new_folder
 from mailsieve.operators import ratelimit
 from mailsieve.operators.tenants import decode_policies
 from mailsieve.streaming.gateway import write_stream
@@ -61,13 +59,6 @@ def j1_trailing(spark, sf_dir):
     return ratelimit.trailing_attempts(attempts(spark, sf_dir), DAY_MS)
 
 
-def scratch(spark) -> str:
-    """A new folder for a stream's output and progress: below the cluster's
-    shared checkpoint folder, or a temporary one where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="mailsieve-")
-
-
 def _stream(spark, sf_dir: str, name: str):
     batch = table(spark, sf_dir, name)
     return spark.readStream.schema(batch.schema).parquet(f"{sf_dir}/{name}*.parquet")
@@ -75,14 +66,14 @@ def _stream(spark, sf_dir: str, name: str):
 
 @check("a10_stream_process", f"WITH {RUN_SQL} SELECT {_RUN_COLUMNS} FROM e")
 def a10(spark, sf_dir):
-    at = scratch(spark)
+    at = new_folder(spark)
     write_stream(mail_of(_stream(spark, sf_dir, "conversations")), f"{at}/out", f"{at}/progress").awaitTermination()
     return _run_columns(spark.read.parquet(f"{at}/out"))
 
 
 @check("j4_stream_tenants", f"WITH {_TENANT_SQL} SELECT id, connection_id, reason FROM v")
 def j4(spark, sf_dir):
-    at = scratch(spark)
+    at = new_folder(spark)
     policies = decode_policies(raw_policies(spark, sf_dir))
     write_stream(
         mail_of(_stream(spark, sf_dir, "conversations")), f"{at}/out", f"{at}/progress", policies=policies
@@ -93,21 +84,40 @@ def j4(spark, sf_dir):
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+# Events arrive in files of ten days each, but one in 13 comes a file late and one in 29 two files late.
+_ARRIVAL = "floor({at} / 864000000) + CASE WHEN {id} % 13 = 0 THEN 1 ELSE 0 END + CASE WHEN {id} % 29 = 0 THEN 2 ELSE 0 END"
+_LATENESS_MS = 4 * DAY_MS
+
+
+def _late_sql() -> str:
+    arrived = ATTEMPTS_SQL.replace("attempts AS", "arrived AS", 1)
+    return f"""{arrived}, f AS (SELECT *, {_ARRIVAL.format(at="at_ms", id="id")} AS file FROM arrived),
+      w AS (SELECT file, max(max(at_ms)) OVER (ORDER BY file ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - {_LATENESS_MS} AS watermark FROM f GROUP BY file),
+      late AS (SELECT f.* FROM f JOIN w ON w.file = f.file WHERE f.at_ms < w.watermark),
+      attempts AS (SELECT key, id, at_ms FROM f ANTI JOIN late ON late.id = f.id)"""
+
+
 @check(
     "j1_stream_rate_limit",
-    _limiter_sql(DAY_MS, 3) + " SELECT key, id, at_ms, admitted, retry_after_s FROM s",
+    _limiter_sql(DAY_MS, 3).replace(ATTEMPTS_SQL, _late_sql(), 1)
+    + " SELECT key, id, at_ms, admitted, retry_after_s, CAST(NULL AS VARCHAR) AS reason FROM s UNION ALL SELECT key, id, at_ms, NULL, NULL, 'late' FROM late",
 )
 def j1_stream(spark, sf_dir):
-    at = scratch(spark)
-    events = _stream(spark, sf_dir, "events").select(
-        F.col("user_id").alias("key"), F.col("event_id").alias("id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms")
-    )
+    """Out of order, a file at a time, with a last one that moves the watermark past all."""
+    at, n = new_folder(spark), spark.sparkContext.defaultParallelism
+    events = attempts(spark, sf_dir).withColumn("file", F.expr(_ARRIVAL.format(at="at_ms", id="id")))
+    files = [r.file for r in events.select("file").distinct().orderBy("file").collect()]  # one for every ten days
+    for name in files:
+        events.where(F.col("file") == name).drop("file").repartition(n).write.mode("append").parquet(f"{at}/in")
+    beat = events.agg((F.max("at_ms") + 10 * DAY_MS).alias("at_ms")).select(F.lit(None).cast(events.schema["key"].dataType).alias("key"), F.lit(None).cast(events.schema["id"].dataType).alias("id"), "at_ms")
+    beat.write.mode("append").parquet(f"{at}/in")
     setting = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(setting)
     spark.conf.set(setting, ROCKSDB)
     try:
+        source = spark.readStream.schema(beat.schema).option("maxFilesPerTrigger", n).parquet(f"{at}/in")
         query = (
-            limit_stream(events, DAY_MS, 3)
+            limit_stream(source, DAY_MS, 3, f"{_LATENESS_MS} milliseconds", slice_ms=DAY_MS // 24)
             .writeStream.format("parquet")
             .option("path", f"{at}/out")
             .option("checkpointLocation", f"{at}/progress")
@@ -118,4 +128,4 @@ def j1_stream(spark, sf_dir):
         query.awaitTermination()
     finally:
         spark.conf.set(setting, before)
-    return spark.read.parquet(f"{at}/out")
+    return spark.read.parquet(f"{at}/out").where("id IS NOT NULL")

@@ -11,15 +11,17 @@ What needs the sequence is narrowed down first, each step exact:
    in front of it, whose attempts are all admitted. Runs are independent.
 
 The walk reads sorted batches and keeps `limit` times, so memory is constant
-however long a run is. A key that stays above the limit without ever pausing is
-one run: each decision there rests on the one before it.
+however long a run is, and it steps from admission to admission, not from attempt to
+attempt. A key that stays above the limit without ever pausing is one run: each
+decision there rests on the one before it.
 """
 
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,20 +35,32 @@ LIMIT = 10
 class SlidingLog:
     """Times of the admitted attempts still inside the window."""
 
-    def __init__(self, window_ms: int, limit: int, times: Iterator[int] = ()):
+    def __init__(self, window_ms: int, limit: int, times: Iterable[int] = ()):
         self.window_ms, self.limit = window_ms, limit
         self.times = deque(times)
 
-    def offer(self, at: int, n: int) -> tuple[int, int | None]:
-        """Admits what it can of n attempts at one time: (admitted, seconds
-        the others must wait)."""
-        while self.times and at - self.times[0] >= self.window_ms:
-            self.times.popleft()
-        admitted = min(n, self.limit - len(self.times))
-        self.times.extend([at] * admitted)
-        if admitted == n:
-            return admitted, None
-        return admitted, -((at - self.times[0] - self.window_ms) // 1000)
+    def offer(self, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Admits what it can of n attempts at each of the ascending times: (admitted,
+        seconds the others must wait, 0 where there are none). While the log is full
+        nothing happens until its oldest entry leaves the window, so the steps taken
+        are those of admissions, however many attempts lie between."""
+        admitted, wait = np.zeros(len(at), dtype=np.int64), np.zeros(len(at), dtype=np.int64)
+        i = 0
+        while i < len(at):
+            now = int(at[i])
+            while self.times and now - self.times[0] >= self.window_ms:
+                self.times.popleft()
+            took = min(int(n[i]), self.limit - len(self.times))
+            self.times.extend([now] * took)
+            admitted[i] = took
+            if took == n[i]:
+                i += 1
+                continue
+            opens = self.times[0] + self.window_ms
+            blocked = slice(i, int(np.searchsorted(at, opens, side="left")))
+            wait[blocked] = -((at[blocked] - opens) // 1000)
+            i = blocked.stop
+        return admitted, wait
 
 
 def _plan(instants: DataFrame, window_ms: int, limit: int) -> DataFrame:
@@ -99,14 +113,23 @@ def admissions(attempts: DataFrame, window_ms: int = WINDOW_MS, limit: int = LIM
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, log = None, None
         for batch in batches:
+            keys, runs = batch["key"].to_numpy(), batch["run"].to_numpy()
+            at, n = batch["at_ms"].to_numpy(), batch["n"].to_numpy()
+            new = np.ones(len(batch) + 1, dtype=bool)
+            new[1:-1] = (keys[1:] != keys[:-1]) | (runs[1:] != runs[:-1])
+            cuts = np.flatnonzero(new)
             admitted, waits = [], []
-            for key, run, at, n in zip(batch["key"], batch["run"], batch["at_ms"], batch["n"]):
-                if (key, run) != current:
-                    current, log = (key, run), SlidingLog(window_ms, limit)
-                took, wait = log.offer(int(at), int(n))
+            for a, b in zip(cuts, cuts[1:]):
+                if (keys[a], runs[a]) != current:
+                    current, log = (keys[a], runs[a]), SlidingLog(window_ms, limit)
+                took, wait = log.offer(at[a:b], n[a:b])
                 admitted.append(took)
                 waits.append(wait)
-            out = batch.assign(admitted=admitted, retry_after_s=pd.array(waits, dtype="Int64"))
+            if not len(batch):
+                continue
+            admitted, waits = np.concatenate(admitted), pd.array(np.concatenate(waits), dtype="Int64")
+            waits[admitted == n] = pd.NA
+            out = batch.assign(admitted=admitted, retry_after_s=waits)
             yield out.loc[~batch["leads"], ["key", "at_ms", "n", "admitted", "retry_after_s"]]
 
     walked = (

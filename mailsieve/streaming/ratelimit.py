@@ -1,13 +1,20 @@
-"""Sliding-log admission on a stream: the log is kept per key between batches.
+"""Sliding-log admission on a stream, in event time.
 
-Attempts of a batch are taken in time order. A key's state is dropped by an
-event-time timer once its last admission has left the window for good.
+Attempts may arrive in any order. They wait in the state of their key, packed by time
+slices, and are judged slice by slice when a timer says that the watermark has
+passed, so verdicts are those of the batch operator whatever the order of arrival. An
+attempt behind the watermark cannot be judged any more, as what came after it has
+been; it is put out at once, without a verdict and with a reason.
+
+What a key keeps: its waiting slices, and the times of its last admissions until the
+window has left them behind, when a timer drops them. A key that is idle keeps nothing.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,65 +23,130 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from mailsieve.operators.ratelimit import LIMIT, WINDOW_MS, SlidingLog
 
-
-def _verdict_type(key: T.StructField, id_: T.StructField) -> T.StructType:
-    return T.StructType(
-        [
-            T.StructField("key", key.dataType),
-            T.StructField("id", id_.dataType),
-            T.StructField("at_ms", T.LongType()),
-            T.StructField("admitted", T.BooleanType()),
-            T.StructField("retry_after_s", T.LongType()),
-        ]
-    )
+LATE, UNDECIDABLE = "late", "no key or time"
+# Attempts in one entry of the state.
+_ENTRY = 4096
 
 
 class Limiter(StatefulProcessor):
-    def __init__(self, window_ms: int, limit: int):
-        self.window_ms, self.limit = window_ms, limit
+    def __init__(self, window_ms: int, limit: int, slice_ms: int, id_type: str):
+        self.window_ms, self.limit, self.slice_ms, self.id_type = window_ms, limit, slice_ms, id_type
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.times = handle.getListState("times", "at bigint")
+        # What waits: (slice, number of entry) to its attempts, and how many entries a slice has.
+        self.waiting = handle.getMapState("waiting", "slice bigint, entry int", f"at array<bigint>, id array<{self.id_type}>")
+        self.entries = handle.getMapState("entries", "slice bigint", "n int")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        # One key's attempts in one micro-batch, which the source's rate bounds.
-        batch = pd.concat(list(rows)).sort_values(["at_ms", "id"], kind="stable")
-        log = SlidingLog(self.window_ms, self.limit, (t[0] for t in self.times.get()))
-        took = [log.offer(int(at), 1) for at in batch["at_ms"]]
-        self.times.put([(t,) for t in log.times])
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if log.times:
-            self.handle.registerTimer(log.times[-1] + self.window_ms)
-        yield pd.DataFrame(
-            {
-                "key": [key[0]] * len(batch),
-                "id": batch["id"].to_numpy(),
-                "at_ms": batch["at_ms"].to_numpy(),
-                "admitted": [a == 1 for a, _ in took],
-                "retry_after_s": pd.array([w for _, w in took], dtype="Int64"),
-            }
-        )
+        watermark = timerValues.getCurrentWatermarkInMs()
+        known = key[0] is not None and key[0] == key[0]
+        for batch in rows:
+            at, ids = batch["at_ms"].to_numpy(), batch["id"].astype(object).mask(batch["no_id"], None).to_numpy()
+            undecidable = batch["no_time"].to_numpy() | (not known)
+            late = ~undecidable & (at < watermark)
+            if undecidable.any():
+                times = pd.Series(at[undecidable], dtype="Int64").mask(batch["no_time"].to_numpy()[undecidable])
+                yield _rows(key[0], ids[undecidable], times, None, None, UNDECIDABLE)
+            if late.any():
+                yield _rows(key[0], ids[late], at[late], None, None, LATE)
+            self._wait(at[~undecidable & ~late], ids[~undecidable & ~late])
+
+    def _wait(self, at: np.ndarray, ids: np.ndarray) -> None:
+        slices = at // self.slice_ms
+        for name in np.unique(slices):
+            inside, place = slices == name, (int(name),)
+            own_at, own_ids = at[inside].tolist(), ids[inside].tolist()
+            n = self.entries.getValue(place)[0] if self.entries.containsKey(place) else 0
+            if n:  # the last entry is filled up first
+                last = self.waiting.getValue((int(name), n - 1))
+                if len(last[0]) < _ENTRY:
+                    own_at, own_ids, n = [*last[0], *own_at], [*last[1], *own_ids], n - 1
+            else:
+                self.handle.registerTimer((int(name) + 1) * self.slice_ms)
+            for start in range(0, len(own_at), _ENTRY):
+                self.waiting.updateValue((int(name), n), (own_at[start : start + _ENTRY], own_ids[start : start + _ENTRY]))
+                n += 1
+            self.entries.updateValue(place, (n,))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.times.clear()
-        return iter(())
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        log = SlidingLog(self.window_ms, self.limit, (t[0] for t in self.times.get()))
+        place = (now // self.slice_ms - 1,)
+        if self.entries.containsKey(place):
+            yield self._judged(key[0], place[0], log)
+        leaves = log.times[-1] + self.window_ms if log.times else now
+        # Slices that wait may still need the log, even if it lies behind the watermark by now.
+        if leaves <= now or (leaves <= timerValues.getCurrentWatermarkInMs() and not self.entries.exists()):
+            self.times.clear()
+        else:
+            self.times.put([(t,) for t in log.times])
+            # Timers of one slice are one timer.
+            self.handle.registerTimer(-(leaves // -self.slice_ms) * self.slice_ms)
+
+    def _judged(self, key, name: int, log: SlidingLog) -> pd.DataFrame:
+        at, ids = [], []
+        for entry in range(self.entries.getValue((name,))[0]):
+            some_at, some_ids = self.waiting.getValue((name, entry))
+            at += some_at
+            ids += some_ids
+            self.waiting.removeKey((name, entry))
+        self.entries.removeKey((name,))
+        order = sorted(range(len(at)), key=lambda i: (at[i], ids[i] is not None, ids[i]))
+        at, ids = np.array([at[i] for i in order]), [ids[i] for i in order]
+        instants, first, n = np.unique(at, return_index=True, return_counts=True)
+        took, wait = log.offer(instants, n)
+        admitted = np.arange(len(at)) - np.repeat(first, n) < np.repeat(took, n)
+        retry = pd.array(np.repeat(wait, n), dtype="Int64")
+        retry[admitted] = pd.NA
+        return _rows(key, ids, at, admitted, retry, None)
 
     def close(self) -> None:
         pass
 
 
-def limit_stream(
-    attempts: DataFrame, window_ms: int = WINDOW_MS, limit: int = LIMIT, lateness: str = "1 minute"
-) -> DataFrame:
-    """Streaming attempts (key, id, at_ms) with their verdicts. Needs the
-    RocksDB state store. Attempts later than `lateness` are dropped, as their
-    key's state may be gone."""
-    timed = attempts.withColumn("at", F.timestamp_millis("at_ms")).withWatermark("at", lateness)
-    return timed.groupBy("key").transformWithStateInPandas(
-        statefulProcessor=Limiter(window_ms, limit),
-        outputStructType=_verdict_type(attempts.schema["key"], attempts.schema["id"]),
+def _rows(key, ids, at, admitted, retry, reason) -> pd.DataFrame:
+    n = len(at)
+    return pd.DataFrame(
+        {
+            "key": pd.Series([key] * n, dtype=object),
+            "id": pd.Series(list(ids), dtype=object),
+            "at_ms": pd.Series(at, dtype="Int64").reset_index(drop=True),
+            "admitted": pd.Series([None] * n if admitted is None else list(admitted), dtype="boolean"),
+            "retry_after_s": pd.Series([None] * n if retry is None else retry, dtype="Int64"),
+            "reason": pd.Series([reason] * n, dtype=object),
+        }
+    )
+
+
+def limit_stream(attempts: DataFrame, window_ms: int = WINDOW_MS, limit: int = LIMIT, lateness: str = "1 minute", slice_ms: int = 1000) -> DataFrame:
+    """Streaming attempts (key, id, at_ms), each in exactly one row: with its verdict,
+    once the watermark has passed the end of its slice, or with a reason why it has
+    none, `late` or `no key or time`. `lateness` is how far behind the latest attempt
+    one may arrive and still be judged. One key's attempts of one slice are judged
+    together, so `slice_ms` bounds what a task holds and the number of timers. Needs the RocksDB
+    state store."""
+    if limit < 1 or slice_ms < 1:
+        raise ValueError("limit and slice_ms must be at least 1")
+    id_type = attempts.schema["id"].dataType
+    timed = attempts.select("key", "id", "at_ms", F.timestamp_millis("at_ms").alias("at")).withWatermark("at", lateness)
+    # Without the column of the watermark, Spark does not drop what lies behind it: `Limiter` puts it out.
+    # No numbers are null, as pandas would make them inexact ones.
+    plain = timed.select("key", F.coalesce("id", F.lit("0").cast(id_type)).alias("id"), F.col("id").isNull().alias("no_id"), F.coalesce("at_ms", F.lit(0)).alias("at_ms"), F.col("at_ms").isNull().alias("no_time"))
+    verdict = T.StructType(
+        [
+            T.StructField("key", attempts.schema["key"].dataType),
+            T.StructField("id", id_type),
+            T.StructField("at_ms", T.LongType()),
+            T.StructField("admitted", T.BooleanType()),
+            T.StructField("retry_after_s", T.LongType()),
+            T.StructField("reason", T.StringType()),
+        ]
+    )
+    return plain.groupBy("key").transformWithStateInPandas(
+        statefulProcessor=Limiter(window_ms, limit, slice_ms, id_type.simpleString()),
+        outputStructType=verdict,
         outputMode="Append",
         timeMode="EventTime",
     )

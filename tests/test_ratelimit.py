@@ -58,30 +58,57 @@ def test_trailing_counts(spark):
     assert got == want
 
 
-def test_stream_equals_batch_over_several_batches(spark, tmp_path):
-    rows = sorted(((k, at + 1_700_000_000_000, i) for k, at, i in rows_of(9, 900)), key=lambda r: r[1])
-    for i in range(3):  # arrival in time order, a file for each third
-        part = spark.createDataFrame(rows[i * 300 : (i + 1) * 300], "key string, at_ms long, id long")
-        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+SCHEMA = "key string, at_ms long, id long"
+
+
+def _streamed(spark, at, parts, *limits, **options):
+    """The output rows and, of each state variable, the number of entries left."""
+    for part in parts:
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(f"{at}/in")
     setting = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(setting)
-    spark.conf.set(setting, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.conf.set(setting, ROCKSDB)
     try:
-        source = (
-            spark.readStream.schema("key string, at_ms long, id long")
-            .option("maxFilesPerTrigger", 1)
-            .parquet(str(tmp_path / "in"))
-        )
-        query = (
-            limit_stream(source, 20_000, 3)
-            .writeStream.format("parquet")
-            .option("path", str(tmp_path / "out"))
-            .option("checkpointLocation", str(tmp_path / "progress"))
-            .trigger(availableNow=True)
-            .start()
-        )
-        query.awaitTermination()
+        source = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+        writer = limit_stream(source, *limits, **options).writeStream.format("parquet").option("path", f"{at}/out")
+        writer.option("checkpointLocation", f"{at}/progress").trigger(availableNow=True).start().awaitTermination()
+        state = {v: spark.read.format("statestore").option("path", f"{at}/progress").option("stateVarName", v).load().count() for v in ("times", "waiting", "entries")}
     finally:
         spark.conf.set(setting, before)
-    got = {r["id"]: (r["admitted"], r["retry_after_s"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert got == plain(rows, 20_000, 3)
+    return spark.read.parquet(f"{at}/out").collect(), state
+
+
+def test_stream_out_of_order(spark, tmp_path):
+    """Attempts in any order, some too late, some without a key or a time: each is in the
+    output once, verdicts are those of the plain rule over what came in time, and nothing is kept of
+    keys that have gone quiet."""
+    start, lateness = 1_700_000_000_000, 30_000
+    rows = [(k, at + start, i) for k, at, i in rows_of(9, 900)]
+    rng = random.Random(1)
+    rows.sort(key=lambda r: r[1] + rng.randint(0, 200_000))
+    parts = [rows[i * 300 : (i + 1) * 300] for i in range(3)]
+    parts[1] = parts[1] + [(None, start, 9001), ("k1", None, 9002), (None, None, 2**60 + 1)]
+    beat = ("beat", start + 10_000_000, -1)
+    got, state = _streamed(spark, tmp_path, [*parts, [beat]], 20_000, 3, "30 seconds")
+    late, watermark = set(), 0
+    for part in parts:
+        late |= {i for k, at, i in part if k and at and at < watermark}
+        watermark = max(watermark, max(at for _, at, _ in part if at) - lateness)
+    assert len(got) == 903 and len({r.id for r in got}) == 903 and 50 < len(late) < 500
+    assert {r.id for r in got if r.reason == "late"} == late
+    assert {r.id for r in got if r.reason == "no key or time"} == {9001, 9002, 2**60 + 1}
+    assert all(r.admitted is None and r.retry_after_s is None for r in got if r.reason)
+    judged = {r.id: (r.admitted, r.retry_after_s) for r in got if not r.reason}
+    assert judged == plain([r for r in rows if r[2] not in late], 20_000, 3)
+    # Only the last attempt waits; the admissions of 31 keys have left the window.
+    assert state == {"times": 0, "waiting": 1, "entries": 1}
+
+
+def test_stream_keeps_what_the_window_needs(spark, tmp_path):
+    """A slice of many attempts fills several entries; a log behind the watermark still counts for slices that wait."""
+    start = 1_700_000_000_000
+    rows = [("hot", start + i // 10, i) for i in range(9000)] + [("hot", start + 15_000, 9000), ("hot", start + 40_000, 9001)]
+    got, state = _streamed(spark, tmp_path, [rows, [("beat", start + 41_000 + 1000, -1)]], 20_000, 2, "1 second", slice_ms=1000)
+    assert {r.id: (r.admitted, r.retry_after_s) for r in got} == plain(rows, 20_000, 2)
+    assert state["times"] == 1  # of the last admission, 40 seconds on
