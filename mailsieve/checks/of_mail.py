@@ -410,6 +410,15 @@ def h7(spark, sf_dir):
     return threads.thread_page(mail(spark, sf_dir), 20, scan=60).select("id", "message_count")
 
 
+@check(
+    "h7_thread_page_since",
+    f"""WITH {MAIL_SQL}, t AS (SELECT thread_id, count(*) AS message_count, max(date_epoch) AS last_s FROM m WHERE date_epoch >= {1767225600 + 30 * 86400} GROUP BY ALL)
+    SELECT thread_id AS id, message_count FROM t ORDER BY last_s DESC, thread_id LIMIT 20""",
+)
+def h7_since(spark, sf_dir):
+    return threads.thread_page(mail(spark, sf_dir), 20, since="2026-01-31 00:00:00").select("id", "message_count")
+
+
 @check(
     "h8_message_position",
     _EVERY + "SELECT id, thread_id, row_number() OVER (PARTITION BY thread_id ORDER BY date_epoch, uid DESC) AS position FROM m",
@@ -427,7 +436,7 @@ def h8_documents(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(
         "doc_id", "source", F.col("source").alias("thread_id"), F.col("doc_id").alias("uid"), F.timestamp_seconds("n_chars").alias("sent_at")
     )
-    return threads.with_position(docs, slice_seconds=500).select("doc_id", "source", "position")
+    return threads.with_position(docs, part_rows=500).select("doc_id", "source", "position")
 
 
 # --- search and pages ------------------------------------------------------
@@ -505,7 +514,7 @@ def h3(spark, sf_dir):
     SELECT id, CAST(page_row AS INTEGER) AS page_row FROM p WHERE page_row BETWEEN 1 AND 50""",
 )
 def h4(spark, sf_dir):
-    page = paging.offset_page(mail(spark, sf_dir).select("id", "uid"), F.desc("uid"), n=80, offset=20)
+    page = paging.offset_page(mail(spark, sf_dir).select("id", "uid"), F.desc("uid"), n=paging.SCRIPT_PAGE, offset=20)
     return page.rows.select("id", "page_row")
 
 

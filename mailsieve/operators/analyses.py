@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mailsieve.functions.address import sender_domain
 from mailsieve.operators.search import carries
-from mailsieve.operators.threads import with_position
+from mailsieve.operators.threads import UNDATED, with_position
 
 PROMOTIONS = "CATEGORY_PROMOTIONS"
 
@@ -43,12 +43,15 @@ def last_inbound(messages: DataFrame, sent_label: str = "SENT") -> DataFrame:
 
 
 def awaiting_reply(messages: DataFrame, sent_label: str = "SENT") -> DataFrame:
-    """Sent messages nobody wrote after in their thread. The thread side of the
-    join has one row per thread; a heavy thread's own messages are split by
-    Spark's skew handling."""
-    ends = last_inbound(messages, sent_label).select("thread_id", "last_in")
-    sent = messages.filter(_is_sent(sent_label)).join(ends, "thread_id")
-    return sent.filter(F.col("last_in").isNull() | (F.col("last_in") <= F.col("sent_at"))).drop("last_in")
+    """Sent messages nobody wrote after in their thread. An undated message counts
+    as older than any dated one, and messages without a thread are one thread. The
+    thread side of the join has one row per thread; a heavy thread's own messages are
+    split by Spark's skew handling."""
+    sent = _is_sent(sent_label)
+    place = F.coalesce(F.unix_micros("sent_at"), F.lit(UNDATED))
+    ends = messages.groupBy(F.col("thread_id").alias("_thread")).agg(F.max(F.when(~sent, place)).alias("_last_in"))
+    own = messages.filter(sent).join(ends, F.col("thread_id").eqNullSafe(F.col("_thread")))
+    return own.filter(F.col("_last_in").isNull() | (F.col("_last_in") <= place)).drop("_thread", "_last_in")
 
 
 def unanswered(messages: DataFrame, domain: str, since, until, sent_label: str = "SENT") -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from mailsieve.operators.positions import PART_ROWS, numbered
+
 MAX_PAGE = 200
 SCRIPT_PAGE = 50
 
@@ -90,11 +92,48 @@ def keyset_page(df: DataFrame, n: int = 20, token: str | int | None = None, key:
     return Page(numbered.filter(F.col("page_row") <= n).drop("page_token"), numbered.filter(F.col("page_row") > n), numbered)
 
 
+def paged(df: DataFrame, n: int = 20, key: str = "uid", part_rows: int = PART_ROWS) -> DataFrame:
+    """All rows with the `page` (from 0) of `keyset_page` that they are on and their
+    `page_row`. Rows are numbered in parts, so all pages are made at once."""
+    # Ascending with nulls first is the order of pages read backwards.
+    keys = _keys(df, key)
+    placed = numbered(df, [], [F.col(c) for c in keys], "page_row", "page", part_rows)
+    place = F.col("page") - F.col("page_row")
+    return placed.withColumns({"page": F.floor(place / n), "page_row": (place % n + 1).cast("long")})
+
+
+def directory(df: DataFrame, n: int = 20, key: str = "uid", part_rows: int = PART_ROWS) -> DataFrame:
+    """Every page's number, the `token` that `keyset_page` takes for it, and n_rows:
+    two rows of each page are looked at, however many pages there are."""
+    keys = _keys(df, key)
+    rows = paged(df.select(keys), n, key, part_rows)
+    counts = rows.groupBy("page").agg(F.count("*").alias("n_rows"))
+    first = rows.where("page_row = 1").drop("page_row").join(counts, "page")
+    before = rows.where(F.col("page_row") == n).select((F.col("page") + 1).alias("page"), F.col(key).alias("_before"), F.lit(True).alias("_has"))
+    shared = F.col(key).isNull() | (F.col("_has").isNotNull() & F.col("_before").eqNullSafe(F.col(key)))
+    full = F.to_json(F.array(*(_plain(c, df) for c in keys)), {"ignoreNullFields": "false"})
+    token = F.when(shared, full).otherwise(F.col(key).cast("string"))
+    return first.join(before, "page", "left").select("page", token.alias("token"), "n_rows")
+
+
+def on_pages(df: DataFrame, n: int = 20, key: str = "uid", part_rows: int = PART_ROWS) -> DataFrame:
+    """For each row the pages whose range of keys, from a page's first row up to that of
+    the next, it lies in: the row's keys and `page`. A range join of rows with the page that its place says and
+    those beside it, so a wrong order or a torn page would show."""
+    keys = _keys(df, key)
+    rows = paged(df.select(keys), n, key, part_rows)
+    first = rows.where("page_row = 1").select("page", F.struct(*keys).alias("_first"))
+    bounds = first.join(first.select((F.col("page") - 1).alias("page"), F.col("_first").alias("_next")), "page", "left")
+    near = rows.withColumn("page", F.explode(F.array(F.col("page") - 1, F.col("page"), F.col("page") + 1)))
+    own = F.struct(*keys)
+    inside = (own <= F.col("_first")) & (F.col("_next").isNull() | (own > F.col("_next")))
+    return near.join(bounds, "page").where(inside).select(*keys, "page")
+
+
 def offset_page(df: DataFrame, *order: Column, n: int = 10, offset: int = 0) -> Page:
-    """Script-style page: at most 50 rows, as the script gives, one more read to
-    learn whether there are any left. The token is the offset of the first row
-    that is not on the page, whatever was asked for."""
-    n = min(n, SCRIPT_PAGE)
+    """Script-style page of at most 50 rows, one more read to learn whether there
+    are any left. The token is the offset of the first row that is not on the page."""
+    n = page_size(n, SCRIPT_PAGE)
     page = _numbered(df.orderBy(*order).offset(offset).limit(n + 1), n, *order)
     return Page(page.rows, page.ahead.withColumn("page_token", F.lit(str(offset + n))), page.both)
 

@@ -46,6 +46,21 @@ def _below(borders: Column, key: Column) -> Column:
     return F.aggregate(steps, start, halve, lambda acc: acc["lo"])
 
 
+def _share(part_rows: int) -> int:
+    return max(1, part_rows // 8)
+
+
+def _borders(narrow: DataFrame, large: DataFrame, g: str, k: str, many: str, borders: str, part_rows: int) -> DataFrame:
+    """The sorted borders of every large group: one of so many order keys that a part has
+    about eight of them, but MOST_BORDERS of a group."""
+    sparse = F.greatest(F.lit(_share(part_rows)), F.ceil(F.col(many) / MOST_BORDERS))
+    chosen = narrow.join(large, g).where(F.pmod(F.xxhash64(k), sparse) == 0)
+    found = chosen.groupBy(g).agg(F.sort_array(F.collect_set(k)).alias(borders))
+    # A large group without any border is one part.
+    none = F.array().cast(dict(found.dtypes)[borders])
+    return large.select(g).join(found, g, "left").withColumn(borders, F.coalesce(F.col(borders), none))
+
+
 def numbered(df: DataFrame, group: list[Column], order: list[Column], name: str = "position", size: str | None = None, part_rows: int = PART_ROWS) -> DataFrame:
     """`df` with `name`, 1 for the first row of its group in ascending order, and
     with `size`, the rows of the group, if that is asked for. Nulls come first and are equal to each
@@ -64,16 +79,10 @@ def numbered(df: DataFrame, group: list[Column], order: list[Column], name: str
             out = out.withColumn(size, F.count("*").over(W.partitionBy(g)))
         return out.drop(g, k)
 
-    # One key in `share` is a border: eight to a part, or MOST_BORDERS of a group.
-    share = max(1, part_rows // 8)
-    sparse = F.greatest(F.lit(share), F.ceil(F.col(many) / MOST_BORDERS))
-    few = n_rows // share <= _SENT_ENTRIES
+    few = n_rows // _share(part_rows) <= _SENT_ENTRIES
     sent = F.broadcast if few else (lambda x: x)
     narrow = keyed.select(g, k)
-    chosen = narrow.join(sent(large), g).where(F.pmod(F.xxhash64(k), sparse) == 0)
-    cuts = chosen.groupBy(g).agg(F.sort_array(F.collect_set(k)).alias(borders), F.first(many).alias(many))
-    # A large group without any border is one part.
-    cuts = large.select(g, F.col(many)).join(cuts.select(g, borders), g, "left").withColumn(borders, F.coalesce(F.col(borders), F.array().cast(dict(cuts.dtypes)[borders])))
+    cuts = _borders(narrow, sent(large), g, k, many, borders, part_rows)
     place = F.when(F.col(borders).isNull(), F.lit(0)).otherwise(_below(F.col(borders), F.col(k)))
     in_parts = narrow.join(sent(cuts), g).withColumn(part, place).groupBy(g, part).agg(F.count("*").alias(rank))
     before = W.partitionBy(g).orderBy(part).rowsBetween(W.unboundedPreceding, -1)  # at most MOST_BORDERS rows or so

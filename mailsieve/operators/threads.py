@@ -12,23 +12,23 @@ import json
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from mailsieve.functions.address import sender_domain
 from mailsieve.operators.blocklist import domain_blocked
+from mailsieve.operators.positions import PART_ROWS, numbered
 from mailsieve.policy import Policy, PolicyColumns
 from mailsieve.schema import ADDRESSES, STRINGS
 
 
 # An undated message counts as older than any dated one, whichever way a thread
 # is read, and a message without a uid as older than those of its time with one.
-_UNDATED, _NO_UID = -(2**62), 2**62
+UNDATED, _NO_UID = -(2**62), 2**62
 
 
 def _time_key(newest_first: bool) -> Column:
     """Sort key of a message in its thread. Equal times keep newest uid first,
     in both directions."""
-    at = F.coalesce(F.unix_micros("sent_at"), F.lit(_UNDATED))
+    at = F.coalesce(F.unix_micros("sent_at"), F.lit(UNDATED))
     return F.struct((-at if newest_first else at).alias("at"), F.coalesce(-F.col("uid"), F.lit(_NO_UID)).alias("uid"))
 
 
@@ -139,19 +139,27 @@ def _after(token: str) -> Column:
     return last.isNull() | (last < at) | ((last == at) & same)
 
 
-def thread_page(messages: DataFrame, n: int, scan: int | None = None, token: str | None = None, **kind) -> DataFrame:
+def _token() -> Column:
+    """Names the thread of a row of facts, for pages that begin behind it."""
+    at = F.coalesce(F.unix_micros("last_sent_at").cast("string"), F.lit("null"))
+    return F.concat(F.lit("["), at, F.lit(","), F.expr("if(id IS NULL, 'null]', substring(to_json(array(id)), 2))"))
+
+
+def thread_page(messages: DataFrame, n: int, scan: int | None = None, token: str | None = None, since: str | None = None, **kind) -> DataFrame:
     """The n threads with the latest messages, or those behind `token`; undated
     ones come last, and messages without a thread are one whose id is null. The lists are built only for threads on the page. Each row
     has the `page_token` after which the next page begins, so the last one's
-    continues. `scan` is the reference's limit of the messages looked at, newest
-    uid first; it is off by default and the whole frame is used."""
+    continues. `since` looks at messages from that time on only, a predicate that
+    prunes files; all pages must be asked for with the same one. `scan` looks at so many messages,
+    newest uid first; it is off by default and the whole frame is used."""
+    if since is not None:
+        messages = messages.where(F.col("sent_at") >= F.lit(since).cast("timestamp"))
     if scan is not None:
         messages = messages.orderBy(F.desc_nulls_last("uid"), F.desc_nulls_last("sent_at"), "id").limit(scan)
     facts = thread_facts(messages, kind.get("newest_first", True), kind.get("subject_from", "latest"))
     order = (F.desc_nulls_last("last_sent_at"), F.asc_nulls_last("id"))
     page = (facts if token is None else facts.filter(_after(token))).orderBy(*order).limit(n)
-    at = F.coalesce(F.unix_micros("last_sent_at").cast("string"), F.lit("null"))
-    page = page.withColumn("page_token", F.concat(F.lit("["), at, F.lit(","), F.expr("if(id IS NULL, 'null]', substring(to_json(array(id)), 2))")))
+    page = page.withColumn("page_token", _token())
     # At most n ids: small enough to send everywhere, whatever the corpus.
     ids = F.broadcast(page.select(F.col("id").alias("_page_id")))
     on_page = messages.join(ids, messages["thread_id"].eqNullSafe(ids["_page_id"]), "left_semi")
@@ -178,32 +186,54 @@ def latest_per_thread(messages: DataFrame) -> DataFrame:
     return messages.groupBy("thread_id").agg(F.min_by(row, _time_key(True)).alias("m")).select("m.*")
 
 
-def thread_messages(messages: DataFrame, thread_id: str) -> DataFrame:
-    """One thread, oldest first. The sort is a range-partitioned one, so a
+def thread_messages(messages: DataFrame, thread_id: str | None) -> DataFrame:
+    """One thread, oldest first; None is that of the messages without one. The sort is a range-partitioned one, so a
     thread of any size is spread over the cluster."""
-    return messages.filter(F.col("thread_id") == thread_id).orderBy("sent_at", F.desc_nulls_last("uid"), "id")
+    return messages.filter(F.col("thread_id").eqNullSafe(F.lit(thread_id))).orderBy("sent_at", F.desc_nulls_last("uid"), "id")
 
 
-def with_position(messages: DataFrame, slice_seconds: int = 3600) -> DataFrame:
+def with_position(messages: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
     """Adds `position`, 1 for a thread's oldest message. Undated messages come
     first, and those without a thread are one of their own.
 
-    A window over whole threads would put the largest in one task. Messages
-    are numbered inside (thread, time slice) instead, and each slice starts
-    where the counts of the earlier ones end; the counts are one row per slice."""
-    at = F.floor(F.unix_seconds("sent_at") / slice_seconds)
-    sliced = messages.withColumn("_slice", F.coalesce(at, F.lit(_UNDATED))).withColumn("_thread", F.struct("thread_id"))
-    counts = sliced.groupBy("_thread", "_slice").agg(F.count("*").alias("_n"))
-    before = W.partitionBy("_thread").orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
-    starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    A thread of more than `part_rows` messages is numbered in parts cut at its own
+    quantiles, so neither a thread nor an instant that holds much of the corpus
+    meets in one task."""
     ties = [F.col("id")] if "id" in messages.columns else []
-    inside = W.partitionBy("_thread", "_slice").orderBy("sent_at", F.desc_nulls_last("uid"), *ties)
-    ranked = sliced.withColumn("_rank", F.row_number().over(inside))
-    return (
-        ranked.join(starts, ["_thread", "_slice"])
-        .withColumn("position", (F.col("_start") + F.col("_rank")).cast("bigint"))
-        .drop("_slice", "_start", "_rank", "_thread")
-    )
+    order = [F.col("sent_at"), F.coalesce(-F.col("uid"), F.lit(_NO_UID)), *ties]
+    return numbered(messages, [F.col("thread_id")], order, "position", part_rows=part_rows)
+
+
+def _list_key(at: Column, thread_id: Column) -> Column:
+    """Sort key of a thread in the list of threads, latest first."""
+    return F.struct(F.coalesce(-at, F.lit(-UNDATED)).alias("at"), thread_id.isNull().alias("nameless"), thread_id.alias("id"))
+
+
+def thread_directory(facts: DataFrame, n: int, part_rows: int = PART_ROWS) -> DataFrame:
+    """Every page of `thread_page`, n threads each: page (from 0), `token` behind which
+    it begins (null for the first one), n_threads and first_id. `facts` has the id and
+    last_sent_at of threads, as `thread_facts` gives them. Threads are numbered in parts, so no page has to
+    be read for the next one."""
+    placed = numbered(facts.select("id", "last_sent_at"), [], [_list_key(F.unix_micros("last_sent_at"), F.col("id"))], "place", "total", part_rows)
+    placed = placed.withColumn("page", F.floor((F.col("place") - 1) / n))
+    first = placed.where((F.col("place") - 1) % n == 0).select("page", F.col("id").alias("first_id"), F.least(F.lit(n), F.col("total") - F.col("page") * n).cast("long").alias("n_threads"))
+    tokens = placed.where((F.col("place") % n == 0) & (F.col("place") < F.col("total"))).select((F.col("page") + 1).alias("page"), _token().alias("token"))
+    return first.join(tokens, "page", "left").select("page", "token", "n_threads", "first_id")
+
+
+def on_thread_pages(facts: DataFrame, directory: DataFrame, n: int, part_rows: int = PART_ROWS) -> DataFrame:
+    """For each thread (id) the pages of a directory that it is on: it lies behind the
+    page's token and not behind the next one's. A range join of threads with the page that
+    their place says and those beside it."""
+    parts = F.from_json("token", STRINGS)
+    at, thread_id = parts[0].cast("long"), parts[1]
+    begins = directory.select("page", F.when(F.col("token").isNotNull(), _list_key(at, thread_id)).alias("_after"))
+    bounds = begins.join(begins.select((F.col("page") - 1).alias("page"), F.col("_after").alias("_until")), "page", "left")
+    own = _list_key(F.unix_micros("last_sent_at"), F.col("id"))
+    page = F.floor((F.col("place") - 1) / n)
+    near = numbered(facts.select("id", "last_sent_at"), [], [own], "place", part_rows=part_rows).withColumn("page", F.explode(F.array(page - 1, page, page + 1)))
+    inside = (F.col("_after").isNull() | (own > F.col("_after"))) & (F.col("_until").isNull() | (own <= F.col("_until")))
+    return near.join(bounds, "page").where(inside).select("id", "page")
 
 
 def label_stats(messages: DataFrame, dim: DataFrame | None = None) -> DataFrame:
