@@ -17,8 +17,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: Column, rows: in
         known = known.where(keep)
     known = known.groupBy("doc_id").agg(F.max("_target").alias("_target"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    # At most `rows` pairs of numbers are broadcast.
+    # At most `rows` pairs of numbers are broadcast. Of rows that repeat an id, one text counts.
     found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    found = found.groupBy("doc_id", "_target").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     return found.select(F.coalesce("text", F.lit("")).alias("text"), F.col("_target").alias("target"))
 
 

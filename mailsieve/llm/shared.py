@@ -1,31 +1,14 @@
-"""The folder that driver and executors share, and settings of the given session."""
+"""Tables kept in the shared folder, and settings of the given session."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from mailsieve.folders import settled, shared_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of `spark.checkpoint.dir`. Where that is unset, as in tests, a
-    temporary folder becomes the checkpoint folder of the session."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
-    if not folder:
-        current = context._jsc.sc().getCheckpointDir()
-        folder = current.get() if current.isDefined() else "file://" + tempfile.mkdtemp(prefix="mailsieve-")
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def settled(df: DataFrame) -> DataFrame:
-    """The rows computed once and kept in the shared folder, where the loss of an
-    executor does not touch them."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+__all__ = ["partitions", "settled", "shared_folder", "stored", "unused"]
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

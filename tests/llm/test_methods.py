@@ -18,7 +18,7 @@ from mailsieve.checks.run import compare, duck
 from mailsieve.llm import decontamination, packing, pii, quality_classifier, quality_rules, secret_scan, signature_join, token_counts, toxicity, url_filters
 from mailsieve.llm.components import components
 from mailsieve.llm.queries import QUERIES, SQL
-from mailsieve.llm.samples import outside_fold
+from mailsieve.llm.samples import labelled_sample, outside_fold
 from mailsieve.llm.tokens import byte_bpe, pieces, vocabulary_path
 
 SF, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
@@ -53,6 +53,15 @@ def test_quality_held_out(spark):
     assert sum(good) / len(good) > sum(poor) / len(poor) + 0.8
 
 
+def test_samples_are_bounded_in_rows(spark):
+    """One row of each chosen id, however often it is repeated."""
+    docs = texts(spark, ["a", "b", "c"]).union(spark.createDataFrame([(1, f"again {i}") for i in range(500)], "doc_id long, text string"))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(3)], "doc_id long, toxic int")
+    for rows in (2, 3, 100):
+        found = labelled_sample(docs, labels, F.col("toxic"), rows).collect()
+        assert len(found) == min(rows, 3) and sum(r.text.startswith(("b", "again")) for r in found) <= 1
+
+
 def test_ordinal_thresholds():
     rng = np.random.default_rng(7)
     x = rng.normal(size=600)
@@ -99,6 +108,25 @@ def test_rules_by_hand(spark):
         shares = [n / len(ids) for n in collections.Counter(ids).values()]
         assert r.n_tokens == len(ids) and math.isclose(r.token_entropy, -sum(s * math.log2(s) for s in shares), abs_tol=1e-9)
         assert math.isclose(r.fallback_share, sum(map(model.is_byte, ids)) / len(ids), abs_tol=1e-12)
+        assert math.isclose(r.chars_per_token, r.word_chars / len(ids))
+        assert r.base_failed == (len(words) < 10 or 100 * len(hit) > 20 * len(words))
+        letters = collections.Counter("latin" if c.isascii() and c.isalpha() or c in "étöñïü" else "east_asian" if c in "日本" else None for c in text)
+        letters.pop(None, None)
+        assert r.script == (max(letters, key=letters.get) if letters else "other")
+        b = quality_rules.BANDS[r.script]
+        off = 2 / math.sqrt(len(ids))
+        fits = b.least_chars * (1 - off) <= r.chars_per_token <= b.most_chars * (1 + off) and r.fallback_share <= b.most_fallback * (1 + off) and r.n_symbols <= b.most_symbols * r.n_words
+        fits = fits and r.token_entropy >= b.least_entropy * min(1, math.log2(len(ids)) / math.log2(100)) - 1e-9
+        assert r.kept == (fits and not r.base_failed), text
+
+
+def test_short_texts_are_held_to_the_bands(spark):
+    """Wholly fallback, few tokens over and over, plain, and half fallback."""
+    some = [" ".join("\u1200\u1208\U00012000" for _ in range(11)), " ".join(["a b"] * 3 + ["c d"] * 3), "the river ran past the old mill and the children played there"]
+    some.append("\U00012000 " * 11 + "a word or two here")
+    got = {r.doc_id: r for r in quality_rules.judged(texts(spark, some)).collect()}
+    assert all(got[i].n_tokens < 150 for i in got), [got[i].n_tokens for i in got]
+    assert [got[i].fit_failed for i in range(4)] == [True, True, False, True]
 
 
 # Packing and token counts.
