@@ -51,14 +51,22 @@ def shown(pattern: str) -> str:
     return "".join(out) or "(?:)"
 
 
-COMPILED_RULE = T.StructType([T.StructField("shown", T.StringType()), T.StructField("jdk", T.StringType())])
+def needed(pattern: str) -> list[str]:
+    """Lower-case strings one of which every match contains; none when unknown."""
+    try:
+        return list(ecmascript.needed(pattern))
+    except (ecmascript.Invalid, RecursionError):
+        return []
+
+
+COMPILED_RULE = T.StructType([T.StructField("shown", T.StringType()), T.StructField("jdk", T.StringType()), T.StructField("needed", T.ArrayType(T.StringType()))])
 
 
 @F.pandas_udf(COMPILED_RULE)
 def compiled_rule(patterns: pd.Series) -> pd.DataFrame:
-    """(shown, jdk) of each pattern; jdk is null when it is not valid. Meant
+    """(shown, jdk, needed) of each pattern; jdk is null when it is not valid. Meant
     for rule tables, never for message rows."""
-    return pd.DataFrame({"shown": patterns.map(shown), "jdk": patterns.map(to_jdk)})
+    return pd.DataFrame({"shown": patterns.map(shown), "jdk": patterns.map(to_jdk), "needed": patterns.map(needed)})
 
 
 def hits(text: Column, jdk_pattern: Column) -> Column:

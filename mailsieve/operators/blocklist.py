@@ -73,6 +73,12 @@ def first_custom_hit(text: Column, rules: Column, prefix: str) -> Column:
     return F.when(worth, F.concat(F.lit(prefix), found["shown"]))
 
 
+def _custom(text: Column, policy: PolicyColumns, rules: str, hit: str, prefix: str) -> Column:
+    if policy.judged:
+        return F.concat(F.lit(prefix), policy.col(hit))
+    return first_custom_hit(text, policy.col(rules), prefix)
+
+
 def sender_reason(email: Column, policy) -> Column:
     sender = F.lower(email)
     if isinstance(policy, Policy):
@@ -82,7 +88,7 @@ def sender_reason(email: Column, policy) -> Column:
         return first_hit(sender, patterns, SENDER_REASON)
     return F.coalesce(
         F.when(policy.sensitive_sender_blocking, first_hit(sender, SENSITIVE_SENDERS, SENDER_REASON)),
-        first_custom_hit(sender, policy.blocked_sender_patterns, SENDER_REASON),
+        _custom(sender, policy, "blocked_sender_patterns", "sender_hit", SENDER_REASON),
     )
 
 
@@ -98,7 +104,7 @@ def subject_reason(subject: Column, policy) -> Column:
     return F.coalesce(
         F.when(policy.security_blocking, first_hit(text, SECURITY_SUBJECTS, SUBJECT_REASON)),
         F.when(policy.financial_blocking, first_hit(text, FINANCIAL_SUBJECTS, SUBJECT_REASON)),
-        first_custom_hit(text, policy.blocked_subject_patterns, SUBJECT_REASON),
+        _custom(text, policy, "blocked_subject_patterns", "subject_hit", SUBJECT_REASON),
     )
 
 

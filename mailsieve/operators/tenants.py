@@ -84,17 +84,19 @@ def rule_rows(policies: DataFrame) -> DataFrame:
     return lists[0].unionByName(lists[1])
 
 
-def _compiled(policies: DataFrame) -> DataFrame:
+def compiled_rules(policies: DataFrame) -> DataFrame:
     rows = rule_rows(policies)
-    # Tenants share rules, so each distinct text is checked once.
-    checked = rows.select("pattern").distinct().withColumn("rule", compiled_rule("pattern"))
+    # Tenants share rules, so each distinct text is checked once; a filter on the
+    # outcome would otherwise be moved, and the check with it, in front of `distinct`.
+    once = compiled_rule.asNondeterministic()
+    checked = rows.select("pattern").distinct().withColumn("rule", once("pattern"))
     return rows.join(checked, "pattern")
 
 
 def invalid_rules(policies: DataFrame) -> DataFrame:
     """Pattern rules that do not compile. They are ignored when messages are
     judged, so this table is where their owner learns of them."""
-    bad = _compiled(policies).filter(F.col("rule.jdk").isNull())
+    bad = compiled_rules(policies).filter(F.col("rule.jdk").isNull())
     text = F.concat(F.lit("Invalid regex pattern in "), F.col("list"), F.lit(": "), F.col("pattern"))
     return bad.select("connection_id", "list", "position", "pattern", text.alias("message"))
 
@@ -106,7 +108,7 @@ def compile_policies(policies: DataFrame) -> DataFrame:
     standalone = ~F.col("rule.jdk").rlike(r"\\[1-9]|\\k<|\(\?<[A-Za-z]")
     entry = F.struct("position", F.col("rule.shown").alias("shown"), F.col("rule.jdk").alias("jdk"))
     lists = (
-        _compiled(policies)
+        compiled_rules(policies)
         .filter(F.col("rule.jdk").isNotNull())
         .groupBy("connection_id")
         .agg(
@@ -147,7 +149,19 @@ def join_policies(messages: DataFrame, policies: DataFrame) -> tuple[DataFrame,
     no_rules = F.struct(
         F.lit("(?!)").alias("any"), F.array().cast("array<struct<shown:string,jdk:string>>").alias("rules")
     )
-    fallback = {n: no_rules if n in PATTERN_LISTS else _no_strings() for n in RULE_LISTS}
+    lists = {n: F.coalesce(F.col(f"_stored.{n}"), no_rules) for n in PATTERN_LISTS}
+    return joined_policy(joined, lists), PolicyColumns("_policy")
+
+
+def flag_columns(policies: DataFrame) -> DataFrame:
+    """connection_id and, in one struct, all of a policy but its patterns."""
+    return policies.select("connection_id", F.struct(*(n for n in RULE_LISTS if n not in PATTERN_LISTS), *FLAGS).alias("_stored"))
+
+
+def joined_policy(joined: DataFrame, more: dict[str, Column]) -> DataFrame:
+    """`_stored` and what else is known of a message's policy as the struct `_policy`,
+    with defaults where the connection has none."""
+    fallback = {n: _no_strings() for n in RULE_LISTS if n not in PATTERN_LISTS}
     fallback |= {n: F.lit(v) for n, v in default_flags().items()}
-    policy = F.struct(*(F.coalesce(F.col(f"_stored.{n}"), v).alias(n) for n, v in fallback.items()))
-    return joined.withColumn("_policy", policy).drop("_stored"), PolicyColumns("_policy")
+    policy = {n: F.coalesce(F.col(f"_stored.{n}"), v) for n, v in fallback.items()} | more
+    return joined.withColumn("_policy", F.struct(*(v.alias(n) for n, v in policy.items()))).drop("_stored")

@@ -50,10 +50,12 @@ class Policy:
 @dataclass(frozen=True)
 class PolicyColumns:
     """A joined policy row: each flag is a boolean column, each rule list the
-    array column that `operators.tenants.compile_policies` builds."""
+    array column that `operators.tenants.compile_policies` builds. Where custom rules
+    are `judged` already, the row has the ones that were hit instead of the lists."""
 
     qualifier: str
     warning_prefix: str = "CONTENT WARNING"
+    judged: bool = False
 
     def col(self, name: str) -> Column:
         return F.col(f"{self.qualifier}.{name}")
