@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from mailsieve.checks.corpus import ATTEMPTS_SQL, attempts, mail_of, raw_policies, table
+from mailsieve.checks.corpus import ATTEMPTS_SQL, MAIL_SQL, attempts, mail_of, raw_policies, table
 from mailsieve.checks.of_policy import _RUN_COLUMNS, _TENANT_SQL, RUN_SQL, _run_columns
 from mailsieve.checks.registry import check
 from mailsieve.folders import new_folder
 from mailsieve.operators import ratelimit
 from mailsieve.operators.tenants import decode_policies
 from mailsieve.streaming.gateway import write_stream
+from mailsieve.streaming.policies import publish, write_judged_stream
 from mailsieve.streaming.ratelimit import limit_stream
 
 DAY_MS = 86_400_000
@@ -81,6 +82,23 @@ def j4(spark, sf_dir):
     return spark.read.parquet(f"{at}/out").select("id", "connection_id", "reason")
 
 
+@check(
+    "j4_policy_versions",
+    f"""SELECT id, connection_id, reason, 1 AS policy_version FROM (WITH {RUN_SQL} SELECT id, reason FROM e) JOIN (WITH {MAIL_SQL} SELECT id, connection_id, uid FROM m) USING (id) WHERE uid // 100 % 2 = 0
+    UNION ALL SELECT id, connection_id, reason, 2 FROM (WITH {_TENANT_SQL} SELECT id, connection_id, uid, reason FROM v) WHERE uid // 100 % 2 = 1""",
+)
+def j4_versions(spark, sf_dir):
+    """Half of the conversations arrive under no stored policies, half after these were published."""
+    at, policies = new_folder(spark), decode_policies(raw_policies(spark, sf_dir))
+    conversations = table(spark, sf_dir, "conversations")
+    for half, version in enumerate((policies.limit(0), policies)):
+        publish(version, f"{at}/policies")
+        conversations.where(F.pmod("conv_id", F.lit(2)) == half).write.mode("append").parquet(f"{at}/in")
+        source = spark.readStream.schema(conversations.schema).parquet(f"{at}/in")
+        write_judged_stream(mail_of(source), f"{at}/out", f"{at}/policies", f"{at}/progress").awaitTermination()
+    return spark.read.parquet(f"{at}/out").select("id", "connection_id", "reason", "policy_version")
+
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 

@@ -34,8 +34,10 @@ _UP, _DOWN, _ITEM, _BREAK = "\x02", "\x03", "\x04", "\x05"
 
 # pattern -> replacement, in order; `$n` refers to groups. No pattern reads on
 # behind the next tag of its kind, and none goes back into what it has read, so
-# unclosed tags cost no more than closed ones.
+# unclosed tags cost no more than closed ones. A link's tag has to be closed before its
+# target is looked for, and only its first target is.
 _TARGET = r"""\bhref\s*+=\s*+(?:"(?:mailto:)?([^"<>]*+)"|'(?:mailto:)?([^'<>]*+)'|(?:mailto:)?([^\s<>"']++))"""
+_LINK = rf"(?i)<a\b(?=[^<>]*+>)(?>[^<>]*?{_TARGET})[^<>]*+>"
 _INSIDE_LINK = r"[^<]*+(?:<(?!/?a\b)[^<]*+)*+"
 _INSIDE_HEADING = r"[^<]*+(?:<(?!/?h[1-6]\b)[^<]*+)*+"
 _MARKUP = [
@@ -48,9 +50,9 @@ _MARKUP = [
     # White space to single blanks; a blank on its own is left alone.
     (r"[\t\n\x0B\f\r[\x{A0}-\x{FEFF}&&" + WS + "]]", " "),
     (" {2,}", " "),
-    (rf"(?i)<a\b[^<>]*?{_TARGET}[^<>]*+> ?(?:\1|\2|\3) ?</a ?>", "$1$2$3"),
-    (rf"""(?i)<a\b[^<>]*?\bhref\s*+=\s*+["']?#[^<>]*+>({_INSIDE_LINK})</a ?>""", "$1"),
-    (rf"(?i)<a\b[^<>]*?{_TARGET}[^<>]*+>({_INSIDE_LINK})</a ?>", "$4 [$1$2$3]"),
+    (rf"{_LINK} ?(?:\1|\2|\3) ?</a ?>", "$1$2$3"),
+    (rf"""(?i)<a\b(?=[^<>]*+>)(?>[^<>]*?\bhref\s*+=\s*+["']?#)[^<>]*+>({_INSIDE_LINK})</a ?>""", "$1"),
+    (rf"{_LINK}({_INSIDE_LINK})</a ?>", "$4 [$1$2$3]"),
     (rf"(?i)<h[1-6]\b[^<>]*+>({_INSIDE_HEADING})</h[1-6] ?>", f"\n\n{_UP}$1{_DOWN}\n\n"),
     (r"(?i)<br\b[^<>]*+>", "\n"),
     (r"(?i)<hr\b[^<>]*+>", "\n\n" + "-" * 40 + "\n\n"),

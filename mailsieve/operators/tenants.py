@@ -142,7 +142,12 @@ def join_policies(messages: DataFrame, policies: DataFrame) -> tuple[DataFrame,
     per connection, so the join never multiplies rows; Spark broadcasts it
     when its measured size allows and otherwise splits the heavy key's
     partitions (skew join)."""
-    packed = compile_policies(policies).select(
+    return join_compiled(messages, compile_policies(policies))
+
+
+def join_compiled(messages: DataFrame, compiled: DataFrame) -> tuple[DataFrame, PolicyColumns]:
+    """The same with policies that were compiled before."""
+    packed = compiled.select(
         "connection_id", F.struct(*RULE_LISTS, *FLAGS).alias("_stored")
     )
     joined = messages.join(packed, "connection_id", "left")

@@ -10,6 +10,7 @@ from mailsieve.plans import requests
 from mailsieve.plans.gateway import STAGE_RESULT, ColumnStage, UdfStage, blocked, passed, process, split, write_split
 from mailsieve.policy import Policy
 from mailsieve.streaming.gateway import checkpoint_dir, read_stream, write_stream
+from mailsieve.streaming.policies import latest_version, publish, write_judged_stream
 
 ROWS = [
     dict(body="mail a@b.org", subject="hello"),
@@ -136,3 +137,33 @@ def test_time_zone_does_not_matter(spark, messages):
         assert search(df, "after:2026/01/15 before:2026/01/16").count() == 1
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_policy_versions_in_a_stream(spark, messages, tmp_path):
+    """A policy published between two micro-batches judges the second; one that was not written to its end judges none."""
+    store, name = str(tmp_path / "store"), "connection_id string, blocked_subject_patterns_json string"
+    rows = messages(*({"subject": "alpha"} for _ in range(3)), *({"subject": "beta"} for _ in range(3))).withColumn("connection_id", F.lit("c1"))
+    stream = lambda: spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+
+    def run(part):
+        rows.where(part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        write_judged_stream(stream(), str(tmp_path / "out"), store, str(tmp_path / "progress")).awaitTermination()
+        return sorted((r.id, r.action, r.policy_version) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    assert latest_version(spark, store) is None
+    rules = lambda pattern: decode_policies(spark.createDataFrame([("c1", f'["{pattern}"]')], name))
+    assert publish(rules("alpha"), store) == 1
+    first = run(F.col("uid") % 3 == 1)
+    assert first == [("msg-1", "block", 1), ("msg-4", "pass", 1)]
+    assert publish(rules("beta"), store) == 2
+    (tmp_path / "store" / "version=7").mkdir()
+    assert latest_version(spark, store) == 2
+    assert run(F.col("uid") % 3 == 2) == sorted([*first, ("msg-2", "pass", 2), ("msg-5", "block", 2)])
+
+
+def test_a_stream_without_policies_fails(spark, messages, tmp_path):
+    messages({}).write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(messages({}).schema).parquet(str(tmp_path / "in"))
+    query = write_judged_stream(source, str(tmp_path / "out"), str(tmp_path / "none"), str(tmp_path / "progress"))
+    with pytest.raises(Exception, match="no policies"):
+        query.awaitTermination()

@@ -69,7 +69,7 @@ SUBJECTS = ["urgent|asap", "^re: .{4}$", "win+er", "[0-9]{3}", "", "free (gift|m
 
 def _tables(spark, messages):
     rng = random.Random(5)
-    policies = [(f"c{i}", rng.sample(RULES, rng.randint(0, 6)), rng.sample(SUBJECTS, rng.randint(0, 4)), [["inbox"], [], [], ["sent"]][i % 4]) for i in range(12)]
+    policies = [(f"c{i}", rng.sample(RULES, rng.randint(0, 2)), rng.sample(SUBJECTS, rng.randint(1, 5)), [["inbox"], [], [], ["sent"]][i % 4]) for i in range(12)]
     raw = spark.createDataFrame(policies, "connection_id string, s array<string>, t array<string>, f array<string>")
     raw = raw.select("connection_id", F.to_json("s").alias("blocked_sender_patterns_json"), F.to_json("t").alias("blocked_subject_patterns_json"), F.to_json("f").alias("allowed_folders_json"))
     senders = ["User3@example.com", "info@a.org", "abc@x.com", "anna@b.com", None, "", "xxx@y.de", "sales@c.com"]
