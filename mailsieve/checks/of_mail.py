@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from mailsieve.checks.corpus import MAIL_SQL, mail, table
 from mailsieve.checks.of_policy import _NAME, RUN_SQL
-from mailsieve.checks.oracle import q
+from mailsieve.checks.oracle import domain_hit, q, sql_list
 from mailsieve.checks.registry import check
 from mailsieve.functions import address as ad
 from mailsieve.functions import text as tx
@@ -14,7 +14,7 @@ from mailsieve.operators import analyses, drafts, paging, search, threads
 from mailsieve.operators.blocklist import thread_blocked
 from mailsieve.plans import gateway, requests, views
 from mailsieve.policy import Policy
-from mailsieve.rules import SYSTEM_LABELS
+from mailsieve.rules import FINANCIAL_DOMAINS, SYSTEM_LABELS
 
 _EVERY = f"WITH {MAIL_SQL} "
 
@@ -693,8 +693,47 @@ def l6(spark, sf_dir):
 @check(
     "g1_list_threads",
     f"""WITH {MAIL_SQL}, t AS (SELECT thread_id, arg_max(subject, [date_epoch, uid]) AS subject, max(date_epoch) AS last_s,
-      bool_and(split_part(lower(from_email), '@', 2) = 'alerts.chase.com') AND false AS gone FROM m WHERE folder = 'INBOX' GROUP BY ALL)
+      bool_and({domain_hit("split_part(lower(from_email), '@', 2)", sql_list(FINANCIAL_DOMAINS))} AND {domain_hit("split_part(lower(to_email), '@', 2)", sql_list(FINANCIAL_DOMAINS))}) AS gone FROM m WHERE folder = 'INBOX' GROUP BY ALL)
     SELECT thread_id AS id, subject FROM t WHERE NOT gone ORDER BY last_s DESC, thread_id LIMIT 30""",
 )
 def g1_page(spark, sf_dir):
     return requests.list_threads(mail(spark, sf_dir), n=30).select("id", "subject")
+
+
+_SHUT = Policy(blocked_domains=("example.com", "notchase.com"))
+_SHUT_THREADS = f"""{MAIL_SQL}, w AS (SELECT thread_id AS id, count(*) AS message_count, max(date_epoch) AS last_s, bool_and(split_part(lower(from_email), '@', 2) <> '') AS gone
+    FROM m WHERE folder = 'INBOX' GROUP BY ALL), o AS (SELECT *, row_number() OVER (ORDER BY last_s DESC, id) AS n FROM w)"""
+
+
+@check("c11_list_threads_blocked", f"WITH {_SHUT_THREADS} SELECT id, message_count FROM o WHERE n <= 30 AND NOT gone")
+def c11_blocked(spark, sf_dir):
+    """Threads whose every participant is on a blocked domain are left out."""
+    return requests.list_threads(mail(spark, sf_dir), "", _SHUT, n=30).select("id", "message_count")
+
+
+@check(
+    "a9_threads_response",
+    f"""WITH {_SHUT_THREADS} SELECT (SELECT string_agg(id || ':' || message_count, ',' ORDER BY n) FROM o WHERE n <= 30 AND NOT gone) AS threads,
+    (SELECT count(*) FROM o) AS total_results, (SELECT '[' || last_s || '000000,"' || id || '"]' FROM o WHERE n = 30 AND (SELECT count(*) FROM o) > 30) AS next_page_token,
+    (SELECT nullif(count(*), 0) FROM o WHERE n <= 30 AND gone) AS filtered_count""",
+)
+def a9_threads(spark, sf_dir):
+    answer = requests.threads_response(mail(spark, sf_dir), "", _SHUT, n=30)
+    read = "threads array<struct<id:string,message_count:long>>, total_results long, next_page_token string, filtered_count long"
+    parsed = answer.select(F.from_json("response", read).alias("r")).select("r.*")
+    return parsed.withColumn("threads", F.array_join(F.transform("threads", lambda t: F.concat(t["id"], F.lit(":"), t["message_count"])), ","))
+
+
+@check(
+    "a9_thread_response",
+    f"""WITH {RUN_SQL}, t AS (SELECT *, row_number() OVER (ORDER BY date, uid DESC) - 1 AS place FROM e WHERE thread_id = 't7')
+    SELECT place // 2 AS part, 't7' AS thread_id, (SELECT count(*) FROM t) AS message_count, coalesce(string_agg(id, ',' ORDER BY place) FILTER (action = 'pass'), '') AS ids,
+      coalesce(string_agg(body, ',' ORDER BY place) FILTER (action = 'pass'), '') AS bodies, (SELECT nullif(count(*), 0) FROM t WHERE action = 'block') AS filtered_count
+    FROM t GROUP BY ALL""",
+)
+def a9_thread(spark, sf_dir):
+    answer = requests.thread_response(mail(spark, sf_dir), "t7", part_size=2)
+    read = "thread_id string, message_count long, messages array<struct<id:string,body:string>>, filtered_count long"
+    parsed = answer.select("part", F.from_json("response", read).alias("r")).select("part", "r.*")
+    ids, bodies = (F.array_join(F.transform("messages", lambda m: m[c]), ",").alias(name) for c, name in (("id", "ids"), ("body", "bodies")))
+    return parsed.select("part", "thread_id", "message_count", ids, bodies, "filtered_count")

@@ -7,6 +7,7 @@ from mailsieve.rules import FINANCIAL_DOMAINS, FINANCIAL_SUBJECTS, SECURITY_SUBJ
 
 S = r"[\t\n\v\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 
+# --- FIXED VALUES: patterns and replacements in this engine's dialect -------
 PII = {
     "ssn": (r"\b\d{3}-\d{2}-\d{4}\b", "[SSN_REDACTED]", "g"),
     "card": (

@@ -49,7 +49,7 @@ def message_view(messages: DataFrame, policy: Policy | PolicyColumns | None = No
     )
 
 
-def thread_message_view(messages: DataFrame, policy: Policy | PolicyColumns | None = None) -> DataFrame:
+def thread_message_view(messages: DataFrame, policy: Policy | PolicyColumns | None = None, *extra: str) -> DataFrame:
     policy = policy or Policy()
     return messages.select(
         "id",
@@ -59,6 +59,7 @@ def thread_message_view(messages: DataFrame, policy: Policy | PolicyColumns | No
         "date",
         "body",
         "attachments",
+        *extra,
     )
 
 
@@ -67,7 +68,7 @@ def harden(df: DataFrame, policy: Policy | PolicyColumns, *columns: str) -> Data
     return df.withColumns({c: redact(strip_invisible(F.col(c)), policy) for c in columns})
 
 
-def thread_view(threads: DataFrame, policy: Policy | PolicyColumns | None = None, hardened: bool = False) -> DataFrame:
+def thread_view(threads: DataFrame, policy: Policy | PolicyColumns | None = None, hardened: bool = False, *extra: str) -> DataFrame:
     """Thread line. Subject and snippet appear as stored unless hardened."""
     policy = policy or Policy()
     if hardened:
@@ -81,6 +82,7 @@ def thread_view(threads: DataFrame, policy: Policy | PolicyColumns | None = None
         "last_message_date",
         "is_unread",
         "labels",
+        *extra,
     )
 
 
