@@ -139,7 +139,7 @@ def thread_response(messages: DataFrame, thread_id: str | None, policy: Policy |
     shown = F.when((F.col("n") > 0) & F.lit(policy.show_filtered_count), F.col("n"))
     facts = side_by_side(head, n_blocked).where("message_count IS NOT NULL")
     # One row beside every part.
-    beside = parts.withColumn("_one", F.lit(1)).join(F.broadcast(facts.withColumn("_one", F.monotonically_increasing_id() * 0 + 1)), "_one")
+    beside = parts.withColumn("_one", F.col("part") * 0).join(F.broadcast(facts.withColumn("_one", F.col("message_count") * 0)), "_one")
     response = F.struct(F.col("id").alias("thread_id"), "subject", "participants", "message_count", F.transform("rows", lambda r: r["m"]).alias("messages"), shown.alias("filtered_count"))
     return beside.select("part", F.to_json(response).alias("response"))
 
