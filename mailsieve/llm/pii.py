@@ -8,9 +8,13 @@ pseudonym in every document and two values never the same one; with the key it c
 undone. Separators and layout stay. E-mail addresses, which have no number to
 permute, get a keyed digest instead. What looks like one of these but is not
 valid stays as it is; other kinds and other values are looked for at its place and
-inside of it. A run of digits that is no card as a whole, as numbers next to each
-other are, is searched for a telephone number, then for a shorter card at the
-borders of its groups.
+inside of it.
+
+A card is written unbroken or in groups of 4-4-4-4, 4-4-4-4-3, 4-6-5 or 4-6-4 digits,
+so numbers next to each other are not taken for one. A telephone number is written in
+groups of 3-3-4 digits or begins with + and has 8 to 15 digits; its country code
+stays. Behind a + the digits have no fixed groups: what follows after one separator
+is read as part of the number unless it begins another value.
 
 The network splits a value into two parts of a mixed base and adds a keyed hash
 of one to the other, modulo its base, in rounds; it is an aggregate over a short
@@ -33,16 +37,26 @@ from mailsieve.llm.shared import unused
 EXAMPLE_KEY = "example key, not a secret"
 ROUNDS = 10
 _BEFORE, _AFTER = "(?<![0-9A-Za-z])", "(?![0-9A-Za-z])"
+# A card of 19 digits is tried before those that it may begin with, and is not followed by more digits.
+_CARDS = (
+    f"{_BEFORE}(?<![+])[0-9]{{4}}(?:[ -][0-9]{{4}}){{3}}[ -][0-9]{{3}}(?![ .-]?[0-9]){_AFTER}",
+    f"{_BEFORE}(?<![+])(?:[0-9]{{4}}(?:[ -][0-9]{{4}}){{3}}|[0-9]{{4}}[ -][0-9]{{6}}[ -][0-9]{{4,5}}|[0-9]{{13,19}})(?!-[0-9]{{2}}-[0-9]{{2}}{_AFTER}){_AFTER}",
+)
+_NATIONAL = "[(]?[0-9]{3}(?:[)] ?|[ .-])[0-9]{3}[ .-][0-9]{4}"
+# Values that the groups behind a + do not run into.
+_OTHERS = f"(?:{_NATIONAL}|[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{1,2}}[/.][0-9]{{1,2}}[/.][0-9]{{4}}|[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}|[0-9]{{1,3}}(?:[.][0-9]{{1,3}}){{3}}|[0-9]{{4}}(?:[ -][0-9]{{4}}){{3}}){_AFTER}"
 # In the order in which they are tried at a place.
 PATTERNS: dict[str, str] = {
     "email": "(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+)*[.][A-Za-z]{2,}",
     "ip": f"{_BEFORE}(?<![.])[0-9]{{1,3}}(?:[.][0-9]{{1,3}}){{3}}(?![.]?[0-9A-Za-z])",
     "date": f"{_BEFORE}(?:[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{1,2}}([/.])[0-9]{{1,2}}\\1[0-9]{{4}}){_AFTER}",
     "ssn": f"{_BEFORE}[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}{_AFTER}(?!-)",
-    "card": f"{_BEFORE}(?<![+])[0-9](?:[ -]?[0-9]){{12,18}}{_AFTER}",
-    "phone": f"{_BEFORE}(?:[+][0-9]{{1,3}}[ .-]?[(]?[0-9]{{3}}[)]?[ .-]?[0-9]{{3}}[ .-]?[0-9]{{4}}|[(]?[0-9]{{3}}(?:[)] ?|[ .-])[0-9]{{3}}[ .-][0-9]{{4}}){_AFTER}",
+    "card": "|".join(_CARDS),
+    "phone": f"{_BEFORE}(?:[+][0-9]{{1,3}}[ .-]?[(]?[0-9]{{3}}[)]?[ .-]?[0-9]{{3}}[ .-]?[0-9]{{4}}|[+](?=[1-9])(?:(?:[ .-](?!{_OTHERS}))?[(]?[0-9][)]?){{8,15}}|{_NATIONAL}){_AFTER}",
 }
 _ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+# FIXED VALUES: country codes of one and of two digits; all others have three.
+_COUNTRY = "^(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 # Days from 1900-01-01 to 2099-12-31 are 17 * 4297.
 _DAYS, _DAY_BASES = 73_049, (17, 4_297)
 
@@ -112,11 +126,11 @@ def _card(m: Column, key: str) -> Column:
 
 
 def _phone(m: Column, key: str) -> Column:
-    """The last ten digits change, the country's prefix stays."""
+    """The digits behind the country code change."""
     digits = _digits(m)
-    prefix = F.length(digits) - 10
-    changed = F.concat(F.substr(digits, F.lit(1), prefix), _permuted_digits(F.substr(digits, prefix + 1, F.lit(10)), "phone", key))
-    return _then(changed, lambda d: _laid_out(d, m))
+    code = F.when(F.startswith(m, F.lit("+")), F.regexp_extract(digits, _COUNTRY, 0)).otherwise("")
+    own = F.substr(digits, F.length(code) + 1)
+    return _then(F.concat(code, _permuted_digits(own, "phone", key)), lambda d: _laid_out(d, m))
 
 
 def _ip(m: Column, key: str) -> Column:
@@ -183,37 +197,26 @@ _KINDS: dict[str, Callable[[Column, str], Column]] = {"email": _email, "ip": _ip
 
 
 # Where a value may begin, and for each such place the character before it and then a
-# whole address or enough for any number (a card has 37 characters at most) and one
-# that begins inside of it.
+# whole address or enough for any number (61 characters at most) and what may not
+# follow it.
 _PLACE = f"(?={_ANY})"
-_HEAD = f"(?s)(?=.(?:{_ANY}))(?=(.(?:{PATTERNS['email']}|.{{1,72}})))"
+_HEAD = f"(?s)(?=.(?:{_ANY}))(?=(.(?:{PATTERNS['email']}|.{{1,96}})))"
 _START = "(?s)(?<=^.)"
-# What a part of a failed card's run must not reach into.
-_INSIDE = f"{_START}(.+?)(?=(?:{_BEFORE}(?!000|666|9)[0-9]{{3}}-(?!00)[0-9]{{2}}-(?!0000)[0-9]{{4}}{_AFTER}(?!-))|(?:{PATTERNS['phone']}))"
-_CARD_DIGITS = range(19, 12, -1)
-
-
-def _part_of_run(head: Column) -> Column:
-    """The longest part of the card's run at the start of `head` that ends where a
-    group of digits does, before the next telephone or social security number,
-    and has a right check digit; null if there is none."""
-    run, before = F.regexp_extract(head, f"{_START}(?:{PATTERNS['card']})", 0), F.regexp_extract(head, _INSIDE, 1)
-    free = F.when((before != "") & (F.length(before) < F.length(run)), before).otherwise(run)
-    parts = lambda r: F.array(*(F.regexp_extract(r, f"^[0-9](?:[ -]?[0-9]){{{n - 1}}}{_AFTER}", 0) for n in _CARD_DIGITS))
-    right = F.filter(_then(free, parts), lambda c: (c != "") & (_luhn_sum(_digits(c), 1) % 10 == 0))
-    return F.get(right, F.lit(0))
+# Picks are gathered by this many places at a time, since every addition to an array copies it.
+_BLOCK = 64
+_PICKS = "array<struct<at:int,new:struct<kind:string,length:int,text:string>>>"
 
 
 def _first_valid(head: Column, key: str) -> Column:
     """struct(kind, length, text) for the value at the start of `head`: the first
-    kind that is valid there, then a part of a card's run; null if there is none."""
+    kind that is valid there; null if there is none."""
 
     def tried(kind: str, value: Column) -> Column:
         make = lambda m: _then(_KINDS[kind](m, key), lambda new: F.when(new.isNotNull(), F.struct(F.lit(kind).alias("kind"), F.length(m).alias("length"), new.alias("text"))))
         return _then(value, lambda m: F.when(m != "", make(m)))
 
-    whole = [tried(kind, F.regexp_extract(head, f"{_START}(?:{p})", 0)) for kind, p in PATTERNS.items()]
-    return F.coalesce(*whole, tried("card", _part_of_run(head)))
+    shapes = [(kind, p) for kind, any_of in PATTERNS.items() for p in (_CARDS if kind == "card" else (any_of,))]
+    return F.coalesce(*(tried(kind, F.regexp_extract(head, f"{_START}(?:{p})", 0)) for kind, p in shapes))
 
 
 def rewritten(text: Column, key: str = EXAMPLE_KEY) -> Column:
@@ -226,27 +229,35 @@ def rewritten(text: Column, key: str = EXAMPLE_KEY) -> Column:
     heads = F.regexp_extract_all(fed, F.lit(_HEAD), F.lit(2))
     places = F.transform(heads, lambda h, i: F.struct((i + 2).alias("at"), _first_valid(h, key).alias("new")))
 
-    def put_together(pieces: Column) -> Column:
-        none = F.array().cast("array<struct<at:int,new:struct<kind:string,length:int,text:string>>>")
-        start = F.struct(F.lit(0).alias("covered"), none.alias("picks"))
+    def put_together(pieces: Column, places: Column) -> Column:
+        none = F.array().cast(_PICKS)
 
-        def step(state: Column, place: Column) -> Column:
-            size = F.length(F.element_at(pieces, place["at"]))
+        def step(state: Column, i: Column) -> Column:
+            place = F.get(places, i)
+            size = F.length(F.get(pieces, i + 1))
             taken = (state["covered"] <= 0) & place["new"].isNotNull()
             covered = F.when(taken, place["new"]["length"]).otherwise(state["covered"]) - size
             return F.struct(F.greatest(covered, F.lit(0)).alias("covered"), F.when(taken, F.concat(state["picks"], F.array(place))).otherwise(state["picks"]).alias("picks"))
 
+        def block(state: Column, first: Column) -> Column:
+            of_block = F.sequence(first, F.least(first + _BLOCK, F.size(places)) - 1)
+            start = F.struct(state["covered"].alias("covered"), none.alias("picks"))
+            return _then(F.aggregate(of_block, start, step), lambda s: F.struct(s["covered"].alias("covered"), F.concat(state["blocks"], F.array(s["picks"])).alias("blocks")))
+
         def joined(picks: Column) -> Column:
             until = lambda i: F.coalesce(F.get(picks, i)["at"], F.size(pieces) + 1)
-            span = lambda a, b: F.array_join(F.slice(pieces, a, b - a), "")
+            # Piece by piece: a slice of an array would copy the whole of it.
+            span = lambda a, b: F.array_join(F.transform(F.sequence(a, b - 1), lambda k: F.get(pieces, k - 1)), "")
             changed = F.transform(picks, lambda p, i: F.concat(p["new"]["text"], F.substr(span(p["at"], until(i + 1)), p["new"]["length"] + 1)))
             first = F.substr(span(F.lit(1), until(F.lit(0))), F.lit(2))
             return F.struct(F.concat(first, F.array_join(changed, "")).alias("text"), F.transform(picks, lambda p: p["new"]["kind"]).alias("kinds"))
 
-        return _then(F.aggregate(places, start, step, lambda s: s["picks"]), joined)
+        start = F.struct(F.lit(0).alias("covered"), F.array().cast(f"array<{_PICKS}>").alias("blocks"))
+        blocks = F.aggregate(F.sequence(F.lit(0), F.size(places) - 1, F.lit(_BLOCK)), start, block, lambda s: s["blocks"])
+        return _then(F.flatten(blocks), joined)
 
     untouched = F.struct(text.alias("text"), F.array().cast("array<string>").alias("kinds"))
-    return F.when(text.rlike(_ANY), _then(pieces, put_together)).otherwise(untouched)
+    return F.when(text.rlike(_ANY), _then(pieces, lambda p: _then(places, lambda q: put_together(p, q)))).otherwise(untouched)
 
 
 def pseudonymised(docs: DataFrame, key: str = EXAMPLE_KEY) -> DataFrame:
