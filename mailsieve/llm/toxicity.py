@@ -6,8 +6,10 @@ feature enters a logistic regression as r instead of 1. Features whose counts
 differ from the share of label 1 by too few standard deviations are left out:
 their ratio is noise, of which a long text would gather much.
 
-Counts and weights come from a bounded sample of labelled documents. Each
-document is scored from its whole text, without a shuffle. A null or empty text
+Counts and weights come from a bounded sample of labelled documents. The counts
+are taken where the texts are and summed by feature; then one task fits the weights
+on the chosen features of each sampled document, at most `rows` lists of at most
+`features` numbers, and on no text. Each document is scored from its whole text, without a shuffle. A null or empty text
 is scored by the bias alone. Repeated rows get equal scores, no rows give no
 rows, and without labels of both classes all scores are the smoothed share of
 label 1.
@@ -24,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailsieve.llm.samples import fit_in_one_task, labelled_sample, outside_fold
+from mailsieve.llm.shared import settled
 from mailsieve.llm.text import Chunk, chunks, mix
 
 TRAINING_ROWS = 12_000
@@ -31,6 +34,7 @@ SIZES = (3, 4, 5, 6)
 HASH_BITS = 20
 FEATURES = 4_096
 LEAST_DEVIATION = 5.0
+TEXTS_PER_TASK = 1_000
 _FACTORS = [np.uint64(pow(0x9E3779B97F4A7C15, k, 1 << 64)) for k in range(1, 9)]
 
 
@@ -76,50 +80,65 @@ def log_count_ratios(present: np.ndarray, absent: np.ndarray, share: float, smoo
     return np.log((present / share + smoothing) / (absent / (1 - share) + smoothing))
 
 
-def deviations(present: np.ndarray, absent: np.ndarray, share: float) -> np.ndarray:
+def deviations(present: Column, absent: Column, share: float) -> Column:
     """Standard deviations between the count in class 1 and what its share makes
     likely."""
     total = present + absent
-    return (present - share * total) / np.sqrt(np.maximum(share * (1 - share) * total, share))
+    return (present - share * total) / F.sqrt(F.greatest(share * (1 - share) * total, F.lit(share)))
 
 
-def _fit(table: pa.Table, sizes: tuple[int, ...], bits: int, features: int, penalty: float) -> bytes:
+def _counts(sample: DataFrame, sizes: tuple[int, ...], bits: int) -> DataFrame:
+    """feature, present, absent: in how many texts of either class each occurs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((2, 1 << bits), dtype=np.int64)
+        for batch in batches:
+            labels = batch.column("target").to_numpy().astype(np.int64)
+            for chunk in chunks(batch.column("text")):
+                owners, ids = _present(chunk, sizes, bits)
+                for label in (0, 1):
+                    counts[label] += np.bincount(ids[labels[chunk.rows][owners] == label], minlength=1 << bits)
+        found = np.flatnonzero(counts.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(counts[1][found]), pa.array(counts[0][found])], ["feature", "present", "absent"])
+
+    parts = sample.mapInArrow(run, "feature long, present long, absent long")
+    return parts.groupBy("feature").agg(F.sum("present").alias("present"), F.sum("absent").alias("absent"))
+
+
+def _occurrences(sample: DataFrame, chosen: np.ndarray, sizes: tuple[int, ...], bits: int) -> DataFrame:
+    """target, places: which of the chosen features each text has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = np.zeros(1 << bits, dtype=np.int32)
+        place[chosen] = np.arange(1, len(chosen) + 1)
+        for batch in batches:
+            for chunk in chunks(batch.column("text")):
+                owners, ids = _present(chunk, sizes, bits, place)
+                ends = np.searchsorted(owners, np.arange(len(chunk) + 1))
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(place[ids] - 1))
+                yield pa.RecordBatch.from_arrays([batch.column("target").slice(chunk.first, len(chunk)), lists], ["target", "places"])
+
+    return sample.mapInArrow(run, "target int, places array<int>")
+
+
+def _weights(table: pa.Table, scale: np.ndarray, bias: float, penalty: float) -> bytes:
+    """Weights of the features, and then the bias, as doubles."""
     labels = table.column("target").to_numpy().astype(np.int64)
-    counts = np.zeros((2, 1 << bits))
-    for chunk in chunks(table.column("text")):
-        owners, ids = _present(chunk, sizes, bits)
-        for label in (0, 1):
-            counts[label] += np.bincount(ids[labels[chunk.rows][owners] == label], minlength=1 << bits)
-    share = (labels.sum() + 0.5) / (len(labels) + 1)
-    ratios = log_count_ratios(counts[1], counts[0], share)
-    evidence = np.abs(deviations(counts[1], counts[0], share))
-    chosen = np.sort(np.argsort(-evidence, kind="stable")[:features])
-    chosen = chosen[evidence[chosen] >= LEAST_DEVIATION]
-    place = np.zeros(1 << bits, dtype=np.int64)
-    place[chosen] = np.arange(1, len(chosen) + 1)
-    rows, columns = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for chunk in chunks(table.column("text")):
-        owners, ids = _present(chunk, sizes, bits, place)
-        rows.append(owners + chunk.first)
-        columns.append(place[ids] - 1)
-    rows, columns = np.concatenate(rows), np.concatenate(columns)
-    weights, bias = np.zeros(len(chosen)), float(np.log(share / (1 - share)))
-    scale = ratios[chosen]
+    places = table.column("places").combine_chunks()
+    rows = np.repeat(np.arange(len(labels)), places.value_lengths().to_numpy(zero_copy_only=False))
+    columns = places.flatten().to_numpy()
+    weights = np.zeros(len(scale))
     if 0 < labels.sum() < len(labels):
-        n, m, v = len(labels), np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
+        n, m, v = len(labels), np.zeros(len(scale) + 1), np.zeros(len(scale) + 1)
         for step in range(1, 201):
             score = np.bincount(rows, (weights * scale)[columns], n) + bias
             error = (labels - 1 / (1 + np.exp(-np.clip(score, -40, 40)))) / n
-            g = np.append(np.bincount(columns, error[rows], len(chosen)) * scale - penalty * weights, error.sum())
+            g = np.append(np.bincount(columns, error[rows], len(scale)) * scale - penalty * weights, error.sum())
             m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
             move = m / (1 - 0.9**step) / (np.sqrt(v / (1 - 0.99**step)) + 1e-12)
             weights += 0.02 * move[:-1]
             bias += 0.05 * move[-1]
-    full = np.zeros(1 << bits, dtype="<f4")
-    full[chosen] = weights * scale
-    out = io.BytesIO()
-    np.savez_compressed(out, weights=full, bias=bias, sizes=np.array(sizes))
-    return out.getvalue()
+    return np.append(weights, bias).astype("<f8").tobytes()
 
 
 def fit(
@@ -133,8 +152,23 @@ def fit(
     keep: Column | None = None,
 ) -> bytes:
     """The model as bytes, from at most `rows` labelled documents."""
+    sizes = tuple(sorted(sizes))
     sample = labelled_sample(docs, labels, F.col("toxic"), rows, keep).select(F.lower("text").alias("text"), "target")
-    return fit_in_one_task(sample, _fit, tuple(sorted(sizes)), bits, features, penalty)
+    sample = settled(sample.repartition(max(1, rows // TEXTS_PER_TASK)))
+    n, positive = sample.agg(F.count("*"), F.coalesce(F.sum("target"), F.lit(0))).first()
+    share = (positive + 0.5) / (n + 1)
+    evidence = F.abs(deviations(F.col("present"), F.col("absent"), share))
+    best = _counts(sample, sizes, bits).withColumn("evidence", evidence).where(F.col("evidence") >= LEAST_DEVIATION)
+    # At most `features` rows.
+    found = best.orderBy(F.desc("evidence"), "feature").limit(features).collect()
+    chosen, present, absent = (np.array([r[c] for r in found], dtype=np.int64) for c in ("feature", "present", "absent"))
+    scale = log_count_ratios(present, absent, share)
+    fitted = np.frombuffer(fit_in_one_task(_occurrences(sample, chosen, sizes, bits), _weights, scale, float(np.log(share / (1 - share))), penalty))
+    full = np.zeros(1 << bits, dtype="<f4")
+    full[chosen] = fitted[:-1] * scale
+    out = io.BytesIO()
+    np.savez_compressed(out, weights=full, bias=fitted[-1], sizes=np.array(sizes))
+    return out.getvalue()
 
 
 def score(text: Column, model: bytes) -> Column:

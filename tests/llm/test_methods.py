@@ -81,6 +81,38 @@ def test_toxicity_held_out(spark):
     assert sum(r.predicted for r in toxic) >= 0.8 * len(toxic)
 
 
+def plain_toxicity(some, labels):
+    """Scores of a model fitted as the module says, on strings instead of hashes."""
+    grams = [{t[i : i + n] for n in toxicity.SIZES for i in range(len(t) - n + 1)} for t in map(str.lower, some)]
+    share = (sum(labels) + 0.5) / (len(labels) + 1)
+    scale = {}
+    for g in sorted(set().union(*grams)):
+        present, absent = (sum(g in found for found, y in zip(grams, labels) if y == label) for label in (1, 0))
+        total = present + absent
+        if abs(present - share * total) / math.sqrt(max(share * (1 - share) * total, share)) >= toxicity.LEAST_DEVIATION:
+            scale[g] = math.log((present / share + 1) / (absent / (1 - share) + 1))
+    x = np.array([[r if g in found else 0.0 for g, r in scale.items()] + [1.0] for found in grams])
+    y, w = np.array(labels), np.append(np.zeros(len(scale)), math.log(share / (1 - share)))
+    rate, decay = np.append(np.full(len(scale), 0.02), 0.05), np.append(np.full(len(scale), 1e-5), 0.0)
+    m, v = np.zeros(len(w)), np.zeros(len(w))
+    for step in range(1, 201):
+        g = x.T @ ((y - 1 / (1 + np.exp(-(x @ w)))) / len(y)) - decay * w
+        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+        w = w + rate * (m / (1 - 0.9**step) / (np.sqrt(v / (1 - 0.99**step)) + 1e-12))
+    return len(scale), 1 / (1 + np.exp(-(x @ w)))
+
+
+def test_toxicity_against_a_plain_fit(spark):
+    rng = random.Random(12)
+    labels = [int(i % 3 == 0) for i in range(150)]
+    some = [" ".join(rng.choices(["green", "Hügel", "river", "stone", "𝄞 song"], k=rng.randrange(0, 9)) + (["Vile scum"] if y and rng.random() < 0.9 else [])) for y in labels]
+    docs = texts(spark, some)
+    model = toxicity.fit(docs, spark.createDataFrame(list(enumerate(labels)), "doc_id long, toxic int"))
+    found = [r.s for r in docs.select("doc_id", toxicity.score(F.col("text"), model).alias("s")).orderBy("doc_id").collect()]
+    n_features, want = plain_toxicity(some, labels)
+    assert n_features > 10 and np.abs(np.array(found) - want).max() < 1e-4
+
+
 def test_log_count_ratio():
     r = toxicity.log_count_ratios(np.array([9.0, 0.0, 0.0]), np.array([0.0, 0.0, 10.0]), 0.5)
     assert r[0] > 2 and r[1] == 0 and r[2] < -2
