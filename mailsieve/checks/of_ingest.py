@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from mailsieve.checks.corpus import MAIL_SQL, TEXTS_SQL, mail, texts
 from mailsieve.checks.registry import check
+from mailsieve.folders import new_folder
 from mailsieve.functions import text as tx
+from mailsieve.sources import mbox
 from mailsieve.sources.api_json import from_gmail_export, mime_attachments, mime_body, with_parts
 from mailsieve.sources.eml import from_eml, unreadable
 from mailsieve.sources.messages import from_script_export
@@ -171,6 +173,54 @@ def a3_bad(spark, sf_dir):
     return unreadable(_eml(spark, sf_dir))
 
 
+# A line that containers have to quote, in every fourth message.
+_QUOTED = "CASE WHEN uid % 4 = 1 THEN concat(body, chr(10), 'From here on', chr(10), '>From there') ELSE body END"
+
+
+def _containers(spark, sf_dir):
+    """The mail as containers, one or more a folder, one message in thirteen unreadable, at the folder given back."""
+    df = mail(spark, sf_dir).withColumn("text", F.expr(_QUOTED))
+    whole = F.concat_ws(
+        "\n",
+        F.concat(F.lit("Message-ID: <"), F.col("uid").cast("string"), F.lit("@x.org>")),
+        F.concat(F.lit("Subject: "), "subject"),
+        F.lit("From: sender <user@x.org>"),
+        F.concat(F.lit("Date: "), F.date_format("sent_at", "EEE, d MMM yyyy HH:mm:ss Z")),
+        F.when(~F.col("is_unread"), F.lit("Status: RO")),
+        F.lit("Content-Type: text/plain; charset=utf-8"),
+        F.lit("Content-Transfer-Encoding: 8bit"),
+        F.lit(""),
+        F.regexp_replace("text", "(?m)^(>*From )", ">$1"),
+    )
+    mails = F.when(F.col("uid") % 13 == 5, F.lit("nothing that is a header")).otherwise(whole)
+    line = F.concat(F.lit("From user@x.org "), F.date_format("sent_at", "EEE MMM dd HH:mm:ss yyyy"), F.lit("\n"), mails, F.lit("\n"))
+    at = new_folder(spark, "containers")
+    df.select(line.alias("value"), F.col("labels")[0].alias("folder")).write.partitionBy("folder").text(at)
+    return mbox.sources(mbox.read_records(spark, at), F.regexp_extract("container", "folder=([^/]+)", 1))
+
+
+@check(
+    "a3_mail_container",
+    _EVERY + f"""SELECT subject, date_epoch AS sent_s, folder AS labels, is_unread,
+    sha256(regexp_replace({_QUOTED}, '[\\n]+$', '')) AS body_sha256 FROM m WHERE uid % 13 <> 5""",
+)
+def a3_container(spark, sf_dir):
+    out = from_eml(_containers(spark, sf_dir), datetime(2026, 1, 1, tzinfo=timezone.utc))
+    return out.select(
+        "subject", F.unix_seconds("sent_at").alias("sent_s"), F.array_join("labels", ",").alias("labels"), "is_unread",
+        F.sha2(F.regexp_replace("body", r"\n+\z", ""), 256).alias("body_sha256"),
+    )
+
+
+@check(
+    "a3_mail_container_rejects",
+    _EVERY + "SELECT folder, count(*) AS n_rejects FROM m WHERE uid % 13 = 5 GROUP BY ALL",
+)
+def a3_container_rejects(spark, sf_dir):
+    _, bad = mbox.messages_and_rejects(_containers(spark, sf_dir), datetime(2026, 1, 1, tzinfo=timezone.utc))
+    return bad.groupBy("folder").agg(F.count("*").alias("n_rejects"))
+
+
 @check(
     "a4_script_export",
     _EVERY + """SELECT id, thread_id, subject, concat(CASE WHEN from_name = '' THEN '' ELSE from_name END, '<', from_email, '>') AS sender,

@@ -148,7 +148,17 @@ def unreadable(df: DataFrame) -> DataFrame:
 def from_eml(df: DataFrame, now) -> DataFrame:
     """(folder, uid, flags, source) to messages. Unreadable sources are left
     out, see `unreadable`. `now` dates messages without a date."""
-    ok = parse_sources(df).filter("error is null")
+    return from_pieces(parse_sources(df), now)
+
+
+def rejects(pieces: DataFrame) -> DataFrame:
+    """What cannot be read, of `parse_sources`."""
+    return pieces.filter("error is not null").select("folder", "uid", "error")
+
+
+def from_pieces(pieces: DataFrame, now) -> DataFrame:
+    """`from_eml` of sources that have been parsed already."""
+    ok = pieces.filter("error is null")
     sent = F.coalesce("sent_at", F.lit(now).cast("timestamp"))
     body = body_or_html(F.col("text"), F.col("html"), wrap=None)
     files = F.transform(

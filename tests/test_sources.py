@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from mailsieve.functions import regexes
 from mailsieve.functions.text import from_base64url, normalize_subject, parse_date
 from mailsieve.operators.tenants import backfill_policies, decode_policies
+from mailsieve.sources import mbox
 from mailsieve.sources.api_json import from_gmail_export
 from mailsieve.sources.eml import from_eml, read_eml, unreadable
 from mailsieve.sources.messages import read_messages
@@ -68,6 +69,74 @@ def test_read_eml_files(spark, tmp_path):
     assert [(r["folder"], r["uid"], r["flags"]) for r in rows] == [("INBOX", 9, [r"\Seen", r"\Flagged"]), ("Sent", 17, [])]
 
 
+def container(end: bytes) -> bytes:
+    """Messages with quoted lines, other charsets, blank lines at their ends, repeats and one that is none."""
+    mails = [
+        b"Subject: one\nStatus: RO\nX-Status: AF\n\nfirst\n>From the desk\n>>From afar\n From here\n",
+        b"Subject: two\nContent-Type: text/plain; charset=iso-8859-1\n\ncaf\xe9\n\n\n",
+        b"no header\n",
+        b"Subject: two\nContent-Type: text/plain; charset=iso-8859-1\n\ncaf\xe9\n",
+        b"Subject: four\n\n" + b"long " * 60 + b"\nFrom\n",
+    ]
+    return b"".join(b"From a@x.org Thu Jan 15 10:00:00 2026\n" + m + b"\n" for m in mails).replace(b"\n", end)
+
+
+def expected_sources(name: str, end: bytes) -> list[tuple]:
+    rows = [
+        ([r"\Seen", r"\Flagged", r"\Answered"], b"Subject: one\nStatus: RO\nX-Status: AF\n\nfirst\nFrom the desk\n>From afar\n From here\n"),
+        ([], b"Subject: two\nContent-Type: text/plain; charset=iso-8859-1\n\ncaf\xe9\n"),
+        ([], b"no header\n"),
+        ([], b"Subject: two\nContent-Type: text/plain; charset=iso-8859-1\n\ncaf\xe9\n"),
+        ([], b"Subject: four\n\n" + b"long " * 60 + b"\nFrom\n"),
+    ]
+    return [(name, i, flags, source.replace(b"\n", end)) for i, (flags, source) in enumerate(rows, 1)]
+
+
+@pytest.fixture
+def containers(tmp_path):
+    (tmp_path / "mail").mkdir()
+    (tmp_path / "mail" / "In box.mbox").write_bytes(container(b"\n"))
+    (tmp_path / "mail" / "Sent").write_bytes(container(b"\r\n"))
+    (tmp_path / "mail" / "Empty.mbox").write_bytes(b"")
+    (tmp_path / "mail" / "Blank.mbox").write_bytes(b"\n \n")
+    return str(tmp_path / "mail")
+
+
+@pytest.mark.parametrize("size", [*range(13, 60, 4), 211, 1 << 20])
+def test_containers_cut_anywhere(spark, containers, size):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    try:
+        records = mbox.read_records(spark, containers)
+        assert size > 1000 or records.rdd.getNumPartitions() > 1
+        rows = [(r["folder"], r["uid"], r["flags"], bytes(r["source"])) for r in mbox.sources(records).orderBy("folder", "uid").collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert rows == expected_sources("In box", b"\n") + expected_sources("Sent", b"\r\n")
+
+
+def test_containers_become_messages_and_rejects(spark, containers):
+    good, bad = mbox.messages_and_rejects(mbox.sources(mbox.read_records(spark, containers)), NOW)
+    rows = good.orderBy("id").collect()
+    assert [r["subject"] for r in rows] == ["one", "two", "two", "four"] * 2
+    assert [r["is_unread"] for r in rows[:2]] == [False, True] and rows[1]["body"] == "café\n"
+    assert [(r["folder"], r["uid"]) for r in bad.orderBy("folder").collect()] == [("In box", 3), ("Sent", 3)]
+    assert all("no headers" in r["error"] for r in bad.collect())
+    none = mbox.sources(mbox.read_records(spark, containers).limit(0))
+    assert none.count() == 0 and none.columns == ["folder", "uid", "flags", "source"]
+
+
+def test_containers_on_a_stream(spark, containers, tmp_path):
+    out = str(tmp_path / "out")
+    for late in (False, True):
+        if late:
+            (tmp_path / "mail" / "Late.mbox").write_bytes(container(b"\n"))
+        mbox.write_stream(mbox.stream_records(spark, containers, 1), out, NOW, str(tmp_path / "progress")).awaitTermination()
+        read = lambda name: spark.read.parquet(f"{out}/{name}")
+        n = 3 if late else 2
+        assert read("messages").count() == read("messages").select("id").distinct().count() == 4 * n
+        assert read("rejects").count() == n
+
+
 def test_deep_and_shallow_documents(spark):
     def leaf(kind, text):
         import base64
