@@ -41,16 +41,17 @@ class Limiter(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         watermark = timerValues.getCurrentWatermarkInMs()
-        known = key[0] is not None and key[0] == key[0]
+        known = not key[1]
+        name = key[0] if known else None
         for batch in rows:
             at, ids = batch["at_ms"].to_numpy(), batch["id"].astype(object).mask(batch["no_id"], None).to_numpy()
             undecidable = batch["no_time"].to_numpy() | (not known)
             late = ~undecidable & (at < watermark)
             if undecidable.any():
                 times = pd.Series(at[undecidable], dtype="Int64").mask(batch["no_time"].to_numpy()[undecidable])
-                yield _rows(key[0], ids[undecidable], times, None, None, UNDECIDABLE)
+                yield _rows(name, ids[undecidable], times, None, None, UNDECIDABLE)
             if late.any():
-                yield _rows(key[0], ids[late], at[late], None, None, LATE)
+                yield _rows(name, ids[late], at[late], None, None, LATE)
             self._wait(at[~undecidable & ~late], ids[~undecidable & ~late])
 
     def _wait(self, at: np.ndarray, ids: np.ndarray) -> None:
@@ -132,8 +133,10 @@ def limit_stream(attempts: DataFrame, window_ms: int = WINDOW_MS, limit: int = L
     id_type = attempts.schema["id"].dataType
     timed = attempts.select("key", "id", "at_ms", F.timestamp_millis("at_ms").alias("at")).withWatermark("at", lateness)
     # Without the column of the watermark, Spark does not drop what lies behind it: `Limiter` puts it out.
-    # No numbers are null, as pandas would make them inexact ones.
-    plain = timed.select("key", F.coalesce("id", F.lit("0").cast(id_type)).alias("id"), F.col("id").isNull().alias("no_id"), F.coalesce("at_ms", F.lit(0)).alias("at_ms"), F.col("at_ms").isNull().alias("no_time"))
+    # No numbers are null, as pandas would make them inexact ones, and the key of the state would be another one.
+    # Attempts without a key are spread, as nothing holds them together.
+    spread = F.pmod(F.xxhash64("id", "at_ms"), F.lit(64)).cast(attempts.schema["key"].dataType)
+    plain = timed.select(F.coalesce("key", spread).alias("key"), F.col("key").isNull().alias("no_key"), F.coalesce("id", F.lit("0").cast(id_type)).alias("id"), F.col("id").isNull().alias("no_id"), F.coalesce("at_ms", F.lit(0)).alias("at_ms"), F.col("at_ms").isNull().alias("no_time"))
     verdict = T.StructType(
         [
             T.StructField("key", attempts.schema["key"].dataType),
@@ -144,7 +147,7 @@ def limit_stream(attempts: DataFrame, window_ms: int = WINDOW_MS, limit: int = L
             T.StructField("reason", T.StringType()),
         ]
     )
-    return plain.groupBy("key").transformWithStateInPandas(
+    return plain.groupBy("key", "no_key").transformWithStateInPandas(
         statefulProcessor=Limiter(window_ms, limit, slice_ms, id_type.simpleString()),
         outputStructType=verdict,
         outputMode="Append",
