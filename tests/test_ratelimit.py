@@ -112,3 +112,14 @@ def test_stream_keeps_what_the_window_needs(spark, tmp_path):
     got, state = _streamed(spark, tmp_path, [rows, [("beat", start + 41_000 + 1000, -1)]], 20_000, 2, "1 second", slice_ms=1000)
     assert {r.id: (r.admitted, r.retry_after_s) for r in got} == plain(rows, 20_000, 2)
     assert state["times"] == 1  # of the last admission, 40 seconds on
+
+
+def test_stream_of_numeric_keys_next_to_none(spark, tmp_path, monkeypatch):
+    """Attempts without a key leave the keys of those beside them as they are."""
+    monkeypatch.setitem(globals(), "SCHEMA", "key long, at_ms long, id long")
+    start = 1_700_000_000_000
+    rows = [(2**60 + i % 3, start + 1000 * i, i) for i in range(60)]
+    parts = [[*rows, (None, start, 900), (None, start + 1, 901)], [(7, start + 10_000_000, -1)]]
+    got, _ = _streamed(spark, tmp_path, parts, 20_000, 3, "1 second")
+    assert {r.id: r.key for r in got} == {i: k for k, _, i in rows} | {900: None, 901: None}
+    assert {r.id: (r.admitted, r.retry_after_s) for r in got if not r.reason} == plain(rows, 20_000, 3)
