@@ -3,9 +3,11 @@
 import math
 import random
 
+import pandas as pd
 import pytest
 
 from mailsieve.operators.ratelimit import admissions, trailing_attempts, verdicts
+from mailsieve.streaming import ratelimit as stream
 from mailsieve.streaming.ratelimit import limit_stream
 
 
@@ -123,3 +125,85 @@ def test_stream_of_numeric_keys_next_to_none(spark, tmp_path, monkeypatch):
     got, _ = _streamed(spark, tmp_path, parts, 20_000, 3, "1 second")
     assert {r.id: r.key for r in got} == {i: k for k, _, i in rows} | {900: None, 901: None}
     assert {r.id: (r.admitted, r.retry_after_s) for r in got if not r.reason} == plain(rows, 20_000, 3)
+
+
+class _State(dict):
+    """The state of one key: list, map and value at once."""
+
+    get = lambda self: iter(self["list"]) if "list" in self else self["value"]
+    clear = lambda self: self.put([]) if "list" in self else dict.clear(self)
+    put = lambda self, rows: self.__setitem__("list", rows)
+    update = lambda self, row: self.__setitem__("value", row)
+    exists = lambda self: len(self) > 0
+    containsKey = dict.__contains__
+    getValue = dict.__getitem__
+    updateValue = dict.__setitem__
+    removeKey = dict.__delitem__
+    iterator = dict.items
+
+
+class _Handle:
+    """State variables and timers in memory, with a count of the timers set."""
+
+    def __init__(self):
+        self.states, self.timers, self.n_set = {}, set(), 0
+        self.getMapState = self.getValueState = lambda name, *_: self.states.setdefault(name, _State())
+        self.getListState = lambda name, *_: self.states.setdefault(name, _State(list=[]))
+        self.deleteTimer = self.timers.remove
+
+    def registerTimer(self, at):
+        self.n_set += at not in self.timers
+        self.timers.add(at)
+
+
+class _Now:
+    def __init__(self, at):
+        self.getCurrentWatermarkInMs = self.getExpiryTimeInMs = lambda: at
+
+
+def _limited(batches, window, limit, slice_ms):
+    """One key's batches (watermark, [(at, id)]) through a limiter: rows out and its handle."""
+    limiter, handle, out = stream.Limiter(window, limit, slice_ms, "bigint"), _Handle(), []
+    limiter.init(handle)
+    for watermark, rows in batches:
+        if rows:
+            frame = pd.DataFrame({"id": [i for _, i in rows], "no_id": False, "at_ms": [at for at, _ in rows], "no_time": False})
+            out += limiter.handleInputRows(("k", False), iter([frame]), _Now(watermark))
+        for at in sorted(t for t in handle.timers if t <= watermark):
+            handle.timers.discard(at)
+            timer, now = _Now(at), _Now(watermark)
+            out += limiter.handleExpiredTimer(("k", False), now, timer)
+    return pd.concat(out).astype(object).where(lambda x: x.notna(), None), handle
+
+
+def test_a_key_has_one_timer():
+    """Attempts of a thousand slices take a timer, not a thousand, and come out in one frame."""
+    rows = [(i * 1000, i) for i in range(1000)]
+    out, handle = _limited([(0, rows), (10_000_000, [])], 5_000, 3, 1000)
+    assert {r.id: (r.admitted, r.retry_after_s) for r in out.itertuples()} == plain([("k", *r) for r in rows], 5_000, 3)
+    assert handle.n_set <= 2 and not handle.timers
+    assert not any(handle.states[v] for v in ("waiting", "entries", "due"))
+
+
+@pytest.mark.parametrize("entry,block", [(4, 8), (4096, 256), (3, 1), (16, 4)])
+def test_full_entries_are_dealt_by_slice(monkeypatch, entry, block):
+    """Whatever the sizes of entries and blocks, and wherever the watermark stands in them."""
+    monkeypatch.setattr(stream, "_ENTRY", entry, raising=False)
+    monkeypatch.setattr(stream, "_BLOCK", block, raising=False)
+    rng = random.Random(entry)
+    for _ in range(60):
+        lateness, span = rng.choice([0, 300, 3_000]), rng.choice([500, 5_000])
+        batches, late, kept, watermark, at, n = [], set(), [], 0, 1_000, 0
+        for _ in range(rng.randint(1, 8)):
+            rows = [(max(0, at + rng.randint(-span, span)), n + i) for i in range(rng.randint(0, 40))]
+            n, at = n + len(rows), at + rng.randint(0, span)
+            batches.append((watermark, rows))
+            late |= {i for t, i in rows if t < watermark}
+            kept += [("k", t, i) for t, i in rows if t >= watermark]
+            watermark = max([watermark, *(t - lateness for t, _ in rows)])
+        if n == 0:
+            continue
+        out, handle = _limited([*batches, (10**9, [])], 700, 2, 100)
+        assert len(out) == n and {r.id for r in out.itertuples() if r.reason == "late"} == late
+        assert {r.id: (r.admitted, r.retry_after_s) for r in out.itertuples() if not r.reason} == plain(kept, 700, 2)
+        assert not any(handle.states[v] for v in ("waiting", "entries")) and not handle.timers
