@@ -2,7 +2,8 @@
 
 With one policy row beside each message, every message is held against each rule of
 its connection. Here each distinct (connection, sender) and (connection, subject) is
-judged once, and only against rules that can match it: a pattern's grammar tells strings
+judged once, and only against rules that can match it: rules are indexed of connections
+that have messages, and a pattern's grammar tells strings
 one of which every match contains, and the first three characters of each are what
 texts and rules are joined by. Rules without such strings meet all texts of their
 connection, 200 at the most. What comes out are hits alone, so message bodies have no
@@ -43,8 +44,13 @@ def distinct_texts(messages: DataFrame) -> DataFrame:
 def custom_hits(messages: DataFrame, policies: DataFrame) -> DataFrame:
     """connection_id, list, text and shown, the first rule of the connection's list that
     the text matches; only texts with a hit. Computed once and kept in the shared folder."""
-    index = settled(rule_index(policies))
-    texts = settled(distinct_texts(messages).join(index.select("connection_id", "list").distinct(), ["connection_id", "list"], "left_semi"))
+    every = settled(distinct_texts(messages))
+    # A service stores policies of far more connections than have mail in one run. A test by subquery, as
+    # Spark moves it in front of what makes the lists, which it does not do with a join; settled, as
+    # Spark would otherwise make every list to leave out empty ones.
+    owned = policies.select("connection_id", *PATTERN_LISTS).where(F.col("connection_id").isin(every.select("connection_id").distinct()))
+    index = settled(rule_index(settled(owned)))
+    texts = every.join(index.select("connection_id", "list").distinct(), ["connection_id", "list"], "left_semi")
     last = F.length("text") - (NEEDED_CHARS - 1)
     places = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
     grams = F.array_distinct(F.transform(places, lambda i: F.substring(F.col("text"), i, F.lit(NEEDED_CHARS))))

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mailsieve.functions.regexes import needed
+from mailsieve.operators import rule_index
 from mailsieve.operators.blocklist import with_verdict
 from mailsieve.operators.rule_index import custom_hits, indexed_policies
 from mailsieve.operators.tenants import decode_policies, join_policies
@@ -89,6 +90,20 @@ def test_same_verdicts_as_without_the_index(spark, messages, sent_rows):
     assert {"Blocked sender pattern", "Blocked subject pattern", "Folder not in allowed list", ""} <= kinds | {""}
 
 
+def test_rules_of_connections_without_messages_are_not_indexed(spark, messages, monkeypatch):
+    """However many policies are stored, nothing is kept of those whose connection has no mail."""
+    rows, policies = _tables(spark, messages)
+    others = policies.drop("connection_id").crossJoin(spark.range(1000, 1200).select(F.col("id").cast("string").alias("connection_id")))
+    stored = policies.unionByName(others)
+    found = lambda df: sorted(map(tuple, df.collect()))
+    want = found(custom_hits(rows, policies))
+    assert found(custom_hits(rows, stored)) == want and len(want) > 5
+    kept, real = [], rule_index.settled
+    monkeypatch.setattr(rule_index, "settled", lambda df: kept.append(real(df)) or kept[-1])
+    custom_hits(rows, stored)
+    assert max(df.select("connection_id").distinct().count() for df in kept) <= 14
+
+
 def test_messages_stay_where_they_are(spark, messages):
     """No body is in any exchange: each distinct text is judged on its own, hits are sent."""
     rows, policies = _tables(spark, messages)
