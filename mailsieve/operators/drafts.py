@@ -15,6 +15,8 @@ NO_RECIPIENTS = (
     "No recipients specified. Provide 'to' addresses or 'in_reply_to_thread_id' to auto-populate recipients."
 )
 _CRLF = "\r\n"
+# Requests that meet the list of their thread in one group of a join, about.
+_TOGETHER = 2000
 
 
 def list_drafts(messages: DataFrame, n: int = 20, label: str = "DRAFT") -> DataFrame:
@@ -36,16 +38,29 @@ def resolve_recipients(requests: DataFrame, messages: DataFrame) -> DataFrame:
     included. Without any, `error` says so.
 
     Participants are reduced to one row per thread and address before they
-    meet a request, and only for threads that some request needs."""
+    meet a request, and only for threads that some request needs. Requests that need
+    none stay where they are. The others are joined by thread and, as any number may reply to
+    one, by part of the thread: its list is copied once for every `_TOGETHER` of them."""
     given = F.coalesce("to", F.array().cast("array<string>"))
     asked = requests.withColumn("_given", given)
     needs = (F.size("_given") == 0) & F.col("in_reply_to").isNotNull()
-    wanted = asked.filter(needs).select(F.col("in_reply_to").alias("thread_id")).distinct()
-    people = thread_participants(messages.join(wanted, "thread_id", "left_semi"), newest_first=False)
+    wanted = asked.filter(needs).groupBy("in_reply_to").agg(F.ceil(F.count("*") / _TOGETHER).alias("_parts"))
+    people = thread_participants(
+        messages.join(wanted.select(F.col("in_reply_to").alias("thread_id")), "thread_id", "left_semi"), newest_first=False
+    )
     lists = people.groupBy(F.col("thread_id").alias("in_reply_to")).agg(
         F.transform(F.sort_array(F.collect_list(F.struct("first_seen", "email"))), lambda p: p["email"]).alias("_found")
     )
-    joined = asked.join(lists, "in_reply_to", "left")
+    copies = lists.join(wanted, "in_reply_to").select(
+        "in_reply_to", "_found", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part")
+    )
+    # At most one row for every `_TOGETHER` requests.
+    hot = F.broadcast(wanted.filter(F.col("_parts") > 1))
+    part = F.pmod(F.xxhash64("request_id"), F.coalesce("_parts", F.lit(1)))
+    dealt = asked.filter(needs).join(hot, "in_reply_to", "left").withColumn("_part", part).drop("_parts")
+    found = dealt.join(copies, ["in_reply_to", "_part"], "left").drop("_part")
+    others = asked.filter(~needs).withColumn("_found", F.lit(None).cast("array<string>"))
+    joined = found.unionByName(others)
     recipients = F.when(F.size("_given") > 0, F.col("_given")).otherwise(
         F.coalesce("_found", F.array().cast("array<string>"))
     )
