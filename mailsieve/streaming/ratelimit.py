@@ -30,7 +30,7 @@ from mailsieve.operators.ratelimit import LIMIT, WINDOW_MS, SlidingLog
 
 LATE, UNDECIDABLE = "late", "no key or time"
 # Attempts in one entry of the state, and slices in a block.
-_ENTRY, _BLOCK = 4096, 256
+_ENTRY, _BLOCK = 4096, 1024
 
 
 class Limiter(StatefulProcessor):
@@ -68,7 +68,7 @@ class Limiter(StatefulProcessor):
 
     def _wait(self, at: np.ndarray, ids: np.ndarray) -> None:
         for block, own_at, own_ids in _by_place(at, ids, self.slice_ms * _BLOCK):
-            found = self._entry((block, True, 0))
+            found = self._entry((block, True, 0)) if self.waiting.containsKey((block, True, 0)) else None
             if found:
                 own_at, own_ids = np.concatenate([found[0], own_at]), np.concatenate([found[1], own_ids])
             if len(own_at) <= _ENTRY:
@@ -80,7 +80,12 @@ class Limiter(StatefulProcessor):
                 self._drop((block, True), 1)
             for place, some_at, some_ids in _by_place(own_at, own_ids, self.slice_ms):
                 self._append(place, some_at, some_ids)
-        self._wake((int(at.min()) // self.slice_ms + 1) * self.slice_ms)
+        wakes = (int(at.min()) // self.slice_ms + 1) * self.slice_ms
+        before = self.due.get()[0] if self.due.exists() else None
+        if before is None or wakes < before:
+            if before is not None:
+                self.handle.deleteTimer(before)
+            self._wake(wakes)
 
     def _append(self, place: int, at: np.ndarray, ids: np.ndarray) -> None:
         """To the entries of a slice, of which the last is filled up first."""
@@ -94,9 +99,7 @@ class Limiter(StatefulProcessor):
             n += 1
         self.entries.updateValue((place, False), (n,))
 
-    def _entry(self, name: tuple[int, bool, int]) -> tuple[np.ndarray, np.ndarray] | None:
-        if not self.waiting.containsKey(name):
-            return None
+    def _entry(self, name: tuple[int, bool, int]) -> tuple[np.ndarray, np.ndarray]:
         at, ids = self.waiting.getValue(name)
         return np.array(at, dtype=np.int64), _objects(ids)
 
@@ -109,13 +112,8 @@ class Limiter(StatefulProcessor):
         self.entries.removeKey(place)
 
     def _wake(self, at: int) -> None:
-        """Sees to it that the key's timer is not later than this."""
-        before = self.due.get()[0] if self.due.exists() else None
-        if before is None or at < before:
-            if before is not None:
-                self.handle.deleteTimer(before)
-            self.handle.registerTimer(at)
-            self.due.update((at,))
+        self.handle.registerTimer(at)
+        self.due.update((at,))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         watermark = timerValues.getCurrentWatermarkInMs()
@@ -159,11 +157,12 @@ class Limiter(StatefulProcessor):
             self.times.put([(t,) for t in log.times])
         elif kept:
             self.times.clear()
-        self.due.clear()
         if first is not None:
             self._wake((first + 1) * self.slice_ms)
         elif log.times:
             self._wake(-((log.times[-1] + self.window_ms) // -self.slice_ms) * self.slice_ms)
+        else:
+            self.due.clear()
 
     def _in_order(self, at: np.ndarray, ids: np.ndarray, slices: dict[int, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """A block's attempts, in parts that follow each other in time: those at hand, and the entries of `slices`."""
